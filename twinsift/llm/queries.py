@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import packing, token_files
+from twinsift.llm import packing, quality, token_files
 from twinsift.llm._util import Queries, read
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder)
@@ -26,7 +30,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> Queries:
-    return {"op5_token_files": op5_token_files, "op6_packing": op6_packing}
+    return {"op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import packing, quality, token_files
+from twinsift.llm import jaccard_join, packing, quality, token_files
 from twinsift.llm._util import Queries, read
 
 
@@ -29,8 +29,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def queries() -> Queries:
-    return {"op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing}
+    return {"op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:

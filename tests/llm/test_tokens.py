@@ -1,0 +1,50 @@
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from twinsift.llm.tokens import END, PieceEncoder
+
+FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
+OWN = {f: (PieceEncoder(public_tokenizers.path(f), spaced), Tokenizer.from_file(public_tokenizers.path(f))) for f, spaced in FILES}
+ALPHABET = st.sampled_from(list("abSt'sdé́ \n\t\r  \x1c\x01\x85.,!1٣ßΣİ<|>") + ["  ", " a", "'re", "<|endoftext|>", "日本", "word ", "\n "])
+
+
+def same(file, texts):
+    own, theirs = OWN[file]
+    theirs.encode_special_tokens = True
+    ids, ends = own.encode(texts)
+    for t, lo, hi, e in zip(texts, ends[:-1], ends[1:], theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids[lo:hi].tolist() == [*e.ids, END], repr(t)
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+def test_plain_and_odd_texts(file):
+    same(file, ["", " ", "a", " a", "a ", "a  b", "a \n b", "The cat. The cat.\nDone, it's", "x\x01y \x01 z", "\n", "a\n b", "<|endoftext|> a", "tab\tb \t c"])
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.lists(ALPHABET, max_size=25).map("".join), min_size=1, max_size=4))
+def test_any_text(file, texts):
+    same(file, texts)
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.text(max_size=40), min_size=1, max_size=3), file=st.sampled_from([f for f, _ in FILES]))
+def test_unicode(file, texts):
+    same(file, texts)
+
+
+def test_a_full_memo_changes_nothing():
+    own = PieceEncoder(public_tokenizers.path(FILES[0][0]), True, max_pieces=5)
+    a = [own.encode([t])[0].tolist() for t in ("one two three four five six", "six five four", "one two")]
+    big = OWN[FILES[0][0]][0]
+    assert a == [big.encode([t])[0].tolist() for t in ("one two three four five six", "six five four", "one two")]
+
+
+def test_no_texts():
+    ids, ends = OWN[FILES[0][0]][0].encode([])
+    assert len(ids) == 0 and np.array_equal(ends, [0])

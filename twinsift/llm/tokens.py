@@ -1,10 +1,10 @@
 """Whole-text tokenisation with a public tokenizer file, piece by piece and memoised.
 
 A public BPE file tokenises each pre-token on its own, so a text's ids are the ids of its space-separated pieces in a
-row. Most pieces recur; each is given to the tokenizers library once and then looked up. A space is a safe cut only
-where neither neighbour is white space; everything between safe cuts stays one piece, so the ids are the library's own
-for every text (tests compare them on arbitrary Unicode). The memo is a cache: it is emptied when full and changes no
-result.
+row. Most pieces recur; each is given to the tokenizers library once and then looked up. Where the tokenizer marks the
+space before a word, a space is a safe cut only if neither neighbour is white space; a text with another space is cut at
+its safe ones alone. So the ids are the library's own for every text (tests compare them on arbitrary Unicode). The memo
+is a cache: it is emptied when full and changes no result.
 """
 
 from __future__ import annotations
@@ -17,60 +17,109 @@ from tokenizers import Tokenizer
 
 END = 1
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|^ | $")
 _encoders: dict = {}
 
 
 class PieceEncoder:
-    """ids of many texts at once, each followed by END."""
+    """ids of many texts at once, each followed by END.
 
-    def __init__(self, path: str, spaced: bool, max_pieces: int = 400_000, max_ids: int = 4_000_000):
+    Keys of the memo: None is the end id; a string is a piece (with the space before it, if spaced); (piece,) a text's
+    first piece; (piece, True) a piece that begins or ends with white space. Entry 1 stands for pieces of an unsafe cut.
+    """
+
+    def __init__(self, path: str, spaced: bool, max_pieces: int = 1_000_000, max_ids: int = 8_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.max_pieces, self.max_ids = spaced, max_pieces, max_ids
+        # many new pieces are tokenised as one text; this stands between them and has an id of its own
+        self.between, self.mark = ("\n ", "\n") if spaced else (" \x01 ", "\x01")
+        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else None
         self.clear()
 
     def clear(self) -> None:
         self.index: dict = {None: 0}
-        self.flat = np.array([END], np.uint32)
-        self.starts, self.lens = np.array([0]), np.array([1])
-
-    def pieces(self, text: str) -> list:
-        if not text:
-            return [None]
-        cut = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-        if self.spaced:
-            cut[0] = (cut[0],)  # the first piece has no space before it
-        cut.append(None)
-        return cut
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.flat[0] = END
+        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.lens[0] = 1
+        self.n, self.n_ids = 2, 1
+
+    def _add(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
+        n, m = self.n + len(keys), self.n_ids + len(ids)
+        if n > len(self.starts):
+            self.starts, self.lens = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.starts, self.lens))
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(m, np.uint32)])
+        self.flat[self.n_ids : m] = ids
+        self.starts[self.n : n] = self.n_ids + np.cumsum(lens) - lens
+        self.lens[self.n : n] = lens
+        self.index.update(zip(keys, range(self.n, n), strict=True))
+        self.n, self.n_ids = n, m
 
     def learn(self, new: list) -> None:
-        if self.spaced:
-            texts = [k[0] if isinstance(k, tuple) else " " + k for k in new]
-        else:
-            texts = new
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.flat) + np.cumsum(lens) - lens
-        base = len(self.starts)
-        self.index.update(zip(new, range(base, base + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))])
-        self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+        plain = [k for k in new if k.__class__ is str and k and k.isprintable()] if self.mark_id is not None else []
+        odd = []
+        for k in set(new).difference(plain):
+            if self.spaced and k.__class__ is str and (not k or k[0].isspace() or k[-1].isspace()):
+                self.index[k] = 1
+            else:
+                odd.append(k)
+        for lo in range(0, len(plain), 5000):
+            part = plain[lo : lo + 5000]
+            text = self.between.join(part)
+            (whole,) = self.tokenizer.encode_batch_fast([" " + text if self.spaced else text], add_special_tokens=False)
+            ids = np.array(whole.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark_id)
+            if len(cut) != len(part) - 1:
+                odd += part
+                continue
+            bounds = np.concatenate([[-1], cut, [len(ids)]])
+            self._add(part, np.delete(ids, cut), np.diff(bounds) - 1)
+        if odd:
+            texts = [k[0] if isinstance(k, tuple) and len(k) == 1 else " " + k[0] if isinstance(k, tuple) else " " + k if self.spaced else k for k in odd]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add(odd, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens)
+
+    def entries(self, pieces: list) -> np.ndarray:
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self.learn(list(dict.fromkeys([pieces[i] for i in missing])))
+            at[missing] = [self.index[pieces[i]] for i in missing]
+        return at
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32) and the bounds of each text's ids (len(texts) + 1)."""
-        if len(self.index) > self.max_pieces or len(self.flat) > self.max_ids:
+        if self.n > self.max_pieces or self.n_ids > self.max_ids:
             self.clear()
+        if not self.spaced:  # these tokenizers lower-case; doing it for A-Z first lets more pieces recur
+            texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
         pieces: list = []
         ends = []
         for t in texts:
-            pieces += self.pieces(t)
+            first = len(pieces)
+            pieces += t.split(" ")
+            if self.spaced:
+                pieces[first] = (pieces[first],)
+            pieces.append(None)
             ends.append(len(pieces))
-        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self.learn(list(dict.fromkeys(pieces[i] for i in missing)))
-            at[missing] = [self.index[pieces[i]] for i in missing]
+        at = self.entries(pieces)
+        unsafe = np.flatnonzero(at == 1)
+        heads = self.spaced and [i for i, t in enumerate(texts) if t[:1].isspace() or t.split(" ", 1)[0][-1:].isspace()]
+        if len(unsafe) or heads:
+            again = sorted({*np.searchsorted(ends, unsafe, "right").tolist(), *(heads or [])})
+            parts, last = [], 0
+            for i in again:
+                lo = ends[i - 1] if i else 0
+                cut = _SAFE.split(texts[i])
+                cut = [(cut[0],), *(k if k and not k[0].isspace() and not k[-1].isspace() else (k, True) for k in cut[1:]), None]
+                parts += [at[last:lo], self.entries(cut)]
+                last = ends[i]
+            sizes = np.diff(ends, prepend=0)
+            sizes[again] = [len(x) for x in parts[1::2]]
+            at, ends = np.concatenate([*parts, at[last:]]), np.cumsum(sizes).tolist()
         lens = self.lens[at]
         after = np.cumsum(lens)
         ids = self.flat[np.repeat(self.starts[at] - (after - lens), lens) + np.arange(after[-1] if len(after) else 0)]

@@ -27,7 +27,7 @@ class PieceEncoder:
     first piece; (piece, True) a piece that begins or ends with white space. Entry 1 stands for pieces of an unsafe cut.
     """
 
-    def __init__(self, path: str, spaced: bool, max_pieces: int = 1_000_000, max_ids: int = 8_000_000):
+    def __init__(self, path: str, spaced: bool, max_pieces: int = 600_000, max_ids: int = 4_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.max_pieces, self.max_ids = spaced, max_pieces, max_ids

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import jaccard_join, packing, quality, token_files
+from twinsift.llm import decontaminate, jaccard_join, packing, quality, token_files
 from twinsift.llm._util import Queries, read
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -34,7 +38,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> Queries:
-    return {"op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join}
+    return {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from twinsift.llm import tokens
-from twinsift.llm._util import id_and_text, small_batches, texts_of
+from twinsift.llm._util import id_and_text, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     texts of any length are packed whole; equal rows are packed each; a null id stays null; an empty table gives no row;
     other columns are not read. sequence_id is unique, with the partition number above its low 40 bits.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
 
     def run(batches):
         enc, packer = tokens.encoder(tokenizer_path, spaced), SumOfSquares(window)
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
 
         for b in batches:
-            ids, ends = enc.encode(texts_of(b))
+            ids, ends = enc.encode(b.column(1))
             for key, lo, hi in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 out += packer.put(key, ids[lo:hi])
                 if len(out) > 20_000:

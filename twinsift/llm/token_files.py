@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from twinsift.llm import tokens
-from twinsift.llm._util import id_and_text, scratch, small_batches, texts_of
+from twinsift.llm._util import id_and_text, scratch, small_batches
 
 MAGIC = b"TWSIDS01"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
@@ -96,14 +96,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     `file_ids` ids.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     spool = f"{folder}/spool"
 
     def tokenise(batches):
         enc = tokens.encoder(tokenizer_path, spaced)
         counts = np.zeros(0, np.int64)
         for b in batches:
-            ids, ends = enc.encode(texts_of(b))
+            ids, ends = enc.encode(b.column(1))
             seen = np.bincount(ids, minlength=len(counts))
             seen[: len(counts)] += counts
             counts = seen

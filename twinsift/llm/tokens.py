@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import re
 from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 END = 1
@@ -31,10 +34,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.max_pieces, self.max_ids = spaced, max_pieces, max_ids
-        # many new pieces are tokenised as one text; this stands between them and has an id of its own
-        self.between, self.mark = ("\n ", "\n") if spaced else (" \x01 ", "\x01")
-        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.mark_id = ids[0] if len(ids) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # one character of a token is one byte of text
+            self.bytes[i] = len(token.removesuffix("</w>"))
         self.clear()
 
     def clear(self) -> None:
@@ -43,6 +46,7 @@ class PieceEncoder:
         self.flat[0] = END
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.lens[0] = 1
+        self.hits = np.zeros(1 << 16, np.int64)
         self.n, self.n_ids = 2, 1
 
     def _add(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
@@ -58,24 +62,32 @@ class PieceEncoder:
         self.n, self.n_ids = n, m
 
     def learn(self, new: list) -> None:
-        plain = [k for k in new if k.__class__ is str and k and k.isprintable()] if self.mark_id is not None else []
-        odd = []
-        for k in set(new).difference(plain):
-            if self.spaced and k.__class__ is str and (not k or k[0].isspace() or k[-1].isspace()):
-                self.index[k] = 1
+        plain, odd = [], []
+        for k in new:
+            if k.__class__ is tuple:
+                odd.append(k)
+            elif self.spaced:
+                if not k or k[0].isspace() or k[-1].isspace():
+                    self.index[k] = 1
+                else:
+                    plain.append(k)
+            elif k and k.isprintable() and (k.isascii() or k.islower() and is_normalized("NFC", k)):
+                plain.append(k)
             else:
                 odd.append(k)
         for lo in range(0, len(plain), 5000):
             part = plain[lo : lo + 5000]
-            text = self.between.join(part)
+            text = " ".join(part)
             (whole,) = self.tokenizer.encode_batch_fast([" " + text if self.spaced else text], add_special_tokens=False)
             ids = np.array(whole.ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            if len(cut) != len(part) - 1:
+            # nothing in these pieces is changed or dropped but the space, so ids are told apart by their bytes
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + self.spaced)
+            read = np.cumsum(self.bytes[ids])
+            last = np.searchsorted(read, ends)
+            if last[-1] == len(ids) - 1 and np.array_equal(read[last], ends):
+                self._add(part, ids, np.diff(last, prepend=-1))
+            else:
                 odd += part
-                continue
-            bounds = np.concatenate([[-1], cut, [len(ids)]])
-            self._add(part, np.delete(ids, cut), np.diff(bounds) - 1)
         if odd:
             texts = [k[0] if isinstance(k, tuple) and len(k) == 1 else " " + k[0] if isinstance(k, tuple) else " " + k if self.spaced else k for k in odd]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,40 +102,58 @@ class PieceEncoder:
             at[missing] = [self.index[pieces[i]] for i in missing]
         return at
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (uint32) and the bounds of each text's ids (len(texts) + 1)."""
+    def forget(self) -> None:
+        """Keeps the half of the memo that was looked up most."""
+        hits = self.hits[: self.n]
+        keep = np.flatnonzero(hits >= max(2, np.partition(hits, len(hits) // 2)[len(hits) // 2] + 1))
+        keys = [None] * self.n
+        for k, i in self.index.items():
+            keys[i] = k
+        keep = keep[keep > 1].tolist()
+        lens = self.lens[keep]
+        ids = self.flat[np.repeat(self.starts[keep] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+        kept = [keys[i] for i in keep]
+        self.clear()
+        self._add(kept, ids, lens)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row (uint32) and the bounds of each text's ids (len(texts) + 1). texts: strings, or an Arrow array whose nulls are empty texts."""
         if self.n > self.max_pieces or self.n_ids > self.max_ids:
-            self.clear()
-        if not self.spaced:  # these tokenizers lower-case; doing it for A-Z first lets more pieces recur
-            texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
-        pieces: list = []
-        ends = []
-        for t in texts:
-            first = len(pieces)
-            pieces += t.split(" ")
-            if self.spaced:
-                pieces[first] = (pieces[first],)
-            pieces.append(None)
-            ends.append(len(pieces))
-        at = self.entries(pieces)
-        unsafe = np.flatnonzero(at == 1)
-        heads = self.spaced and [i for i, t in enumerate(texts) if t[:1].isspace() or t.split(" ", 1)[0][-1:].isspace()]
-        if len(unsafe) or heads:
-            again = sorted({*np.searchsorted(ends, unsafe, "right").tolist(), *(heads or [])})
-            parts, last = [], 0
-            for i in again:
-                lo = ends[i - 1] if i else 0
-                cut = _SAFE.split(texts[i])
-                cut = [(cut[0],), *(k if k and not k[0].isspace() and not k[-1].isspace() else (k, True) for k in cut[1:]), None]
-                parts += [at[last:lo], self.entries(cut)]
-                last = ends[i]
-            sizes = np.diff(ends, prepend=0)
-            sizes[again] = [len(x) for x in parts[1::2]]
-            at, ends = np.concatenate([*parts, at[last:]]), np.cumsum(sizes).tolist()
+            self.forget()
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(column):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        if not self.spaced:  # these tokenizers lower-case; doing it for A-Z first, and taking line ends for the spaces they become, lets more pieces recur
+            column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+        split = pc.split_pattern(column, " ")
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        pieces = split.flatten()
+        coded = pieces.dictionary_encode()
+        at = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        begins = np.concatenate([[0], ends[:-1]])
+        again: list[int] = []
+        if self.spaced:
+            heads = pieces.take(pa.array(begins)).to_pylist()
+            again = sorted({*np.searchsorted(ends, np.flatnonzero(at == 1), "right").tolist(), *(i for i, k in enumerate(heads) if k[:1].isspace() or k[-1:].isspace())})
+            at[begins] = self.entries([(k,) for k in heads])
+        parts, sizes, last = [], np.diff(ends, prepend=0), 0
+        for i in again:
+            first, *rest = _SAFE.split(column[i].as_py())
+            cut = [(first,), *(k if k and not k[0].isspace() and not k[-1].isspace() else (k, True) for k in rest)]
+            parts += [at[last : begins[i]], self.entries(cut)]
+            last, sizes[i] = ends[i], len(cut)
+        if again:
+            at = np.concatenate([*parts, at[last:]])
+        at = np.insert(at, np.cumsum(sizes), 0)
+        ends = np.cumsum(sizes + 1)
+        if len(self.hits) < self.n:
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.starts) - len(self.hits), np.int64)])
+        self.hits[: self.n] += np.bincount(at, minlength=self.n)
         lens = self.lens[at]
         after = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[at] - (after - lens), lens) + np.arange(after[-1] if len(after) else 0)]
-        return ids, np.concatenate([[0], after[np.array(ends, np.int64) - 1]]) if texts else np.zeros(1, np.int64)
+        ids = self.flat[np.repeat(self.starts[at] - (after - lens), lens) + np.arange(after[-1])]
+        return ids, np.concatenate([[0], after[ends - 1]])
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:

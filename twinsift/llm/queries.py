@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import decontaminate, jaccard_join, packing, quality, token_files
+from twinsift.llm import decontaminate, jaccard_join, packing, quality, secrets, token_files
 from twinsift.llm._util import Queries, read
 
 
@@ -37,8 +37,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def queries() -> Queries:
-    return {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join}
+    return {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -413,7 +413,10 @@ def scan_digest(spans: DataFrame) -> DataFrame:
     def text(c):
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
     return spans.select("doc_id", *count, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 

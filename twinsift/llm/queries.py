@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import decontaminate, jaccard_join, packing, quality, secrets, token_files
+from twinsift.llm import decontaminate, fingerprints, jaccard_join, packing, quality, secrets, token_files
 from twinsift.llm._util import Queries, read
 
 
@@ -41,9 +41,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> Queries:
-    return {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join, "op9_secret_scan": op9_secret_scan}
+    return {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join, "op9_secret_scan": op9_secret_scan, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_fingerprints": fingerprints.oracle()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import decontaminate, fingerprints, jaccard_join, packing, quality, secrets, token_files
+from twinsift.llm import chunks, decontaminate, fingerprints, jaccard_join, packing, pii, quality, secrets, token_files, urls
 from twinsift.llm._util import Queries, read
 
 
@@ -19,6 +19,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(read(spark, sf_dir, "pages"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -33,6 +41,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with personal data, pseudonymised."""
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="twinsift", changed_only=True)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -46,7 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> Queries:
-    return {"op1_decontamination": op1_decontamination, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op8_ngram_join": op8_ngram_join, "op9_secret_scan": op9_secret_scan, "op10_fingerprints": op10_fingerprints}
+    return {"op1_decontamination": op1_decontamination, "op2_url_filter": op2_url_filter, "op3_substring_dedup": op3_substring_dedup, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op7_pseudonyms": op7_pseudonyms, "op8_ngram_join": op8_ngram_join, "op9_secret_scan": op9_secret_scan, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1 +1 @@
-
+"""Column functions and argument checks."""

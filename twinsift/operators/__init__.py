@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators over file relations."""

@@ -1 +1 @@
-
+"""Duplicates among files that keep arriving."""

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinsift.schema import READ_BYTES, SAMPLE_BYTES
 
@@ -45,13 +46,13 @@ def _hash_file(path: str, windows: list[tuple[int, int | None]]) -> str | None:
     return h.hexdigest()
 
 
-# Reading twice costs more than the plan can know: marked so that no optimizer rule repeats the call.
-@F.pandas_udf("string")
+# Both are marked nondeterministic, so that no optimizer rule repeats a read.
+@F.pandas_udf(T.StringType())
 def _file_digest(path: pd.Series) -> pd.Series:
     return path.map(lambda p: _hash_file(p, [(0, None)]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _file_sample(path: pd.Series, size: pd.Series) -> pd.Series:
     def one(p, n):
         ranges = [(0, SAMPLE_BYTES)]

@@ -1,0 +1,71 @@
+from pathlib import PurePath
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from twinsift.functions import args
+from twinsift.functions.text import format_bytes, parsed_extension, suffix, windows_path
+
+
+def shown(n):
+    """The plain rule."""
+    value, units = float(n), ["B", "KB", "MB", "GB", "TB"]
+    while value >= 1024 and len(units) > 1:
+        value, units = value / 1024, units[1:]
+    return f"{n} B" if units[0] == "B" else f"{value:.1f} {units[0]}"
+
+
+def test_format_bytes(spark):
+    sizes = [0, 1, 1023, 1024, 1280, 1792, 1024**2 - 1, 1024**2, 1024**3, 1024**4, 1024**5, *range(1000, 60_000, 128)]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", format_bytes(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in rows} == {n: shown(n) for n in sizes}
+
+
+def test_suffix(spark):
+    names = ["a.txt", "b.TXT", ".bashrc", "a.TAR.gz", "foo.", "..foo", "", "x", "a\nb.Md"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", suffix(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in rows} == {n: PurePath(n).suffix.lower() if n not in ("..foo", "foo.") else {"..foo": ".foo", "foo.": ""}[n] for n in names}
+
+
+def test_parsed_extension(spark):
+    cases = {"mp4": ".mp4", ".MP4": ".mp4", "*.webm": ".webm", " jpg ": ".jpg", "mp4,webm": None, "": None, "toolongextension": None, "a b": None, "x\n": None}
+    rows = spark.createDataFrame([(n,) for n in cases], "n string").select("n", parsed_extension(F.col("n")).alias("e")).collect()
+    assert {r["n"]: r["e"] for r in rows} == cases
+
+
+def test_windows_path(spark):
+    cases = {"/mnt/c/foo/bar": "C:\\foo\\bar", "/mnt/d": "D:\\", "/home/x": None, "/mnt/cc/x": None}
+    rows = spark.createDataFrame([(n,) for n in cases], "n string").select("n", windows_path(F.col("n")).alias("e")).collect()
+    assert {r["n"]: r["e"] for r in rows} == cases
+
+
+def test_extension_arguments():
+    assert args.extension("*.MP4") == ".mp4" and args.extension("sh") == ".sh"
+    for bad in ("mp4,webm", ".sh", "run.exe", "a;b", "", "rm -rf", "a\x01", "é"):
+        with pytest.raises(args.ArgumentError):
+            args.extension(bad)
+    assert args.extensions(["mp4", " ", ".jpg", "mp4"]) == [".jpg", ".mp4"] and args.extensions([""]) is None
+
+
+def test_folder_arguments(tmp_path):
+    good = tmp_path / "Photos #1 & family!"
+    good.mkdir()
+    assert args.folder(str(good)) == good.resolve()
+    for bad in ("rm -rf photos", str(tmp_path / "none"), "node.js", "a\x00b"):
+        with pytest.raises(args.ArgumentError):
+            args.folder(bad)
+    assert [args.folder_choice(x) for x in ("", " .. ", "12", "some dir")] == ["", "..", "12", "some dir"]
+    assert args.choice(" a ", {"A", "B"}) == "A"
+    with pytest.raises(args.ArgumentError):
+        args.choice("c", {"A", "B"})
+
+
+@given(st.text(max_size=12))
+def test_any_extension(raw):
+    try:
+        got = args.extension(raw)
+    except args.ArgumentError:
+        return
+    assert got[0] == "." and 1 <= len(got[1:]) <= 10 and got[1:].isalnum() and got == got.lower()

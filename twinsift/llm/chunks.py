@@ -63,8 +63,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, start, end (bytes of the UTF-8 text), words, first_doc_id and is_first for every repeated passage of over min_words.
 
     Occurrences in one document alone don't count. first_doc_id is the smallest id that holds some chunk of the passage; is_first says
-    that it is this document. A null or empty text has no passages; rows with a null id are left out; rows of one id are
-    one document; an empty table gives no rows; other columns are not read.
+    that it is this document. A null or empty text has no passages; rows with a null id are left out; an id
+    stands for one text, and of its repeated rows one counts; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -81,8 +81,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table = materialise(base.mapInArrow(cut, "digest long, doc_id long, start int, end int, words int, before int, after int"), "chunks")
     repeated = table.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest", "low")
     hit = table.join(repeated, "digest").select("doc_id", "start", "end", "words", "before", "after", "low")
-    by = W.partitionBy("doc_id").orderBy("start")
-    runs = hit.withColumn("new", (F.coalesce(F.lag("end").over(by), F.lit(-1)) != F.col("start")).cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    by = W.partitionBy("doc_id").orderBy("start", "end")
+    again = F.coalesce(F.lag("start").over(by) == F.col("start"), F.lit(False))  # a chunk of a repeated row
+    hit = hit.withColumn("again", again).withColumn("words", F.when(F.col("again"), 0).otherwise(F.col("words")))
+    goes_on = F.col("again") | (F.coalesce(F.lag("end").over(by), F.lit(-1)) == F.col("start"))
+    runs = hit.withColumn("new", (~goes_on).cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("low").alias("first_doc_id"),
         F.min_by("before", "start").alias("before"), F.max_by("after", "start").alias("after"),

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.llm._util import materialise
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST = 20  # letters of a word
 
@@ -122,7 +124,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, exa
     """
     model = NaiveBayes(examples)
     seeds = pages.sparkSession.createDataFrame([(w,) for w in sorted(model.weights)], "word string").withColumn("n", F.lit(1).cast("long"))
-    counts = word_counts(pages, html_col).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialise(word_counts(pages, html_col).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")), "counts")
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

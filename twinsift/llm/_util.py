@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BLOCK = 16_384  # rows of a table that are looked up at once, so that what they give stays in the cache
 _own: dict[str, str] = {}
 
 
@@ -39,7 +41,7 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared scratch folder and reads it back: lineage ends at a durable table."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._twinsift_path = path
     return out
@@ -50,6 +52,26 @@ def forget(df: DataFrame) -> None:
     drop_scratch(df.sparkSession, df._twinsift_path)
 
 
+_caches: list = []
+
+
+def sole(cache) -> None:
+    """Says that this task uses `cache` (anything with clear()); a worker that serves several operators in turn empties the others."""
+    if not any(c is cache for c in _caches):
+        _caches.append(cache)
+    if _caches[-1] is not cache:
+        for c in _caches:
+            if c is not cache:
+                c.clear()
+        _caches[:] = [*(c for c in _caches if c is not cache), cache]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have been written out; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds an Arrow batch by rows and bytes, so that a run of very long texts does not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -103,6 +125,33 @@ def sum_blocks(partials: DataFrame, shape: tuple[int, ...], rows: int) -> np.nda
     return out
 
 
+def summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of the table's rows that each row names, a block at a time."""
+    out = np.empty((len(rows), table.shape[1]), table.dtype)
+    step = max(1, BLOCK // rows.shape[1])
+    for lo in range(0, len(rows), step):
+        out[lo : lo + step] = table[rows[lo : lo + step]].sum(1)
+    return out
+
+
+def summed_by_key(table: np.ndarray, rows: np.ndarray, keys: np.ndarray, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, which ascend, and the sum of each key's rows of the table, whose last row is zero.
+
+    Rows are summed `width` at a time, then the sums likewise, until each key has one.
+    """
+    while True:
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        count = np.diff(first, append=len(keys))
+        parts = -(-count // width)
+        slot = np.arange(len(keys)) + np.repeat((np.cumsum(parts) - parts) * width - first, count)
+        full = np.full(int(parts.sum()) * width, len(table) - 1, np.int64)
+        full[slot] = rows
+        sums = summed(table, full.reshape(-1, width))
+        if len(sums) == len(first):
+            return keys[first], sums
+        table, rows, keys = np.vstack([sums, np.zeros((1, sums.shape[1]), sums.dtype)]), np.arange(len(sums)), np.repeat(keys[first], parts)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import materialise, small_batches
+from twinsift.llm._util import forget, materialise, release, small_batches, sole
 from twinsift.llm.components import connected_components
 
 _U = np.uint64
-_SPARE, _SHARE = 2, 0.03  # ranges beyond D + 1, and the share of ranges that may be empty besides
+_SPARE, _SHARE = 2, 0.08  # ranges beyond D + 1: so many, and this share of D besides
 
 
 class _WordHash(dict):
@@ -50,7 +50,8 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
+    sole(_words)
+    if len(_words) > 300_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(n, len(h))
@@ -85,29 +86,65 @@ class Bounds:
         spare = _SPARE + int(differ * _SHARE)
         return differ + 1 + spare, spare
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """One 64-bit signature for each range that holds hashes, under the set's class and the next.
+    def signatures(self, s: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """One 64-bit signature for each range that holds a hash not in `common`, under the set's class and the next.
 
-        Of linked sets' ranges at least spare + 1 agree. A set with more than `spare` empty ranges gives signatures of
-        those too: where only empty ranges agree, both sets have that many.
+        Of linked sets' ranges at least spare + 1 agree. A set in which more than `spare` ranges are blank (empty, or of
+        common hashes alone) gives signatures of those too: where only blank ranges agree, both sets have that many. So
+        the list of common hashes, which keeps shared lines from joining blocks, changes no link, whatever it holds.
         """
         if not len(s) or self.need(len(s), len(s) + 1) > len(s):
             return np.zeros(0, np.int64)  # too small to be linked with another set
         c = self.size_class(len(s))
+        mixed = _mix(s ^ _U(0x5851F42D4C957F2D))
+        at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+        rare = common[at] != s if len(common) else np.ones(len(s), bool)
         out = []
         for label in (c, c + 1):
             k, spare = self.ranges(label)
             at = ((s >> _U(32)) * _U(k)) >> _U(32)
             first = np.flatnonzero(np.diff(at, prepend=_U(2**63)))
-            sums = np.add.reduceat(_mix(s ^ _U(0x5851F42D4C957F2D)), first)
-            seg = at[first]
-            if k - len(seg) > spare:
+            seg, sums = at[first], np.add.reduceat(mixed, first)
+            told = np.add.reduceat(rare, first, dtype=np.int64) > 0
+            if k - np.count_nonzero(told) <= spare:
+                seg, sums = seg[told], sums[told]
+            elif len(seg) < k:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg)
                 seg, sums = np.concatenate([seg, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
             out.append(_mix(sums + _mix(seg + _U(label << 40))))
         return np.concatenate(out).view(np.int64)
 
 
+def common_shingles(base: DataFrame, n: int, most: int = 65_536, chunk: int = 1_000_000) -> np.ndarray:
+    """The hashes of the commonest shingles, at most `most`, sorted: those that chunks of a million shingles repeat, by count."""
+
+    def repeated(batches):
+        held, size, local = [], 0, set()
+
+        def close():
+            h, k = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[k > 1].view(np.int64)), pa.array(k[k > 1], pa.int64())], names=["h", "k"])
+
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                s = shingle_set(text, n)
+                d = xxhash.xxh3_64_intdigest(s)
+                if d in local:
+                    continue  # a copy
+                local.add(d)
+                held.append(s)
+                size += len(s)
+                if size >= chunk:
+                    yield close()
+                    held, size, local = [], 0, set()
+        if held:
+            yield close()
+
+    counted = base.mapInArrow(repeated, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
+    top = counted.orderBy(F.desc("k"), "h").limit(most).select("h").toArrow()
+    return np.sort(top["h"].to_numpy().view(np.uint64)) if len(top) else np.zeros(0, np.uint64)
+
+
 def product_links(x: list[np.ndarray], y: list[np.ndarray] | None, bounds: Bounds, columns: int = 4096) -> np.ndarray:
     """Which sets of x and y are linked (y None: of x among themselves), as a boolean matrix."""
     y_ = x if y is None else y
@@ -239,19 +276,28 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
                 first = doc is not None and len(s) and d not in local
                 if first:
                     local.add(d)
-                signatures.append(bounds.signatures(s) if first else None)
+                signatures.append(bounds.signatures(s, shared.value) if first else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "signatures"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    shared = spark.sparkContext.broadcast(common_shingles(base, n))
     table = materialise(base.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, signatures array<long>"), "sets")
     own = table.filter("n_shingles > 0 and doc_id is not null")
-    firsts = own.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+
+    def rows_of_matrix(t):
+        return t.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+
+    firsts = rows_of_matrix(table)
 
     # rows of the matrix that share a signature, and the copies that gave signatures with the row they belong to
-    shared = own.filter("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
-    same = shared.select("doc_id", F.min("doc_id").over(W.partitionBy("signature").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)).alias("low")).filter("doc_id <> low").distinct()
+    signs = own.filter("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
+    same = signs.select("doc_id", F.min("doc_id").over(W.partitionBy("signature").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)).alias("low")).filter("doc_id <> low").distinct()
     copies = own.filter("signatures is not null").join(firsts, "digest").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("low"))
     blocks = connected_components(same.unionByName(copies).select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    signed, table = table, materialise(table.select("doc_id", "n_shingles", "digest"), "sizes")
+    forget(signed)
+    release(spark)
+    firsts = rows_of_matrix(table)
     rows = materialise(firsts.join(blocks, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("component").alias("block")).distinct(), "rows")
     rows = rows.join(table.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("doc_id", "block").agg(F.max("n_shingles").alias("n"))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import PARTIAL, id_and_text, partial_blocks, small_batches, sum_blocks, texts_of
+from twinsift.llm._util import PARTIAL, id_and_text, partial_blocks, small_batches, sole, sum_blocks, summed_by_key, texts_of
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _BLOCK = 256
@@ -46,7 +46,8 @@ _caches: dict[int, _Buckets] = {}
 def bucket_ids(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' token buckets in a row, and the number of tokens of each text."""
     memo = _caches.setdefault(buckets, _Buckets(buckets))
-    if len(memo) > 500_000:
+    sole(memo)
+    if len(memo) > 400_000:
         memo.clear()
     words: list[str] = []
     ends = []
@@ -71,16 +72,15 @@ def context_sums(ids: np.ndarray, lens: np.ndarray, index: np.ndarray, reach: in
     gap = len(index) - 1
     row = np.full(len(ids) + reach * (len(lens) + 1), gap, np.int64)
     row[np.arange(len(ids)) + reach * (1 + np.repeat(np.arange(len(lens)), lens))] = ids
-    v = index[row]
-    near = np.zeros_like(v)
+    v = index[row].astype(np.float32)
+    near = np.zeros((len(row) + 1, v.shape[1]), np.float32)  # small whole numbers, so float sums are exact
     for k in range(1, reach + 1):
-        near[k:] += v[:-k]
-        near[:-k] += v[k:]
+        near[k:-1] += v[:-k]
+        near[: -k - 1] += v[k:]
     order = np.argsort(row.astype(np.uint16) if gap < 1 << 16 else row, kind="stable")
-    keys = row[order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys, sums = summed_by_key(near, order, row[order])
     out = np.zeros(index.shape, np.int64)
-    out[keys[first]] = np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
+    out[keys] = sums
     return out[:-1]
 
 
@@ -105,15 +105,19 @@ class QualityModel:
             return out
         n = lens[some, None].astype(np.float32)
         starts = (np.cumsum(lens) - lens)[some]
-        v = self.vectors[ids]
-        mean = np.add.reduceat(v, starts, axis=0) / n
-        v *= v
-        spread = np.sqrt(np.maximum(np.add.reduceat(v, starts, axis=0) / n - mean * mean, 0))
-        index = np.add.reduceat(index_vectors(self.buckets, self.dims)[ids], starts, axis=0, dtype=np.int64) / n
+        index = index_vectors(self.buckets, self.dims).astype(np.float32)
+        mean, square, common = (np.empty((len(some), self.dims), np.float32) for _ in range(3))
+        for k, (a, e) in enumerate(zip(starts.tolist(), (starts + lens[some]).tolist(), strict=True)):
+            v = self.vectors[ids[a:e]]
+            mean[k] = v.sum(0)
+            square[k] = np.einsum("ij,ij->j", v, v)
+            common[k] = index[ids[a:e]].sum(0)
+        mean, common = mean / n, common / n
+        spread = np.sqrt(np.maximum(square / n - mean * mean, 0))
         again = np.append(ids[1:] == ids[:-1], False)
         again[starts[1:] - 1] = False
         again = np.add.reduceat(again, starts, dtype=np.int64)[:, None] / n
-        out[some] = np.hstack([mean, spread, np.log1p(n), np.linalg.norm(index, axis=1, keepdims=True), again])
+        out[some] = np.hstack([mean, spread, np.log1p(n), np.linalg.norm(common, axis=1, keepdims=True), again])
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:

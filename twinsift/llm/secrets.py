@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import id_and_text, small_batches, texts_of
+from twinsift.llm._util import id_and_text, small_batches, sole, texts_of
 
 # Fixed patterns of the base scan; a match stands if its last group is long enough
 KINDS = ("assign", "access", "hex", "field")
@@ -128,7 +128,8 @@ _codes = _Codes()
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all tokens in a row, and each text's number of tokens."""
-    if len(_codes) > 400_000:
+    sole(_codes)
+    if len(_codes) > 300_000:
         _codes.clear()
     words: list[str] = []
     ends = []

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from twinsift.llm import tokens
-from twinsift.llm._util import id_and_text, scratch, small_batches
+from twinsift.llm._util import drop_scratch, id_and_text, scratch, small_batches
 
 MAGIC = b"TWSIDS01"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         if counts.any():  # one more row holds this task's counts
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([0], pa.int32())], names=["doc_id", "ids", "size"])
 
-    id_and_text(docs, id_col, text_col).mapInArrow(tokenise, "doc_id long, ids binary, size int").write.parquet(spool)
+    id_and_text(docs, id_col, text_col).mapInArrow(tokenise, "doc_id long, ids binary, size int").write.option("compression", "zstd").parquet(spool)
     table = spark.read.schema("doc_id long, ids binary, size int").parquet(spool)
 
     def count_rows(batches):
@@ -163,6 +163,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     ordered = table.filter("size > 0").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     manifest = f"{folder}/manifest"
     ordered.mapInArrow(write, "part long, chunk long, uri string, docs long, ids long").write.parquet(manifest)
+    drop_scratch(spark, spool)
     return spark.read.schema("part long, chunk long, uri string, docs long, ids long").parquet(manifest)
 
 

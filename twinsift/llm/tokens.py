@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from twinsift.llm._util import sole
+
 END = 1
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict = {}
@@ -160,4 +162,5 @@ def encoder(path: str, spaced: bool) -> PieceEncoder:
     """One encoder for each Python worker and file, kept from task to task."""
     if (path, spaced) not in _encoders:
         _encoders[path, spaced] = PieceEncoder(path, spaced)
+    sole(_encoders[path, spaced])
     return _encoders[path, spaced]

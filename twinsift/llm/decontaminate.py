@@ -12,39 +12,66 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import PARTIAL, forget, id_and_text, materialise, partial_blocks, small_batches, sum_blocks, texts_of
+from twinsift.llm._util import BLOCK, PARTIAL, forget, id_and_text, materialise, partial_blocks, small_batches, sum_blocks, summed, summed_by_key
 
 _SCALE = 1 << 16
 _SEG, _SMALL, _LARGE = 8, 16, 32
 _TABLE = 4096
-_STRIP = ".,;:!?\"'()[]{}"
+_STRIP = np.zeros(256, bool)
+_STRIP[list(b".,;:!?\"'()[]{}")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-class _WordHash(dict):
-    """word -> 32-bit hash; a cache, emptied when full."""
+def word_ids(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts in a row, and each text's number of words.
 
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh32_intdigest(word.strip(_STRIP))
-        return h
-
-
-_words = _WordHash()
-
-
-def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts in a row, and each text's number of words."""
-    if len(_words) > 500_000:
-        _words.clear()
-    words: list[str] = []
-    ends = []
-    for t in texts:
-        words += t.lower().split()
-        ends.append(len(words))
-    return np.fromiter(map(_words.__getitem__, words), np.uint32, len(words)), np.diff(ends, prepend=0)
+    texts: strings, or an Arrow array whose nulls are empty. Words end at blanks; marks at their ends don't count. The
+    hash is a polynomial in the word's bytes, worked out for all words of a block at once.
+    """
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    if not len(column):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    column = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+    word = ~_BLANK[data]
+    fresh = np.zeros(len(data) + 1, bool)  # before these bytes a word can't go on
+    fresh[offsets] = True
+    fresh[1:] |= ~word
+    starts = np.flatnonzero(word & fresh[:-1])
+    after = fresh[1:].copy()
+    after[:-1] = ~word[1:]
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    ends = np.flatnonzero(word & after) + 1
+    lens = np.diff(np.searchsorted(starts, offsets))
+    while (m := (ends > starts) & _STRIP[data[ends - 1]]).any():
+        ends = ends - m
+    while (m := (ends > starts) & _STRIP[data[np.minimum(starts, len(data) - 1)]]).any():
+        starts = starts + m
+    out = np.zeros(len(starts), np.uint32)
+    for lo in range(0, len(starts), BLOCK):
+        s, e = starts[lo : lo + BLOCK], ends[lo : lo + BLOCK]
+        part = data[s[0] : e[-1]]
+        room = np.diff(s - s[0], append=len(part))
+        at = np.arange(len(part)) - np.repeat(s - s[0], room)
+        power = np.cumprod(np.append(np.uint64(1), np.full(max(room.max(), 1), 0x9E3779B97F4A7C15, np.uint64)))
+        value = (part.astype(np.uint64) + np.uint64(1)) * power[at]
+        value[at >= np.repeat(e - s, room)] = 0
+        h = np.zeros(len(s), np.uint64)
+        some = np.flatnonzero(room > 0)
+        h[some] = np.add.reduceat(value, (s - s[0])[some])
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[lo : lo + BLOCK] = (h >> np.uint64(32)).astype(np.uint32)
+    return out, lens
 
 
 def cuts(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +82,25 @@ def cuts(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(lens) - lens, n) + within * size, doc
 
 
+def in_pieces(col: np.ndarray, lens: np.ndarray, size: int, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of a batch's words as rows of `size` words, documents filled up with `none`; each row's start and document."""
+    starts, doc = cuts(lens, size)
+    at = starts[:, None] + np.arange(size)
+    inside = at < np.cumsum(lens)[doc, None]
+    return np.where(inside, col[np.where(inside, at, 0)], none).astype(np.int32), starts, doc
+
+
+def gram_share(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
+    """Adds these passages' share of A'A Omega to z; the last row of table and of z stands for no word."""
+    for lo in range(0, len(rows), 8192):
+        part = rows[lo : lo + 8192]
+        y = np.vstack([summed(table, part), np.zeros((1, table.shape[1]), table.dtype)])
+        col = part.ravel().astype(np.uint16)
+        order = np.argsort(col, kind="stable")
+        keys, sums = summed_by_key(y, order // rows.shape[1], col[order].astype(np.int64))
+        z[keys] += sums
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     full = (1 << len(a)) - 1
@@ -92,7 +138,7 @@ class Benchmark:
                 of.append(j)
         rank = project.shape[1]
         self.small, self.large = ((np.array([x / max(np.linalg.norm(x), 1e-9) for x in v], np.float32).reshape(-1, rank), np.array(j, np.int64)) for v, j in (small, large))
-        self.weights = np.zeros((len(self.ids), _TABLE), np.float32)
+        self.weights = np.zeros((len(self.ids), _TABLE + 1), np.float32)  # the last column stands for no word
         self.full = np.zeros(len(self.ids), np.float32)
         self.share = np.array([min(1.0, _LARGE / len(w)) for w in self.words], np.float32)
         for j, w in enumerate(self.words):
@@ -103,43 +149,45 @@ class Benchmark:
 
 def _near(ids, lens, project, bench, cosine, coverage):
     """(document, item, first word, last word, cosine) of the windows that are near an item and cover enough of it."""
-    f = len(project)
-    starts, doc = cuts(lens, _SEG)
-    if not len(starts):
-        return []
-    s = np.add.reduceat(project[ids % f], starts, axis=0)
+    f = len(project) - 1
+    rows, starts, doc = in_pieces((ids % f).astype(np.int32), lens, _SEG, f)
+    s = summed(project, rows)
     ends = np.cumsum(lens)
-
-    def shifted(x, k):
-        out = np.zeros_like(x)
-        if len(x) > k:
-            out[:-k] = x[k:] * (doc[k:] == doc[:-k])[:, None]
-        return out
-
-    pairs = s + shifted(s, 1)
+    column = np.append((ids % _TABLE).astype(np.int16), np.full(_LARGE, _TABLE, np.int16))
     found = []
-    for (vectors, item), windows, at, size in ((bench.small, pairs, starts, _SMALL), (bench.large, (pairs + shifted(pairs, 2))[::2], starts[::2], _LARGE)):
-        if not len(item):
-            continue
-        owner = doc if size == _SMALL else doc[::2]
-        unit = windows / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
-        for lo in range(0, len(unit), 8192):
-            c = unit[lo : lo + 8192] @ vectors.T
-            w, q = np.nonzero(c >= cosine)
-            for k in range(0, len(w), 1 << 17):
-                wk, qk = w[k : k + (1 << 17)] + lo, q[k : k + (1 << 17)]
-                place = at[wk, None] + np.arange(size)
-                inside = place < ends[owner[wk], None]
-                j = item[qk]
-                got = (bench.weights[j[:, None], ids[np.where(inside, place, 0)] % _TABLE] * inside).sum(1)
-                ok = np.flatnonzero(got >= coverage * bench.full[j] * bench.share[j])
-                found += zip(owner[wk[ok]].tolist(), j[ok].tolist(), at[wk[ok]].tolist(), np.minimum(at[wk[ok]] + size, ends[owner[wk[ok]]]).tolist(), c[wk[ok] - lo, qk[ok]].tolist(), strict=True)
+    for lo in range(0, len(s), 2048):
+        part, d = s[lo : lo + 2051], doc[lo : lo + 2051]
+        n = min(2048, len(s) - lo)
+        pair = part.copy()
+        pair[:-1] += part[1:] * (d[1:] == d[:-1])[:, None]
+        four = pair[:n].copy()
+        reach = min(n, len(pair) - 2)
+        if reach > 0:
+            four[:reach] += pair[2 : 2 + reach] * (d[2 : 2 + reach] == d[:reach])[:, None]
+        for (vectors, item), window, at, size in ((bench.small, pair[:n], np.arange(lo, lo + n), _SMALL), (bench.large, four[::2], np.arange(lo, lo + n, 2), _LARGE)):
+            if not len(item):
+                continue
+            c = (window / np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]) @ vectors.T
+            w, q = np.divmod(np.flatnonzero(c.ravel() >= cosine), len(item))
+            j = item[q]
+            new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (j[1:] != j[:-1])) if len(w) else [])
+            best = np.maximum.reduceat(c[w, q], new) if len(new) else np.zeros(0)
+            w, j = w[new], j[new].astype(np.int32)
+            first = starts[at]
+            last = np.minimum(first + size, ends[doc[at]])
+            words = column[first[:, None] + np.arange(size)]
+            words[np.arange(size) >= (last - first)[:, None]] = _TABLE
+            for k in range(0, len(w), 1 << 13):
+                wk, jk = w[k : k + (1 << 13)], j[k : k + (1 << 13)]
+                got = bench.weights.ravel().take(words[wk] + (jk * (_TABLE + 1))[:, None]).sum(1)
+                ok = np.flatnonzero(got >= coverage * bench.full[jk] * bench.share[jk])
+                found += zip(doc[at[wk[ok]]].tolist(), jk[ok].tolist(), first[wk[ok]].tolist(), last[wk[ok]].tolist(), best[k + ok].tolist(), strict=True)
     return found
 
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None,
-    features: int = 16_384, rank: int = 48, cosine: float = 0.7, coverage: float = 0.45, share: float = 0.6, answer_share: float = 0.6, block: int = 2000,
+    features: int = 16_384, rank: int = 64, cosine: float = 0.65, coverage: float = 0.45, share: float = 0.6, answer_share: float = 0.6, block: int = 2000,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs, lcs_share, answer_share for every document that holds an item.
 
@@ -150,19 +198,21 @@ def find_contamination(
     an empty table gives no rows; other columns are not read. Items are compared in blocks of `block`.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
 
     def spool(batches):
         df, n = np.zeros(features, np.int64), 0
         for b in batches:
-            ids, lens = word_ids(texts_of(b))
+            ids, lens = word_ids(b.column(1))
             starts, _ = cuts(lens, _LARGE)
-            passage = np.zeros(len(ids), np.int32)
-            passage[starts[1:]] = 1
-            passage = np.cumsum(passage, dtype=np.int32) if len(starts) * features < 1 << 31 else np.cumsum(passage, dtype=np.int64)
             if len(ids):
-                once = np.unique(passage * features + (ids % features).astype(passage.dtype))
-                df += np.bincount(once % features, minlength=features)
+                passage = np.zeros(len(ids), np.int32)
+                passage[starts[1:]] = 1
+                col = (ids % features).astype(np.uint16)
+                order = np.argsort(col, kind="stable")
+                passage, col = np.cumsum(passage, dtype=np.int32)[order], col[order]
+                once = np.append(True, (passage[1:] != passage[:-1]) | (col[1:] != col[:-1]))  # a word counts once a passage
+                df += np.bincount(col[once], minlength=features)
                 n += len(starts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]) * 4, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), len(lens), [None, offsets.buffers()[1], pa.py_buffer(ids)]), pa.array([True] * len(lens))], names=["doc_id", "ids", "is_doc"])
@@ -183,7 +233,7 @@ def find_contamination(
     total = sum_blocks(counts.mapInArrow(add_counts, PARTIAL), (features + 1,), features + 1)
     idf = np.log((total[0] + 1) / (total[1:] + 1)).astype(np.float32)
     omega = np.random.default_rng(11).normal(size=(features, rank)).astype(np.float32)
-    weighted = spark.sparkContext.broadcast(omega * idf[:, None])
+    weighted = spark.sparkContext.broadcast(np.vstack([omega * idf[:, None], np.zeros((1, rank), np.float32)]))
 
     def documents(b):
         raw = b.column(0)
@@ -193,20 +243,12 @@ def find_contamination(
         return ids, np.diff(at).astype(np.int64)
 
     def gram(batches):
-        w, z = weighted.value, np.zeros((features, rank))
+        w, z = weighted.value, np.zeros((features + 1, rank), np.float32)
         for b in batches:
             ids, lens = documents(b)
-            starts, _ = cuts(lens, _LARGE)
-            if not len(ids):
-                continue
-            col = (ids % features).astype(np.uint16)
-            y = np.add.reduceat(w[col], starts, axis=0)
-            mark = np.zeros(len(ids), np.int64)
-            mark[starts[1:]] = 1
-            order = np.argsort(col, kind="stable")
-            first = np.flatnonzero(np.diff(col[order].astype(np.int64), prepend=-1))
-            z[col[order][first]] += np.add.reduceat(y[np.cumsum(mark)[order]], first, axis=0)
-        yield from partial_blocks(np.rint(z * _SCALE).astype(np.int64), 256)
+            if len(ids):
+                gram_share(z, w, in_pieces((ids % features).astype(np.int32), lens, _LARGE, features)[0])
+        yield from partial_blocks(np.rint(z[:-1].astype(np.float64) * _SCALE).astype(np.int64), 256)
 
     words = table.filter("is_doc")
     z = sum_blocks(words.select("ids").mapInArrow(gram, PARTIAL), (features, rank), 256) / _SCALE * idf[:, None]
@@ -215,6 +257,7 @@ def find_contamination(
     values = np.maximum(values, max(values.max(), 1e-9) * 1e-9)
     u, sigma, _ = np.linalg.svd(z @ (vectors / np.sqrt(values)), full_matrices=False)
     project = (u / np.maximum(sigma, max(sigma.max(), 1e-9) * 1e-6) * sigma.max() * idf[:, None]).astype(np.float32)
+    project = np.vstack([project, np.zeros((1, rank), np.float32)])
 
     def search(shared):
         def run(batches):

@@ -1,10 +1,16 @@
 """The n-gram join against all pairs of a small table."""
 
+import os
+
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tests.conftest import DATA
 from tests.llm.conftest import odd_rows, prose, rng, table
 
 from twinsift.llm import jaccard_join as J
+from twinsift.llm import queries
 from twinsift.llm.components import connected_components
 
 
@@ -105,6 +111,14 @@ def test_linked_sets_share_a_signature(data):
     assert J.product_links([x], [y], b)[0, 0] and J.product_links([x, y], None, b, columns=7)[0, 1]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()["op8_ngram_join"])
+    assert sorted(map(tuple, queries.op8_ngram_join(spark, DATA).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_components(spark):
     edges = [(5, 3), (3, 9), (9, 1), (7, 8), (8, 7), (4, 4), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
     out = connected_components(spark.createDataFrame(edges, "a long, b long"))

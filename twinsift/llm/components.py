@@ -12,19 +12,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a long, b long) -> node, component (the smallest node that edges reach).
 
     Nulls and loops are left out; repeated edges count once; no edges, no rows. Every node's minimum comes from a
-    partially aggregated group, and the joins back are ones whose hot keys Spark can split. Each round is written to the
+    partially aggregated group and is written before the edges are joined with it, so Spark can split a node that a third
+    of the edges share. Each round is written to the
     shared scratch folder, so a lost executor costs one round at most.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "large")
+        forget(low)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # u is the larger end here, and each has few
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
         after = materialise(small, "edges")
         forget(now)
+        forget(large)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

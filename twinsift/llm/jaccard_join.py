@@ -320,13 +320,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     linked = work.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile").mapInArrow(_links(percent), "a long, b long")
     groups = connected_components(linked)
 
-    return (
-        table.select("doc_id", "n_shingles", "digest")
-        .join(firsts, "digest", "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    )
+    # one row for each set; written, so that Spark can split a set that a third of the documents have
+    found = materialise(firsts.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "groups")
+    own_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return table.join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,3 +331,21 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     classes = jaccard_components(docs, n, percent, id_col, text_col)
     gone = classes.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+
+
+def oracle(n: int = 3, percent: int = 90) -> str:
+    """DuckDB SQL for jaccard_components() over the table documents: every pair that shares an n-gram, then reachability."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+    ), sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' '))) END AS s FROM words
+    ), grams AS (SELECT doc_id, len(s) AS k, unnest(s) AS g FROM sets
+    ), links AS (
+      SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.k, b.k) >= {percent} * greatest(a.k, b.k)
+      GROUP BY a.doc_id, b.doc_id, a.k, b.k HAVING 100 * count(*) >= {percent} * (a.k + b.k - count(*))
+    ), reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.to_id
+    ), low AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
+    SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets LEFT JOIN low USING (doc_id)
+    """

@@ -63,4 +63,4 @@ def queries() -> Queries:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_fingerprints": fingerprints.oracle()}
+    return {"op8_ngram_join": jaccard_join.oracle(), "op10_fingerprints": fingerprints.oracle()}

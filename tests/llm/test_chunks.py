@@ -32,6 +32,17 @@ def test_copies_and_removal(spark):
     assert all(len(t) < 0.4 * len(a) + 200 for i, t in out if i in (3, 4))
 
 
+def test_words_over_and_over(spark):
+    rows = [(1, prose(rng(1), 60) + " so it" * 90), (2, prose(rng(2), 60) + " so it" * 200), (3, "so it " * 4), (4, "z" * 5000)]
+    assert {x["doc_id"] for x in C.repeated_passages(table(spark, rows)).collect()} <= {1, 2}
+
+
+def test_blanks_do_not_matter(spark):
+    a = prose(rng(11), 90)
+    rows = [(1, a), (2, a.replace(". ", ".\n")), (3, a.replace(" ", "  \t")), (4, prose(rng(12), 90))]
+    assert {x["doc_id"] for x in C.repeated_passages(table(spark, rows)).collect()} == {1, 2, 3}
+
+
 def test_repeats_inside_one_document_do_not_count(spark):
     a = prose(rng(7), 80)
     assert C.repeated_passages(table(spark, [(1, f"{a} {a}"), (2, "other words")])).count() == 0
@@ -46,12 +57,19 @@ def test_odd_rows(spark, odd, nothing):
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=400), st.binary(min_size=400, max_size=600), st.binary(max_size=40))
 def test_cuts_resist_shifts(head, body, inserted):
-    """Past the reach of the hash and the least distance, an insertion moves no cut."""
+    """Past the reach of the hash and of the comparison, an insertion moves no cut."""
     a = C.cut_points(np.frombuffer(head + body, np.uint8)) - len(head)
     b = C.cut_points(np.frombuffer(head + inserted + body, np.uint8)) - len(head) - len(inserted)
-    far = C._REACH + 12
-    candidates = [{x for x in cuts.tolist() if x > far} for cuts in (a, b)]
-    assert candidates[0] ^ candidates[1] <= {x for x in candidates[0] | candidates[1] if x <= 2 * far}
+    far = C._REACH + 15 + C._CLOSE
+    assert {x for x in a.tolist() if x > far} == {x for x in b.tolist() if x > far}
+
+
+def test_cuts_are_the_local_tops():
+    data = np.frombuffer(prose(rng(1), 60).encode(), np.uint8)
+    h = [sum(int(C._GEAR[data[i - k]]) << k for k in range(min(C._REACH, i + 1))) % 65536 for i in range(len(data))]
+    want = [i + 1 for i in range(15, len(data) - 1) if h[i] >= max(h[i - 15 : i]) and h[i] >= max(h[i + 1 : i + 16], default=0)]
+    want = [x for k, x in enumerate(want) if not k or x - want[k - 1] >= 8]
+    assert C.cut_points(data).tolist() == [*want, len(data)]
 
 
 @given(st.text(max_size=200))

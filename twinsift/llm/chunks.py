@@ -1,7 +1,7 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A gear hash of the last 16 bytes is rolled over each text; where its top bits are zero a chunk ends, unless another such
-place lies just before. So cuts depend on nearby bytes alone, and chunks line up again after an insertion. A chunk whose
+A gear hash of the last 16 bytes is rolled over each text; a chunk ends where it is as high as anywhere within 15 places. So cuts depend on nearby bytes alone, chunks line up again after an insertion, and few are much longer than
+the mean of 31 bytes. Blanks of any kind and number count as one space. A chunk whose
 digest occurs in several documents is repeated; neighbouring repeated chunks make a passage. A passage's ends fall inside
 the chunks around it, so half of those chunks' words are counted to it.
 """
@@ -20,9 +20,22 @@ from twinsift.llm._util import materialise, small_batches
 
 _GEAR = np.random.default_rng(1616).integers(0, 1 << 16, 256, dtype=np.uint16)
 _REACH = 16
+_CLOSE = 8  # of equal tops, as in text that repeats a few words over and over, those less than this apart are no cuts
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def cut_points(data: np.ndarray, bits: int = 4, least: int = 12) -> np.ndarray:
+def _highest(h: np.ndarray, width: int) -> np.ndarray:
+    """The highest of each value and the width - 1 after it, by doubling; zeros stand beyond the end."""
+    out, have = np.append(h, np.zeros(width, h.dtype)), 1
+    while have < width:
+        step = min(have, width - have)
+        out[:-step] = np.maximum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def cut_points(data: np.ndarray, around: int = 15) -> np.ndarray:
     """Where chunks of these bytes end (exclusive), the end of the data included."""
     if not len(data):
         return np.zeros(0, np.int64)
@@ -30,36 +43,43 @@ def cut_points(data: np.ndarray, bits: int = 4, least: int = 12) -> np.ndarray:
     h = g.copy()
     for k in range(1, min(_REACH, len(g))):
         h[k:] += g[:-k] << np.uint16(k)
-    ends = np.flatnonzero(h >> np.uint16(16 - bits) == 0) + 1
-    ends = ends[ends < len(data)]
+    high = _highest(h, around)
+    top = h >= high[1 : len(h) + 1]
+    top[around:] &= h[around:] >= high[: max(0, len(h) - around)]
+    top[:around] = False
+    ends = np.flatnonzero(top) + 1
+    ends = ends[(ends < len(data)) & (np.diff(ends, prepend=-_CLOSE) >= _CLOSE)]
     ends = ends[(data[ends] & 0xC0) != 0x80]  # not inside a code point
-    ends = ends[np.diff(ends, prepend=-least) >= least]
     return np.append(ends, len(data))
 
 
-def chunk_rows(ids: list, texts: list[bytes], bits: int = 4, least: int = 12) -> tuple[list[np.ndarray], list]:
+def chunk_rows(ids: list, texts: list[bytes], around: int = 15) -> tuple[list[np.ndarray], list]:
     """(digest, start, end, words) columns of all chunks, and each chunk's document. Offsets are bytes."""
     digests: list[int] = []
     docs: list = []
     starts, ends, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for key, raw in zip(ids, texts, strict=True):
         data = np.frombuffer(raw, np.uint8)
-        e = cut_points(data, bits, least)
-        if not len(e):
+        if not len(data):
             continue
-        s = np.concatenate([[0], e[:-1]])
-        blank = (data == 32) | (data >= 9) & (data <= 13)
+        blank = _BLANK[data]
         first = ~blank
         first[1:] &= blank[:-1]
-        words.append(np.add.reduceat(first, s, dtype=np.int64))
-        starts.append(s)
-        ends.append(e)
-        digests += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        kept = np.append(True, ~(blank[1:] & blank[:-1]))  # runs of blanks, line ends too, count as one space
+        at = np.append(np.flatnonzero(kept), len(data))
+        plain = np.where(blank, np.uint8(32), data)[kept]
+        e = cut_points(plain, around)
+        s = np.append(0, e[:-1])
+        text = plain.tobytes()
+        words.append(np.add.reduceat(first, at[s], dtype=np.int64))
+        starts.append(at[s])
+        ends.append(at[e])
+        digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
         docs += [key] * len(e)
     return [np.array(digests, np.uint64).view(np.int64), np.concatenate(starts), np.concatenate(ends), np.concatenate(words)], docs
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, bits: int = 4, least: int = 12) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, around: int = 15) -> DataFrame:
     """doc_id, start, end (bytes of the UTF-8 text), words, first_doc_id and is_first for every repeated passage of over min_words.
 
     Occurrences in one document alone don't count. first_doc_id is the smallest id that holds some chunk of the passage; is_first says
@@ -71,7 +91,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches):
         for b in batches:
-            (digest, start, end, words), owner = chunk_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], bits, least)
+            (digest, start, end, words), owner = chunk_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], around)
             inner = start[1:] > 0  # of two neighbouring rows, both are of one text
             before, after = np.zeros_like(words), np.zeros_like(words)
             before[1:], after[:-1] = words[:-1] * inner, words[1:] * inner

@@ -100,6 +100,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("doc_id is not null")
     table = materialise(base.mapInArrow(cut, "digest long, doc_id long, start int, end int, words int, before int, after int"), "chunks")
     repeated = table.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest", "low")
+    repeated = materialise(repeated, "repeated")  # written, so that Spark can split a chunk that a third of the rows have
     hit = table.join(repeated, "digest").select("doc_id", "start", "end", "words", "before", "after", "low")
     by = W.partitionBy("doc_id").orderBy("start", "end")
     again = F.coalesce(F.lag("start").over(by) == F.col("start"), F.lit(False))  # a chunk of a repeated row

@@ -75,7 +75,7 @@ def release(spark: SparkSession) -> None:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds an Arrow batch by rows and bytes, so that a run of very long texts does not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", (8 if rows > 500 else 3) << 20)
 
 
 def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:

@@ -79,3 +79,14 @@ def test_chunks_cover_the_text(text):
     assert b"".join(raw[a:b] for a, b in zip(start, end, strict=True)) == raw and words.sum() == len(raw.split()) and docs == [7] * len(digest)
     for a in start:
         raw[a:].decode()
+
+
+def test_copies_with_a_chance_chunk_keep_one_whole_text(spark):
+    r = rng(21)
+    a, b = prose(r, 120), prose(r, 130)
+    shared = " ".join(a.split()[40:60])  # a few words that an earlier document has too: no passage
+    rows = [(1, f"{prose(r, 40)} {shared} {prose(r, 40)}"), (5, a), (7, a), (8, f"{b} {a}"), (9, b), (10, f"{prose(r, 9)} {b}")]
+    got = {(x["doc_id"], x["first_doc_id"], x["is_first"]) for x in C.repeated_passages(table(spark, rows)).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (8, 5, False), (8, 8, True), (9, 8, False), (10, 8, False)}
+    out = {i: t.split() for i, t in C.without_repeats(table(spark, rows)).collect()}
+    assert out == {1: rows[0][1].split(), 5: a.split(), 7: [], 8: b.split(), 9: [], 10: rows[5][1].split()[:9]}

@@ -2,8 +2,9 @@
 
 A gear hash of the last 16 bytes is rolled over each text; a chunk ends where it is as high as anywhere within 15 places. So cuts depend on nearby bytes alone, chunks line up again after an insertion, and few are much longer than
 the mean of 31 bytes. Blanks of any kind and number count as one space. A chunk whose
-digest occurs in several documents is repeated; neighbouring repeated chunks make a passage. A passage's ends fall inside
-the chunks around it, so half of those chunks' words are counted to it.
+digest occurs in several documents is repeated. Chunks are seeds only: a window of min_words + 1 words is looked at if
+all chunks that any copy of it must share are repeated, and it is repeated if several documents hold it (64-bit hashes of
+its words). Windows in a row make a passage, so passages end at the exact word and each window has its first holder.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import materialise, small_batches
+from twinsift.llm._util import forget, materialise, release, small_batches
 
 _GEAR = np.random.default_rng(1616).integers(0, 1 << 16, 256, dtype=np.uint16)
 _REACH = 16
 _CLOSE = 8  # of equal tops, as in text that repeats a few words over and over, those less than this apart are no cuts
+_HEAD, _TAIL = 40, 16  # bytes of a shared text in which its surroundings can still move a cut
+_NEVER = 1 << 30
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -53,37 +56,146 @@ def cut_points(data: np.ndarray, around: int = 15) -> np.ndarray:
     return np.append(ends, len(data))
 
 
-def chunk_rows(ids: list, texts: list[bytes], around: int = 15) -> tuple[list[np.ndarray], list]:
-    """(digest, start, end, words) columns of all chunks, and each chunk's document. Offsets are bytes."""
+def _plain(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text with every run of blanks, line ends too, as one space; where each of its bytes is in raw, and the end of raw; which bytes of raw begin a word."""
+    data = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[data]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    kept = np.append(True, ~(blank[1:] & blank[:-1]))
+    return np.where(blank, np.uint8(32), data)[kept], np.append(np.flatnonzero(kept), len(data)), first
+
+
+def _windows(plain: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a plain text begin and end (exclusive), if they fill a window of `size` words; else nothing."""
+    space = np.concatenate([[True], plain == 32, [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    return (starts, ends) if len(starts) >= size else (starts[:0], ends[:0])
+
+
+def _required(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks, from and up to, that every copy of these spans has; none if not from < up to."""
+    bounds = np.append(0, cuts)
+    return np.searchsorted(bounds, starts + _HEAD), np.searchsorted(bounds, ends - _TAIL, "right") - 1
+
+
+_powers = np.ones((4, 1), np.uint64)  # of two odd numbers and of their inverses
+
+
+def _power_table(n: int) -> np.ndarray:
+    global _powers
+    if _powers.shape[1] < n:
+        odd = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+        table = np.empty((4, 2 * n), np.uint64)
+        for k, x in enumerate([*odd, *(pow(x, -1, 1 << 64) for x in odd)]):
+            table[k, 0], table[k, 1:] = 1, x
+        _powers = np.cumprod(table, axis=1, dtype=np.uint64)
+    return _powers
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def window_hashes(plain: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the words of each window of `size` words, by polynomials of bytes, then of words."""
+    p = _power_table(len(plain) + 1)
+    total = np.append(np.uint64(0), np.cumsum((plain.astype(np.uint64) + np.uint64(1)) * p[0, : len(plain)], dtype=np.uint64))
+    word = _mixed((total[ends] - total[starts]) * p[2, starts])
+    total = np.append(np.uint64(0), np.cumsum(word * p[1, : len(word)], dtype=np.uint64))
+    n = len(word) - size + 1
+    return _mixed((total[size:] - total[:n]) * p[3, :n])
+
+
+def chunk_rows(ids: list, texts: list[bytes], around: int = 15, min_words: int | None = None) -> tuple[list[np.ndarray], list]:
+    """(digest, start, end, words) columns of all chunks, and each chunk's document. Offsets are bytes.
+
+    With min_words, the columns are (digest, number of the chunk in its text, reach): if so many chunks from this one on
+    are repeated, some window may be. A row numbered -2 is added for a text with a window that need not share any chunk.
+    """
     digests: list[int] = []
     docs: list = []
-    starts, ends, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3 if min_words is None else 2)]
     for key, raw in zip(ids, texts, strict=True):
-        data = np.frombuffer(raw, np.uint8)
-        if not len(data):
+        if not raw:
             continue
-        blank = _BLANK[data]
-        first = ~blank
-        first[1:] &= blank[:-1]
-        kept = np.append(True, ~(blank[1:] & blank[:-1]))  # runs of blanks, line ends too, count as one space
-        at = np.append(np.flatnonzero(kept), len(data))
-        plain = np.where(blank, np.uint8(32), data)[kept]
+        plain, at, first = _plain(raw)
         e = cut_points(plain, around)
         s = np.append(0, e[:-1])
         text = plain.tobytes()
-        words.append(np.add.reduceat(first, at[s], dtype=np.int64))
-        starts.append(at[s])
-        ends.append(at[e])
         digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        docs += [key] * len(e)
-    return [np.array(digests, np.uint64).view(np.int64), np.concatenate(starts), np.concatenate(ends), np.concatenate(words)], docs
+        if min_words is None:
+            new = (at[s], at[e], np.add.reduceat(first, at[s], dtype=np.int64))
+        else:
+            number, reach = np.arange(len(e)), np.full(len(e), _NEVER)
+            starts, ends = _windows(plain, min_words + 1)
+            lo, hi = _required(starts[: max(0, len(starts) - min_words)], ends[min_words:], e)
+            some = np.flatnonzero(lo < hi)
+            some = some[np.diff(lo[some], prepend=-1) > 0]  # both ascend, so the first window from a chunk on needs the fewest
+            reach[lo[some]] = hi[some] - lo[some]
+            if (lo >= hi).any():
+                number, reach = np.append(number, -2), np.append(reach, 0)
+                digests.append(0)
+            new = (number, reach)
+        for column, x in zip(columns, new, strict=True):
+            column.append(x)
+        docs += [key] * len(new[0])
+    return [np.array(digests, np.uint64).view(np.int64), *map(np.concatenate, columns)], docs
+
+
+def window_rows(ids: list, texts: list[bytes], runs: list, around: int = 15, min_words: int = 50) -> tuple[list[np.ndarray], list]:
+    """(hash, number) columns of the windows that may be repeated, and each one's document. runs: each text's (first, last) repeated chunks."""
+    docs: list = []
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(2)]
+    for key, raw, spans in zip(ids, texts, runs, strict=True):
+        if not raw:
+            continue
+        plain, _, _ = _plain(raw)
+        starts, ends = _windows(plain, min_words + 1)
+        if not len(starts):
+            continue
+        cuts = cut_points(plain, around)
+        lo, hi = _required(starts[: len(starts) - min_words], ends[min_words:], cuts)
+        other = np.ones(len(cuts), np.int64)
+        for r in spans:
+            other[max(0, r["first"]) : r["last"] + 1] = 0
+        before = np.append(0, np.cumsum(other))
+        may = np.flatnonzero((lo >= hi) | (before[np.maximum(lo, hi)] == before[lo]))
+        columns[0].append(window_hashes(plain, starts, ends, min_words + 1).view(np.int64)[may])
+        columns[1].append(may)
+        docs += [key] * len(may)
+    return list(map(np.concatenate, columns)), docs
+
+
+def passage_rows(ids: list, texts: list[bytes], runs: list, min_words: int = 50) -> list[list]:
+    """doc_id, start, end, words, first_doc_id of runs of windows, given by the numbers of the first and the last one."""
+    out: list[list] = [[], [], [], [], []]
+    for key, raw, spans in zip(ids, texts, runs, strict=True):
+        space = np.concatenate([[True], _BLANK[np.frombuffer(raw, np.uint8)], [True]])
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        for r in spans:
+            last = r["last"] + min_words
+            if last < len(ends):  # else it is of another text with this id
+                for column, x in zip(out, (key, int(starts[r["first"]]), int(ends[last]), last - r["first"] + 1, r["low"]), strict=True):
+                    column.append(x)
+    return out
+
+
+def _held_by_several(table: DataFrame, key: str) -> DataFrame:
+    """key and low, the smallest doc_id that has it, of the keys that several documents have; written, so that Spark can split one that a third of the rows have."""
+    found = table.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    return materialise(found.select(key, "low"), "repeated")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, around: int = 15) -> DataFrame:
     """doc_id, start, end (bytes of the UTF-8 text), words, first_doc_id and is_first for every repeated passage of over min_words.
 
-    Occurrences in one document alone don't count. first_doc_id is the smallest id that holds some chunk of the passage; is_first says
-    that it is this document. A null or empty text has no passages; rows with a null id are left out; an id
+    Occurrences in one document alone don't count. Every window of min_words + 1 words of a passage is held by several
+    documents, and first_doc_id is the smallest id that holds each of them; where it changes from window to window a
+    passage ends and the next begins, so they can overlap. is_first says that it is this document. Each window is in a
+    passage with is_first in one document. A null or empty text has no passages; rows with a null id are left out; an id
     stands for one text, and of its repeated rows one counts; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -91,33 +203,52 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches):
         for b in batches:
-            (digest, start, end, words), owner = chunk_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], around)
-            inner = start[1:] > 0  # of two neighbouring rows, both are of one text
-            before, after = np.zeros_like(words), np.zeros_like(words)
-            before[1:], after[:-1] = words[:-1] * inner, words[1:] * inner
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(owner, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (start, end, words, before, after))], names=["digest", "doc_id", "start", "end", "words", "before", "after"])
+            (digest, number, reach), owner = chunk_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], around, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(owner, pa.int64()), pa.array(number.astype(np.int32)), pa.array(reach.astype(np.int32))], names=["digest", "doc_id", "number", "reach"])
+
+    def look(batches):
+        for b in batches:
+            (h, number), owner = window_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], b.column(2).to_pylist(), around, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(owner, pa.int64()), pa.array(number.astype(np.int32))], names=["hash", "doc_id", "number"])
+
+    def place(batches):
+        for b in batches:
+            rows = passage_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], b.column(2).to_pylist(), min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "end", "words", "first_doc_id"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("doc_id is not null")
-    table = materialise(base.mapInArrow(cut, "digest long, doc_id long, start int, end int, words int, before int, after int"), "chunks")
-    repeated = table.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest", "low")
-    repeated = materialise(repeated, "repeated")  # written, so that Spark can split a chunk that a third of the rows have
-    hit = table.join(repeated, "digest").select("doc_id", "start", "end", "words", "before", "after", "low")
-    by = W.partitionBy("doc_id").orderBy("start", "end")
-    again = F.coalesce(F.lag("start").over(by) == F.col("start"), F.lit(False))  # a chunk of a repeated row
-    hit = hit.withColumn("again", again).withColumn("words", F.when(F.col("again"), 0).otherwise(F.col("words")))
-    goes_on = F.col("again") | (F.coalesce(F.lag("end").over(by), F.lit(-1)) == F.col("start"))
-    runs = hit.withColumn("new", (~goes_on).cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("low").alias("first_doc_id"),
-        F.min_by("before", "start").alias("before"), F.max_by("after", "start").alias("after"),
-    )
-    around = runs.filter(F.col("words") + (F.col("before") + F.col("after")) / 2 > min_words)
-    found = around.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("words").cast("long").alias("words"), "first_doc_id")
+    by = W.partitionBy("doc_id").orderBy("number")
+
+    def with_text(runs: DataFrame) -> DataFrame:
+        return base.join(runs.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs")  # texts are not sorted
+
+    apart = F.coalesce(F.col("number") - F.lag("number").over(by) > 1, F.lit(True))
+
+    table = materialise(base.mapInArrow(cut, "digest long, doc_id long, number int, reach int"), "chunks")
+    chunks = table.filter("number >= 0")
+    repeated = _held_by_several(chunks, "digest")
+    hit = chunks.join(repeated, "digest").select("doc_id", "number", "reach").unionByName(table.filter("number < 0").select("doc_id", "number", "reach"))
+    runs = hit.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.min(F.col("number") + F.col("reach")).alias("least")).filter("least <= last + 1")
+    runs = materialise(runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    forget(table), forget(repeated), release(spark)
+
+    windows = materialise(with_text(runs).mapInArrow(look, "hash long, doc_id long, number int"), "windows")
+    forget(runs), release(spark)
+    held = _held_by_several(windows, "hash")
+    release(spark)
+    hit = windows.join(held, "hash").select("doc_id", "number", "low")
+    new = apart | (F.col("low") != F.lag("low").over(by))
+    same = hit.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    same = same.groupBy("doc_id", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.min("low").alias("low"))
+    same = materialise(same.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "low")).alias("runs")), "same")
+    forget(windows), forget(held), release(spark)
+    found = with_text(same).mapInArrow(place, "doc_id long, start long, end long, words long, first_doc_id long").distinct()
     return found.withColumn("is_first", F.col("doc_id") == F.col("first_doc_id"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns and rows, with repeated passages cut out of the texts of all but the first document."""
+    """docs, all columns and rows, with repeated passages cut out of the texts of all but the first document; each word cut stays in an earlier one."""
     gone = repeated_passages(docs, id_col, text_col, **options).filter("not is_first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
 
     @F.pandas_udf("string")
@@ -130,7 +261,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             raw, parts, at = t.encode(), [], 0
             for s in cut:
                 parts.append(raw[at : s["start"]])
-                at = s["end"]
+                at = max(at, s["end"])
             out.append(b"".join([*parts, raw[at:]]).decode())
         return pd.Series(out, dtype=object)
 

@@ -90,3 +90,40 @@ def test_copies_with_a_chance_chunk_keep_one_whole_text(spark):
     assert got == {(5, 5, True), (7, 5, False), (8, 5, False), (8, 8, True), (9, 8, False), (10, 8, False)}
     out = {i: t.split() for i, t in C.without_repeats(table(spark, rows)).collect()}
     assert out == {1: rows[0][1].split(), 5: a.split(), 7: [], 8: b.split(), 9: [], 10: rows[5][1].split()[:9]}
+
+
+def plain_passages(texts, n):
+    """doc_id, words, first and is_first, by a table of all windows."""
+    at, out = {}, []
+    words = {i: t.split() for i, t in texts.items()}
+    for i, w in words.items():
+        for k in range(len(w) - n + 1):
+            at.setdefault(tuple(w[k : k + n]), set()).add(i)
+    for i, w in words.items():
+        before = None
+        for k in range(len(w) - n + 1):
+            holders = at[tuple(w[k : k + n])]
+            low = min(holders) if len(holders) > 1 else None
+            if low is not None and low == before:
+                out[-1][2] += 1
+            elif low is not None:
+                out.append([i, k, n, low])
+            before = low
+    return sorted(map(tuple, out))
+
+
+def test_the_bound_is_exact(spark):
+    """Passages of 45 to 60 words, of usual and of very short words, and copies that overlap, against all windows."""
+    r, rows = rng(22), []
+    for k in range(96):
+        shared = " ".join(r.choice("abcde") for _ in range(45 + k % 16)) if k % 6 == 0 else prose(r, 45 + k % 16)
+        rows += [(2 * k, f"{prose(r, r.randrange(60))} {shared} {prose(r, r.randrange(60))}"), (2 * k + 1, f"{prose(r, r.randrange(60))}\n{shared}  {prose(r, r.randrange(60))}")]
+    long = prose(r, 400).split()
+    rows += [(1000 + k, " ".join(long[lo:hi])) for k, (lo, hi) in enumerate([(0, 200), (150, 400), (0, 400), (149, 201), (150, 200)])]
+    rows += [(2000, " so it" * 90), (2001, " so it" * 60)]
+    got = []
+    for x in C.repeated_passages(table(spark, rows)).collect():
+        raw = dict(rows)[x["doc_id"]].encode()
+        assert len(raw[x["start"] : x["end"]].split()) == x["words"]
+        got.append((x["doc_id"], len(raw[: x["start"]].split()), x["words"], x["first_doc_id"]))
+    assert sorted(got) == plain_passages(dict(rows), 51)

@@ -83,3 +83,34 @@ def test_word_hashes():
         ids, lens = D.word_ids(texts)
         want = [plain_hashes(t) for t in texts]
         assert lens.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def held(items, rows):
+    """The pairs that the checks accept around any window, by trying all items at all windows."""
+    out = set()
+    for i, text in rows:
+        d = plain_hashes(text)
+        for j, item in items:
+            w = plain_hashes(item)
+            n, answer = len(w), w[-max(3, len(w) // 4) :]
+            size, step = (16, 8) if n <= 24 else (32, 16)
+            for lo in range(0, len(d), step):
+                region = d[max(0, lo - n) : min(lo + size, len(d)) + n]
+                if D.lcs(w, region) >= 0.6 * n and D.lcs(answer, region) >= 0.6 * len(answer):
+                    out.add((i, j))
+                    break
+    return out
+
+
+def test_reworded_items_are_found_as_brute_force_finds_them(spark):
+    r = rng(31)
+    items = [(j, prose(r, 15 + j * 3 // 2)) for j in range(30)]
+    rows = []
+    for i in range(240):
+        w = items[i % 30][1].split()
+        for k in r.sample(range(len(w)), round(len(w) * (i % 5) / 10)):  # none to 40 % of the words replaced
+            w[k] = prose(r, 1)
+        rows.append((i, f"{prose(r, r.randrange(60, 200))} {' '.join(w)} {prose(r, r.randrange(60, 200))}"))
+    got = {(x["doc_id"], x["item_id"]) for x in D.find_contamination(table(spark, rows), items_table(spark, items), block=20).collect()}
+    want = held(items, rows)
+    assert got == want and {(i, i % 30) for i in range(0, 240, 5)} <= want and len(want) > 150

@@ -5,7 +5,9 @@ whole corpus. A randomised SVD in one pass (each task adds its passages' share o
 the sum is exact and does not depend on task order) gives `rank` latent dimensions. Every window of 16 or 32 words is
 compared by cosine with the windows of the benchmark items, a stated query set; windows near an item whose weighted
 words cover enough of it are checked by the longest common subsequence of words, of the whole item and of its answer
-(its last part), so reworded passages are found and chance ones dropped.
+(its last part), so reworded passages are found and chance ones dropped. Beside the cosine, windows are checked if enough
+different words of the item and of its answer stand around them. A common subsequence can't be longer than that, so no
+window that the checks would accept is left out.
 """
 
 from __future__ import annotations
@@ -138,6 +140,22 @@ class Benchmark:
                 of.append(j)
         rank = project.shape[1]
         self.small, self.large = ((np.array([x / max(np.linalg.norm(x), 1e-9) for x in v], np.float32).reshape(-1, rank), np.array(j, np.int64)) for v, j in (small, large))
+        self.vocabulary = np.unique(np.concatenate([np.array(x, np.uint32) for x in (*self.words, *self.answers)] or [np.zeros(0, np.uint32)]))
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        reach = np.where(sizes <= 24, np.where(sizes <= 16, 16, 24), 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        reach[(sizes > 24) & (sizes <= 48) & (sizes > 32)] = 48
+        holders = np.bincount(np.searchsorted(self.vocabulary, np.concatenate([np.unique(np.array(w, np.uint32)) for w in self.words] or [self.vocabulary])), minlength=len(self.vocabulary))
+        self.maybe = np.zeros(1 << 16, bool)  # by the last bits of a word's hash
+        self.maybe[self.vocabulary & 0xFFFF] = True
+        self.rare = holders <= max(1, 0.05 * len(self.words))
+        self.classes = []  # items of like size: words around a window that are looked at, items, their words and their answers' by vocabulary
+        for n in np.unique(reach).tolist():
+            items = np.flatnonzero(reach == n)
+            counts = np.zeros((2, len(self.vocabulary) + 1, len(items)), np.uint8 if n < 256 else np.int32)  # the last row stands for no word
+            for k, j in enumerate(items.tolist()):
+                for side, w in enumerate((self.words[j], self.answers[j])):
+                    np.add.at(counts[side, :, k], np.searchsorted(self.vocabulary, np.array(w, np.uint32)), 1)
+            self.classes.append((n, items, *counts))
         self.weights = np.zeros((len(self.ids), _TABLE + 1), np.float32)  # the last column stands for no word
         self.full = np.zeros(len(self.ids), np.float32)
         self.share = np.array([min(1.0, _LARGE / len(w)) for w in self.words], np.float32)
@@ -185,17 +203,105 @@ def _near(ids, lens, project, bench, cosine, coverage):
     return found
 
 
+def _sums(table, rows, count):
+    """The sum of the table's rows that each row names, so many of them; rows of like length together, in its own type."""
+    out = np.empty((len(rows), table.shape[1]), table.dtype)
+    order = np.argsort(count, kind="stable")
+    for lo in range(0, len(rows), 128):
+        part = order[lo : lo + 128]
+        out[part] = table[rows[part, : count[part[-1]]]].sum(1, dtype=table.dtype)
+    return out
+
+
+def _places(at, slot):
+    """Where words of the vocabulary stand, which ones, and the place of the same word before, of a batch."""
+    order = np.argsort(slot, kind="stable")
+    before = np.full(len(at), -1)
+    same = slot[order[1:]] == slot[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return at, slot, before
+
+
+def _different(places, begin, end, most, least):
+    """The different words of each stretch as rows filled up with no word, how many, and which stretches; those that can't give `least` are left out."""
+    at, slot, before = places
+    lo = np.searchsorted(at, begin)
+    count = np.searchsorted(at, end) - lo
+    place = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+    new = before[place] < np.repeat(lo, count)
+    row, word = np.repeat(np.arange(len(lo)), count)[new], slot[place[new]]
+    some = np.bincount(row, most[word], len(lo)) >= least
+    use, kept = some[row], np.flatnonzero(some)
+    row, word = (np.cumsum(some) - 1)[row[use]], word[use]
+    count = np.bincount(row, minlength=len(kept))
+    there = np.full((len(kept), count.max(initial=0)), len(most))
+    there[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = word
+    return there, count, kept
+
+
+def _covered(ids, lens, bench, share, answer_share):
+    """(document, item, first word, last word) of the windows around which enough different words of an item and of its answer stand.
+
+    A word of the item counts as often as the item has it if it stands there at all, so no subsequence is longer. Words
+    that many items have are first taken to stand everywhere; what passes is counted with them.
+    """
+    if not len(bench.vocabulary) or not len(ids):
+        return []
+    none = len(bench.vocabulary)
+    at = np.flatnonzero(bench.maybe[ids & 0xFFFF])
+    slot = np.minimum(np.searchsorted(bench.vocabulary, ids[at]), none - 1)
+    known = bench.vocabulary[slot] == ids[at]
+    at, slot = at[known], slot[known].astype(np.uint16 if none < 1 << 16 else np.int64)
+    few = bench.rare[slot]
+    (at_rare, rare, before), every = _places(at[few], slot[few]), _places(at, slot)
+    begins, stops = np.cumsum(lens) - lens, np.cumsum(lens)
+    found = []
+    for n, items, words, answers in bench.classes:
+        size, step = (_SMALL, _SEG) if n <= 24 else (_LARGE, 2 * _SEG)
+        first, doc = cuts(lens, step)
+        last = np.minimum(first + size, stops[doc])
+        begin, end = np.maximum(first - n, begins[doc]), np.minimum(last + n, stops[doc])
+        need = np.ceil(np.array([share * len(bench.words[j]) for j in items]) - 1e-9).astype(np.int64)
+        need_answer = np.array([answer_share * len(bench.answers[j]) for j in items]) - 1e-9
+        need_rare = np.maximum(need - words[:-1][~bench.rare].sum(0, dtype=np.int64), 0).astype(words.dtype)
+        most = words[:-1].max(1)
+        used = most[rare] > 0
+        own = at_rare[used], rare[used], np.append(np.cumsum(used) - 1, -1)[before[used]]
+        for k in range(0, len(first), 1 << 12):
+            there, count, kept = _different(own, begin[k : k + (1 << 12)], end[k : k + (1 << 12)], most, int(need_rare.min()))
+            w, q = np.nonzero(_sums(words, there, count) >= need_rare)
+            if not len(w):
+                continue
+            w = kept[w]
+            rows, back = np.unique(w, return_inverse=True)
+            there, _, _ = _different(every, begin[k + rows], end[k + rows], most, 0)
+            for m in range(0, len(w), 1 << 14):
+                r, j = there[back[m : m + (1 << 14)]], q[m : m + (1 << 14)]
+                ok = words[r, j[:, None]].sum(1, dtype=np.int64) >= need[j]
+                ok[ok] = answers[r[ok], j[ok, None]].sum(1, dtype=np.int64) >= need_answer[j[ok]]
+                at, j = k + w[m : m + (1 << 14)][ok], items[j[ok]]
+                found += zip(doc[at].tolist(), j.tolist(), first[at].tolist(), last[at].tolist(), strict=True)
+    return found
+
+
+def _cosine(ids, project, bench, j, lo, hi):
+    """The highest cosine of these words with the windows of item j."""
+    v = project[ids[lo:hi] % (len(project) - 1)].sum(0)
+    return max(float((vectors[item == j] @ v).max(initial=-1.0)) for vectors, item in (bench.small, bench.large)) / max(float(np.linalg.norm(v)), 1e-9)
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None,
     features: int = 16_384, rank: int = 64, cosine: float = 0.65, coverage: float = 0.45, share: float = 0.6, answer_share: float = 0.6, block: int = 2000,
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs, lcs_share, answer_share for every document that holds an item.
 
-    A document holds an item if around some window that is near it (cosine) and covers it (coverage, by weight), the
-    common subsequence reaches `share` of the item's words and `answer_share` of its answer's (answer_col; by default
+    A document holds an item if around some window (of 16 words for items of up to 24, else 32, and as many words as the
+    item has on either side) the common subsequence reaches `share` of the item's words and `answer_share` of its answer's (answer_col; by default
     the item's last quarter, three words at least). One row for each pair, the best window's. Null and empty texts hold
     nothing and are held by nothing; a null id stays null; rows of one id are looked at each and give one row an item;
     an empty table gives no rows; other columns are not read. Items are compared in blocks of `block`.
+    cosine and coverage choose windows to be checked; they drop none that the checks would accept.
     """
     spark = docs.sparkSession
     small_batches(spark, 2000)
@@ -267,12 +373,14 @@ def find_contamination(
                 ids, lens = documents(b)
                 first = np.cumsum(lens) - lens
                 best: dict = {}
-                for d, j, lo, hi, c in _near(ids, lens, project, bench, cosine, coverage):
+                near = {(d, j, lo, hi): c for d, j, lo, hi, c in _near(ids, lens, project, bench, cosine, coverage)}
+                for d, j, lo, hi in {**near, **dict.fromkeys(w for w in _covered(ids, lens, bench, share, answer_share) if w not in near)}:
                     item = bench.words[j]
                     region = ids[max(lo - len(item), first[d]) : min(hi + len(item), first[d] + lens[d])].tolist()
                     n = lcs(item, region)
                     a = lcs(bench.answers[j], region) / len(bench.answers[j])
                     if n >= share * len(item) and a >= answer_share:
+                        c = near[d, j, lo, hi] if (d, j, lo, hi) in near else _cosine(ids, project, bench, j, lo, hi)
                         best[d, j] = max(best.get((d, j), (0, 0, 0.0)), (n, a, c))
                 rows = [(keys[d], bench.ids[j], c, n, n / len(bench.words[j]), a) for (d, j), (n, a, c) in best.items()]
                 if rows:

@@ -48,3 +48,8 @@ def test_a_full_memo_changes_nothing():
 def test_no_texts():
     ids, ends = OWN[FILES[0][0]][0].encode([])
     assert len(ids) == 0 and np.array_equal(ends, [0])
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+def test_capitals_that_compose_only_once_lower_cased(file):
+    same(file, [f"{c}{m}ack {c.lower()}{m} A{c}{m}\nB" for c in "JTHWY" for m in "\u030c\u0308\u0331\u030a"])

@@ -126,13 +126,16 @@ class PieceEncoder:
         if not len(column):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         column = pc.fill_null(column.cast(pa.large_string()), "")
-        if not self.spaced:  # these tokenizers lower-case; doing it for A-Z first, and taking line ends for the spaces they become, lets more pieces recur
-            column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+        if not self.spaced:  # these tokenizers take line ends for spaces; doing it first lets more pieces recur
+            column = pc.replace_substring(column, "\n", " ")
         split = pc.split_pattern(column, " ")
         ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         pieces = split.flatten()
         coded = pieces.dictionary_encode()
-        at = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        known = coded.dictionary.to_pylist()
+        if not self.spaced:  # and lower-case; pieces of ASCII alone, in which nothing composes before that, recur more so
+            known = [k.lower() if k.isascii() else k for k in known]
+        at = self.entries(known)[coded.indices.to_numpy()]
         begins = np.concatenate([[0], ends[:-1]])
         again: list[int] = []
         if self.spaced:

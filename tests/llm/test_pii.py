@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tests.llm.conftest import prose, rng, table
 
-from twinsift.llm import pii
+from twinsift.llm import pii, queries
 
 KEY = "a key"
 
@@ -112,3 +112,10 @@ def test_a_permutation(spark, a, b):
 def test_any_text_comes_back(spark, texts):
     there = run(spark, texts)
     assert all(len(re.sub(r"[0-9]", "", there[i]["text"])) == len(re.sub(r"[0-9]", "", t)) for i, t in enumerate(texts))
+
+
+def test_the_query_gives_every_document(spark, tmp_path):
+    rows = [(1, "write to ann@mail.example.com"), (2, "nothing here"), (3, "card 4111111111111112"), (4, None)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op7_pseudonyms(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1]["n_email"] == 1 and all(got[i]["text"] == t and sum(got[i][f"n_{k}"] for k in pii.KINDS) == 0 for i, t in rows[1:])

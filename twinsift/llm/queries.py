@@ -42,8 +42,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with personal data, pseudonymised."""
-    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="twinsift", changed_only=True)
+    """Every document, pseudonymised, with how many values of each kind were replaced."""
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="twinsift")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import re
 
 import pytest
@@ -90,8 +91,9 @@ def test_odd_rows(spark, odd, nothing):
     assert [c for c in out.columns if not c.startswith("n_")] == odd.columns
     assert [r["text"] for r in out.collect()] == [r["text"] for r in odd.collect()]
     assert pii.pseudonymise(nothing, KEY).count() == 0 and pii.pseudonymise(odd, KEY, changed_only=True).count() == 0
-    clash = table(spark, [(1, "8.8.8.8")]).withColumn("n_ip", F.lit("x"))
-    assert pii.pseudonymise(clash, KEY).first()["n_ip"] == 1
+    clash = table(spark, [(1, "8.8.8.8")]).withColumn("n_ip", F.lit("x")).withColumn("pseudonyms", F.lit(2))
+    row = pii.pseudonymise(clash, KEY).first()
+    assert (row["n_ip"], row["_n_ip"], row["n_card"], row["pseudonyms"]) == ("x", 1, 0, 2)
 
 
 def test_no_python_in_the_plan(spark, odd):
@@ -119,3 +121,113 @@ def test_the_query_gives_every_document(spark, tmp_path):
     table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in queries.op7_pseudonyms(spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3, 4} and got[1]["n_email"] == 1 and all(got[i]["text"] == t and sum(got[i][f"n_{k}"] for k in pii.KINDS) == 0 for i, t in rows[1:])
+
+
+def test_long_runs_do_not_overflow(spark):
+    """One text each that a pattern could follow for long: labels, blanks, signs, digits, and no end of a word."""
+    texts = ["see a@" + "b." * 100_000 + "1", "see a@" + "b." * 100_000 + "com end", "%" * 1_000_000, "a" * 1_000_000, "1" * 300_000, "1.2." * 100_000, "a@" * 200_000, "a@b.co " * 3000, "2020-" * 100_000, "@." * 200_000, "(" * 300_000]
+    got = run(spark, texts)
+    assert [got[i]["n_email"] for i in range(len(texts))] == [0, 1, 0, 0, 0, 0, 0, 3000, 0, 0, 0]
+    assert [len(got[i]["text"]) for i in range(len(texts))] == [len(t) for t in texts]
+
+
+# ---- all of it once more in plain Python
+
+
+def plain_feistel(left, right, a, b, kind):
+    for r in range(pii.ROUNDS):
+        f = int(hashlib.sha256(f"{KEY}|{kind}|{r}|{right if r % 2 == 0 else left}".encode()).hexdigest()[:15], 16)
+        left, right = ((left + f) % a, right) if r % 2 == 0 else (left, (right + f) % b)
+    return left, right
+
+
+def refilled(m, digits):
+    digits = iter(digits)
+    return "".join(next(digits) if c.isdigit() else c for c in m)
+
+
+def plain_date(m):
+    parts = [int(x) for x in re.split("[-./]", m)]
+    year, month, day = parts if m[4] == "-" else (parts[2], *((parts[1], parts[0]) if m[2] == "." else (parts[0], parts[1])))
+    try:
+        return datetime.date(year, month, day)
+    except ValueError:
+        return None
+
+
+def plain_value(kind, m):
+    """The pseudonym of a match, or None if it is not valid."""
+    d = re.sub("[^0-9]", "", m)
+    if kind == "card":
+        if not luhn(d) or not d.strip("0"):
+            return None
+        n, h = len(d) - 1, (len(d) - 1) // 2
+        x, y = plain_feistel(int(d[:h]), int(d[h:n]), 10**h, 10 ** (n - h), kind)
+        body = f"{x:0{h}}{y:0{n - h}}"
+        return refilled(m, body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "date":
+        if not (day := plain_date(m)):
+            return None
+        x, y = plain_feistel(*divmod((day - datetime.date(1700, 1, 1)).days, 773), 189, 773, kind)
+        return (datetime.date(1700, 1, 1) + datetime.timedelta(x * 773 + y)).strftime("%Y-%m-%d" if m[4] == "-" else "%d.%m.%Y" if m[2] == "." else "%m/%d/%Y")
+    if kind == "ssn":
+        area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return None
+        x, y = plain_feistel((area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999, kind)
+        area = x // 99 + 1
+        return f"{area + (area >= 666):03}-{x % 99 + 1:02}-{y + 1:04}"
+    if kind == "phone":
+        area = int(d[-10:-7])
+        first, n = (0, 200) if area < 200 else (200, 800)
+        x, y = plain_feistel((area - first) * 800 + int(d[-7:-4]) - 200, int(d[-4:]), n * 800, 10_000, kind)
+        return refilled(m, f"{d[:-10]}{x // 800 + first:03}{x % 800 + 200}{y:04}")
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        x, y = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, kind)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    name, rest = m.split("@")
+    sides = [name[: len(name) // 2], name[len(name) // 2 :]]
+    for r in range(pii.ROUNDS):
+        own, other = (0, 1) if r % 2 == 0 else (1, 0)
+        digest = hashlib.sha256(f"{KEY}|email|{r}|{sides[other]}".encode()).hexdigest()
+        moved = ""
+        for i, c in enumerate(sides[own]):
+            k = int(digest[i % 32 * 2 : i % 32 * 2 + 2], 16)
+            for first, size in ((97, 26), (65, 26), (48, 10)):
+                if first <= ord(c) < first + size:
+                    c = chr((ord(c) - first + k) % size + first)
+                    break
+            moved += c
+        sides[own] = moved
+    return "".join(sides) + "@" + rest
+
+
+def plain(text):
+    counts = {}
+    for kind in pii.KINDS:
+        counts[kind] = 0
+
+        def new(m, kind=kind):
+            value = plain_value(kind, m[0])
+            counts[kind] += value is not None
+            return m[0] if value is None else value
+
+        text = re.sub(pii.PATTERNS[kind], new, text, flags=re.A)
+    return text, counts
+
+
+def test_against_a_plain_version(spark):
+    r = rng(9)
+    values = [
+        lambda: card(r, r.choice([13, 15, 16, 19])), lambda: "".join(r.choice("0123456789") for _ in range(r.randrange(9, 21))), lambda: "-".join(re.findall("....", card(r))), lambda: f"{r.randrange(1690, 2110)}-{r.randrange(1, 14):02}-{r.randrange(1, 33):02}",
+        lambda: f"{r.randrange(1, 33):02}.{r.randrange(1, 14):02}.{r.randrange(1690, 2110)}", lambda: f"{r.randrange(1, 14):02}/{r.randrange(1, 33):02}/{r.randrange(1690, 2110)}", lambda: f"{r.randrange(1000):03}-{r.randrange(100):02}-{r.randrange(10_000):04}",
+        lambda: f"({r.randrange(1000):03}) {r.randrange(1000):03}-{r.randrange(10_000):04}", lambda: f"+1 {r.randrange(1000):03}.{r.randrange(1000):03}.{r.randrange(10_000):04}", lambda: ".".join(str(r.randrange(300)) for _ in range(r.choice([3, 4, 4, 4, 5]))),
+        lambda: f"{''.join(r.choice('abXY09._%+-') for _ in range(r.choice([1, 2, 7, 40, 64, 65, 80])))}@{r.choice(['a.b', 'x.example.org', 'x..org', 'a.b.c1', 'mail.example.com2', '-', 'a.co.', 'b.com.1'])}",
+    ]
+    texts = ["".join(f"{r.choice(['', ' ', ', ', ' on ', '(', 'x', '-', '.'])}{r.choice(values)()}" for _ in range(r.randrange(1, 7))) for _ in range(500)]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        text, counts = plain(t)
+        assert (got[i]["text"], {k: got[i][f"n_{k}"] for k in pii.KINDS}) == (text, counts), t
+    assert min(sum(got[i][f"n_{k}"] for i in range(len(texts))) for k in pii.KINDS) > 5

@@ -14,13 +14,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.llm._util import unused
+
 ROUNDS = 8
 KINDS = ("email", "date", "card", "ssn", "phone", "ip")
 
-# Fixed patterns, as Java regular expressions
+# Fixed patterns, as Java regular expressions. None repeats a group without bound: the engine would call itself for each
+# turn, and a text of a few kilobytes would overflow its stack. A name and a domain are runs of one character class each.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "date": r"(?<![\w.-])(?:(?:1[789]|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:1[789]|20)\d\d|\d\d/\d\d/(?:1[789]|20)\d\d)(?![\w-]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-]|\.\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d\d-\d{4}(?![\w-]|\.\d)",
@@ -248,14 +251,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", reverse: boo
 
     Kinds are email, date, card, ssn, phone and ip, replaced in this order. Values that fail validation stay. All rows
     are given, or those with a replaced value (changed_only). A null text stays null with counts of 0, an empty one stays
-    empty; repeated rows get equal texts; an empty table gives no rows; a column of docs named n_<kind> is replaced.
+    empty; repeated rows get equal texts; an empty table gives no rows; a column of docs named n_<kind> is kept, and the
+    count is then called _n_<kind>.
     """
     text = F.col(text_col).cast("string")
     counts = [f"n_{k}" for k in KINDS]
+    shown = unused(docs.columns, *counts)
+    (held,) = unused(docs.columns, "pseudonyms")
     done = F.when(text.isNotNull(), pseudonyms(text, key, reverse)).otherwise(F.struct(F.lit(None).cast("string").alias("text"), *[F.lit(0).cast("long").alias(c) for c in counts]))
     kept = F.array(done)
     if changed_only:  # inside the array, so that no filter works the pseudonyms out again
         kept = F.filter(kept, lambda s: sum((s[c] for c in counts[1:]), s[counts[0]]) > 0)
-    rest = [c for c in docs.columns if c not in counts]
-    out = docs.select(*rest, F.explode(kept).alias("__p"))
-    return out.select(*[F.col("__p.text").alias(c) if c == text_col else F.col(c) for c in rest], *[F.col(f"__p.{c}").alias(c) for c in counts])
+    out = docs.select("*", F.explode(kept).alias(held))
+    return out.select(*[F.col(f"{held}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], *[F.col(f"{held}.{c}").alias(n) for c, n in zip(counts, shown, strict=True)])

@@ -17,9 +17,7 @@ BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe
 
 
 def ids_of(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    return np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
 def check_packs(rows, got, window):
@@ -48,6 +46,22 @@ def test_little_padding(spark):
     assert sum(fill.values()) > 0.99 * 2048 * len(fill)
 
 
+def test_short_partitions_make_long_streams(spark):
+    """What short tasks leave open is packed by the same rule once more, so little is laid end to end and cut."""
+    r = rng(2)
+    rows = [(i, prose(r, r.randrange(1, 400))) for i in range(640)]
+    got = packing.pack(table(spark, rows).repartition(16), BYTE).collect()
+    fill = check_packs(rows, got, 2048)
+    assert sum(fill.values()) > 0.98 * 2048 * len(fill) and any(r["sequence_id"] >= packing._AGAIN for r in got)
+    cut = {r["doc_id"] for r in got if r["start"] % 2048}
+    assert len(cut) < 0.35 * len(rows)
+
+
+def test_texts_with_added_tokens(spark):
+    rows = [(i, f"{prose(rng(i), 20)} <|endoftext|> {prose(rng(i + 50), 9)}") for i in range(20)]
+    check_packs(rows, packing.pack(table(spark, rows), BYTE, window=128).collect(), 128)
+
+
 def test_no_rows(spark, nothing):
     assert packing.pack(nothing, BYTE).count() == 0
 

@@ -9,12 +9,11 @@ from twinsift.llm.tokens import END, PieceEncoder
 
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 OWN = {f: (PieceEncoder(public_tokenizers.path(f), spaced), Tokenizer.from_file(public_tokenizers.path(f))) for f, spaced in FILES}
-ALPHABET = st.sampled_from(list("abSt'sdé́ \n\t\r  \x1c\x01\x85.,!1٣ßΣİ<|>") + ["  ", " a", "'re", "<|endoftext|>", "日本", "word ", "\n "])
+ALPHABET = st.sampled_from(list("abSt'sdé́ \n\t\r  \x1c\x01\x85.,!1٣ßΣİ<|>") + ["  ", " a", "'re", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "日本", "word ", "\n "])
 
 
 def same(file, texts):
     own, theirs = OWN[file]
-    theirs.encode_special_tokens = True
     ids, ends = own.encode(texts)
     for t, lo, hi, e in zip(texts, ends[:-1], ends[1:], theirs.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ids[lo:hi].tolist() == [*e.ids, END], repr(t)
@@ -53,3 +52,13 @@ def test_no_texts():
 @pytest.mark.parametrize("file", [f for f, _ in FILES])
 def test_capitals_that_compose_only_once_lower_cased(file):
     same(file, [f"{c}{m}ack {c.lower()}{m} A{c}{m}\nB" for c in "JTHWY" for m in "\u030c\u0308\u0331\u030a"])
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+def test_added_tokens_have_their_own_ids(file):
+    """As the unmodified library gives them, among texts that have none."""
+    texts = ["a plain text", "a <|endoftext|> b", "<|startoftext|>", "<|endoftext|><|endoftext|> x", "", "x <| y |> z", "another text", "a\n<|endoftext|>\n b " * 50, "<|endoftex", "end"]
+    same(file, texts)
+    own, theirs = OWN[file]
+    (end,) = theirs.encode("<|endoftext|>", add_special_tokens=False).ids
+    assert own.encode(["a <|endoftext|> b"])[0].tolist().count(end) == 1 and own.encode([])[0].size == 0

@@ -12,18 +12,15 @@ a task that runs again leaves the same file.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from twinsift.llm import tokens
-from twinsift.llm._util import drop_scratch, id_and_text, scratch, small_batches
+from twinsift.llm._util import drop_scratch, get_file, id_and_text, put_file, scratch, sliced
 
 MAGIC = b"TWSIDS01"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
@@ -73,21 +70,6 @@ def unpack_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else i for i, x in zip(ids, nulls, strict=True)], lens, decode_ranks(control, data, m)
 
 
-def _put(folder: str, name: str, raw: bytes) -> str:
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(tmp := f"{path}/_{uuid.uuid4().hex}") as f:
-        f.write(raw)
-    fs.move(tmp, f"{path}/{name}")
-    return f"{folder}/{name}"
-
-
-def _get(uri: str) -> bytes:
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as f:
-        return f.read()
-
-
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False, file_ids: int = 4_000_000) -> DataFrame:
     """Tokenises every text, ranks ids by corpus count and writes files in ascending id order; returns the manifest.
 
@@ -96,13 +78,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     `file_ids` ids.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
     spool = f"{folder}/spool"
 
     def tokenise(batches):
         enc = tokens.encoder(tokenizer_path, spaced)
         counts = np.zeros(0, np.int64)
-        for b in batches:
+        for b in sliced(batches, rows=2000, size=8 << 20):
             ids, ends = enc.encode(b.column(1))
             seen = np.bincount(ids, minlength=len(counts))
             seen[: len(counts)] += counts
@@ -132,7 +113,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     counted = table.filter("size = 0").select("ids").mapInArrow(count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r["id"] for r in counted.orderBy(F.desc("n"), "id").select("id").collect()]  # at most the tokenizer's vocabulary
     by_rank = np.array(order, "<u4")
-    _put(folder, "ranks.bin", by_rank.tobytes())
+    put_file(folder, "ranks.bin", by_rank.tobytes())
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(order) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     shared = spark.sparkContext.broadcast(rank_of)
@@ -145,7 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
 
         def close():
             raw = pack_file(keys, np.array([len(x) for x in held]), shared.value[np.concatenate(held)])
-            uri = _put(folder, f"part-{part:06d}-{chunk:06d}.ids", raw)
+            uri = put_file(folder, f"part-{part:06d}-{chunk:06d}.ids", raw)
             return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "uri": uri, "docs": len(keys), "ids": size}])
 
         for b in batches:
@@ -171,10 +152,10 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Decodes the files: one row for each document with start, n_tokens and the ids as little-endian u32 bytes."""
 
     def decode(batches):
-        by_rank = np.frombuffer(_get(f"{folder}/ranks.bin"), "<u4")
+        by_rank = np.frombuffer(get_file(f"{folder}/ranks.bin"), "<u4")
         for b in batches:
             for uri, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keys, lens, ranks = unpack_file(_get(uri))
+                keys, lens, ranks = unpack_file(get_file(uri))
                 ids = by_rank[ranks]
                 after = np.cumsum(lens.astype(np.int64))
                 for lo in range(0, len(keys), 1000):

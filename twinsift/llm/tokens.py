@@ -3,8 +3,9 @@
 A public BPE file tokenises each pre-token on its own, so a text's ids are the ids of its space-separated pieces in a
 row. Most pieces recur; each is given to the tokenizers library once and then looked up. Where the tokenizer marks the
 space before a word, a space is a safe cut only if neither neighbour is white space; a text with another space is cut at
-its safe ones alone. So the ids are the library's own for every text (tests compare them on arbitrary Unicode). The memo
-is a cache: it is emptied when full and changes no result.
+its safe ones alone. A text that may hold one of the file's added tokens, such as <|endoftext|>, is given to the library
+whole. So the ids are the library's own for every text (tests compare them with an unmodified tokenizer, on arbitrary
+Unicode and on added tokens). The memo is a cache: it is emptied when full and changes no result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ class PieceEncoder:
 
     def __init__(self, path: str, spaced: bool, max_pieces: int = 600_000, max_ids: int = 4_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # an added token is looked for in the text as it is, where its first characters must then stand
+        self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.spaced, self.max_pieces, self.max_ids = spaced, max_pieces, max_ids
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -104,6 +106,20 @@ class PieceEncoder:
             at[missing] = [self.index[pieces[i]] for i in missing]
         return at
 
+    def _with_added(self, column: pa.Array, whole: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() where these texts go to the library whole."""
+        parts, lens, last = [], [], 0
+        for i in [*whole, len(column)]:
+            ids, ends = self.encode(column.slice(last, i - last))
+            parts.append(ids)
+            lens.append(np.diff(ends))
+            if i < len(column):
+                ids = self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids
+                parts.append(np.array([*ids, END], np.uint32))
+                lens.append([len(ids) + 1])
+            last = i + 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int64)
+
     def forget(self) -> None:
         """Keeps the half of the memo that was looked up most."""
         hits = self.hits[: self.n]
@@ -126,6 +142,11 @@ class PieceEncoder:
         if not len(column):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         column = pc.fill_null(column.cast(pa.large_string()), "")
+        added = np.zeros(len(column), bool)
+        for mark in self.marks:
+            added |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
+        if added.any():
+            return self._with_added(column, np.flatnonzero(added).tolist())
         if not self.spaced:  # these tokenizers take line ends for spaces; doing it first lets more pieces recur
             column = pc.replace_substring(column, "\n", " ")
         split = pc.split_pattern(column, " ")

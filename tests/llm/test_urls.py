@@ -1,4 +1,7 @@
+import math
 import re
+import time
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ def test_rules_and_method(spark):
     for i, u in enumerate(URLS):
         host, path, rule, verdict = plain(u, urls.RULES)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
-        assert got[i]["verdict"] == (verdict or ("block" if got[i]["score"] > 1e-9 else "allow"))
+        assert got[i]["verdict"] == (verdict or got[i]["method"]) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
     say = {u: got[i]["verdict"] for i, u in enumerate(URLS)}
     assert say["http://spam-farm.example.org/en/1"] == say["http://cheappills.org/buy"] == "block" and say["http://university.library.org/research"] == "allow"
 
@@ -73,3 +76,52 @@ def test_naive_bayes(spark):
     model = urls.NaiveBayes([("bad pills", "block"), ("good news", "allow")])
     row = spark.range(1).select(model.column(F.array(F.lit("pills"), F.lit("unknown"))).alias("p"), model.column(F.array(F.lit("news"))).alias("n"), model.column(F.array().cast("array<string>")).alias("e")).first()
     assert row["p"] > 0 > row["n"] and row["e"] == 0
+
+
+def test_the_model_is_learned_from_the_rules(spark):
+    """Hosts of a blocked registry share words with others; held-out rows tell what the model makes of them."""
+    rules = [("bad.org", "/", "block"), ("good.org", "/", "allow")]
+    names = {"bad": ["winbet", "betcash", "cashwin"], "good": ["newsday", "daybook", "booknews"]}
+    rows = [(i, f"http://{names[side][i % 3]}.{side}.org/{'play' if side == 'bad' else 'read'}/{i}", "win bet cash news day book") for i in range(300) for side in [["bad", "good"][i // 3 % 2]]]
+    rows += [(1000 + k, f"http://{w}.example.org/", "") for k, w in enumerate(["betwin", "bookday"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    judged = urls.filter_urls(df, rules, examples=[]).cache()
+    told = urls.held_out_accuracy(judged).first()
+    assert told["rows"] > 40 and told["accuracy"] == told["block"] == told["allow"] == 1.0
+    last = {r["page_id"]: r for r in judged.filter("page_id >= 1000").collect()}
+    assert (last[1000]["verdict"], last[1001]["verdict"]) == ("block", "allow") and last[1000]["words"][:2] == ["bet", "win"]
+
+
+def test_a_model_against_plain_counts(spark):
+    examples = [("bad pills bad", "block"), ("good news", "allow"), ("news of pills", "allow")]
+    model = urls.NaiveBayes(examples)
+    words = {v: [w for x, y in examples if y == v for w in x.split()] for v in ("block", "allow")}
+    known = {w for v in words.values() for w in v}
+    df = spark.createDataFrame([(w,) for w in [*sorted(known), "unseen"]], "w string").select("w", model.column(F.array("w")).alias("s"))
+    for r in df.collect():
+        want = math.log((words["block"].count(r["w"]) + 1) / (len(words["block"]) + len(known))) - math.log((words["allow"].count(r["w"]) + 1) / (len(words["allow"]) + len(known)))
+        assert abs(r["s"] - (want if r["w"] in known else 0)) < 1e-9
+    assert abs(model.prior - math.log(2 / 3)) < 1e-12
+
+
+def test_words_of_any_length_count(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    df = spark.createDataFrame([(f"<p>{long} hat kapitän {'x' * 5000}</p>",)], "html string")
+    counts = urls.word_counts(df)
+    assert {r["word"] for r in counts.collect()} >= {long, "hat", "x" * 5000}
+    runs = spark.createDataFrame([(long + "hat",)], "run string")
+    assert urls.segment(runs, counts).first()["words"] == [long, "hat"]
+
+
+def test_a_page_does_not_count_its_own_name(spark):
+    df = spark.createDataFrame([("joinedname joined name", ["joinedname", "org"])], "html string, own array<string>")
+    assert {r["word"]: r["n"] for r in urls.word_counts(df, own=F.col("own")).collect()} == {"joined": 1, "name": 1}
+
+
+def test_tags_that_are_not_closed(spark):
+    html = ["a<script>b " * 20_000, "<" * 200_000 + "c", "d <style>e", "f < g </p> h", "<SCRIPT>x</script >i<style>y</style>j", "<script>" * 8_000 + "k</style>"]
+    df = spark.createDataFrame([(h,) for h in html], "html string").repartition(1)
+    began = time.time()
+    got = [r[0].split() for r in df.select(urls.visible_text(F.col("html")).alias("v")).collect()]
+    assert time.time() - began < 20
+    assert sorted(got) == sorted([["a"], ["<" * 200_000 + "c"], ["d"], ["f", "<", "g", "h"], ["i", "j"], []])

@@ -1,30 +1,35 @@
 """URL filters: host and path rules, then word segmentation and naive Bayes for urls no rule fits.
 
-Word counts come from the visible text of all pages. A host's letter runs are cut into words by unigram Viterbi: the
-substrings of each distinct run are joined with the counts, so neither table is sent to every task, and a run is cut in
-one row. A multinomial naive Bayes model, fitted on stated example names, scores the words of the host and of the path;
-words it has not seen say nothing.
+Word counts come from the visible text of all pages; a page's own host doesn't count there, so that a joined name is no
+word because its pages say it, but a part that several hosts share (www, a registry) is one. A host's letter runs are cut
+into words by unigram Viterbi: the substrings of each distinct run are joined with the counts, so neither table is sent
+to every task, and a run is cut in one row. A multinomial naive Bayes model scores the words of the host and of the path.
+It is learned from the urls that the rules decide, but for a held-out quarter, and from a few example names; its counts
+are kept in hashed columns of a fixed number. Words it has not seen say nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import materialise
+from twinsift.llm._util import forget, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST = 20  # letters of a word
+LONGEST = 63  # letters of a host label, and so of a word in it
+SHARED = 3  # hosts that have a part which then is a word
+BUCKETS = 1 << 18  # hashed columns of the model
 
 #: The rules of the registered query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: Names with a known verdict, in words; the model is fitted on these.
+#: Names with a known verdict, in words, that the model is told besides the urls that rules decide.
 EXAMPLES = [
     *((x, "block") for x in (
         "cheap pills", "spam farm", "casino bonus", "online poker slots", "adult cams", "porn videos xxx", "viagra cialis pharmacy discount", "payday loans fast cash", "replica watches outlet",
@@ -59,20 +64,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z]+"), lambda w: (w != "") & (F.length(w) <= LONGEST))
+    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z]+"), lambda w: w != "")
 
 
-def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """word and n over the visible text of all pages; tags, scripts and styles don't count."""
-    visible = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html_col).cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    return pages.select(F.explode(words_of(visible)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def visible_text(html: Column) -> Column:
+    """A page without its tags, scripts and styles. One that is not closed goes on to the end, so that each character is looked at once or twice."""
+    scripts = r"(?is)<(script|style)\b(?:.*?</\1\s*>|.*)"
+    return F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), scripts, " "), r"<[^<>]*>", " ")
+
+
+def word_counts(pages: DataFrame, html_col: str = "html", own: Column | None = None) -> DataFrame:
+    """word and n over the visible text of all pages; tags, scripts and styles don't count, nor does a page's own name (`own`, an array of words)."""
+    text = visible_text(F.col(html_col).cast("string"))
+    words = words_of(text)
+    if own is not None:  # `own` is worked out once a page, not once a word
+        words = F.element_at(F.transform(F.array(own), lambda o: F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z]+"), lambda w: ~F.array_contains(o, w) & (w != ""))), 1)
+    return pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(run: str, costs: dict[str, float], letter: float) -> list[str]:
     """The cheapest cut of a run into known words and single letters; of equals, the one with the longest last word."""
     best, cut = [0.0], [0]
     for j in range(1, len(run) + 1):
-        options = [(best[i] + (costs.get(run[i:j]) if run[i:j] in costs else letter * (j - i) if j - i == 1 else math.inf), i) for i in range(max(0, j - LONGEST), j)]
+        options = [(best[i] + (costs[run[i:j]] if run[i:j] in costs else letter * (j - i) if j - i == 1 else math.inf), i) for i in range(max(0, j - LONGEST), j)]
         cost, i = min(options)
         best.append(cost)
         cut.append(i)
@@ -83,21 +97,53 @@ def viterbi(run: str, costs: dict[str, float], letter: float) -> list[str]:
     return out[::-1]
 
 
-class NaiveBayes:
-    """Multinomial, with add-one smoothing; a positive score means block."""
+def bucket_of(word: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
-    def __init__(self, examples: list[tuple[str, str]]):
-        words = {v: Counter(w for x, y in examples if y == v for w in re.findall("[a-z]+", x.lower())) for v in ("block", "allow")}
-        known = sorted(set(words["block"]) | set(words["allow"]))
-        total = {v: sum(c.values()) + len(known) for v, c in words.items()}
-        n = Counter(y for _, y in examples)
-        self.prior = math.log((n["block"] + 1) / (n["allow"] + 1))
-        self.weights = {w: math.log((words["block"][w] + 1) / total["block"]) - math.log((words["allow"][w] + 1) / total["allow"]) for w in known}
+
+class NaiveBayes:
+    """Multinomial over hashed words, with add-one smoothing; a score is the log odds of block."""
+
+    def __init__(self, examples: list[tuple[str, str]] = (), buckets: int = BUCKETS):
+        self.buckets = buckets
+        self.counts = np.zeros((2, buckets), np.int64)  # block, allow
+        self.names = np.zeros(2, np.int64)
+        for text, verdict in examples:
+            words = re.findall("[a-z]+", text.lower())
+            at = [xxhash.xxh64_intdigest(w.encode(), 42) % buckets for w in words]  # buckets is a power of two: as bucket_of()
+            np.add.at(self.counts[int(verdict == "allow")], at, 1)
+            self.names[int(verdict == "allow")] += 1
+        self.settle()
+
+    def learn(self, rows: DataFrame) -> None:
+        """Adds the counts of rows(verdict, buckets array<int>): sums of a fixed number of columns."""
+        names = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+        table = rows.select("verdict", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("block", "allow")]).toArrow()
+        for k, v in enumerate(("block", "allow")):
+            self.counts[k, table["bucket"].to_numpy()] += table[v].to_numpy()
+            self.names[k] += names.get(v, 0)
+        self.settle()
+
+    def settle(self) -> None:
+        seen = self.counts.any(0)
+        log = np.log((self.counts + 1) / (self.counts.sum(1, keepdims=True) + max(1, np.count_nonzero(seen))))
+        self.weights = np.where(seen, log[0] - log[1], 0.0)
+        self.prior = float(np.log((self.names[0] + 1) / (self.names[1] + 1)))
+
+    def summed(self, buckets: pa.Array) -> pa.Array:
+        """The sum of the weights of each row's words; of none, 0."""
+        ends = np.append(0, np.cumsum(self.weights[buckets.flatten().to_numpy()]))
+        at = buckets.offsets.to_numpy() - buckets.offsets[0].as_py()
+        return pa.array(ends[at[1:]] - ends[at[:-1]])
 
     def column(self, tokens: Column) -> Column:
         """The sum of the weights of an array of words."""
-        table = F.create_map(*[F.lit(x) for pair in self.weights.items() for x in pair])
-        return F.aggregate(tokens, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+
+        @F.arrow_udf("double")
+        def total(b: pa.Array) -> pa.Array:
+            return self.summed(b)
+
+        return total(F.transform(tokens, lambda w: bucket_of(w, self.buckets)))
 
 
 def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -115,28 +161,54 @@ def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
     return runs.filter("run <> ''").join(known, "run", "left").select("run", "known").mapInArrow(cut, "run string, words array<string>")
 
 
+def is_held_out(id_col: str = "page_id") -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, examples: list[tuple[str, str]] = EXAMPLES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, host, path, rule, verdict, words (of the host) and score for every row.
+    """page_id, host, path, rule, verdict, words (of the host), score, method and held_out for every row.
 
-    The longest rule that fits decides; where none fits, a positive score blocks. A null url or one without :// has an
-    empty host and path and is allowed by the method. Repeated rows are judged each, a null id stays null, an empty table
-    gives no rows, other columns are not read.
+    The longest rule that fits decides; where none fits, the method's verdict stands: a positive score blocks. The model
+    learns the verdicts of rows that a rule decides and that are not held out (crc32 of the id as text, modulo 4, is 2),
+    so held-out rows with a rule tell how good the method is. A null url or one without :// has an empty host and path
+    and no words. Repeated rows are judged each, a null id stays null and is not held out, an empty table gives no rows,
+    other columns are not read.
     """
-    model = NaiveBayes(examples)
-    seeds = pages.sparkSession.createDataFrame([(w,) for w in sorted(model.weights)], "word string").withColumn("n", F.lit(1).cast("long"))
-    counts = materialise(word_counts(pages, html_col).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")), "counts")
     url = F.col(url_col).cast("string")
+    hosts_of = pages.select(host_of(url).alias("host")).distinct().select("host", F.split("host", "[^a-z]+").alias("runs"))
+    placed = hosts_of.select("host", F.posexplode("runs").alias("at", "run")).filter("run <> ''")
+    shared = placed.select("host", "run").distinct().groupBy(F.col("run").alias("word")).agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED)
+    told = pages.sparkSession.createDataFrame([(w,) for w in sorted({w for x, _ in examples for w in re.findall("[a-z]+", x.lower())})], "word string").withColumn("n", F.lit(1).cast("long"))
+    counts = word_counts(pages, html_col, F.split(host_of(url), "[^a-z]+")).unionByName(shared).unionByName(told)
+    counts = materialise(counts.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+
+    cut = segment(placed.select("run").distinct(), counts)
+    words = placed.join(cut, "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda s: s["words"])).alias("words"))  # a host's parts are few
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("held_out", is_held_out())
+    words = words.withColumn("host_buckets", F.transform("words", lambda w: bucket_of(w)))
+    none = F.array().cast("array<int>")
+    rows = rows.join(words, "host", "left").withColumn("buckets", F.concat(F.coalesce("host_buckets", none), F.transform(words_of(F.col("path")), lambda w: bucket_of(w))))
+    rows = materialise(rows.drop("host_buckets"), "urls")
+    forget(counts)
+
+    model = NaiveBayes(examples)
+    model.learn(rows.filter("ruled is not null and not held_out").select(F.col("ruled").alias("verdict"), "buckets"))
+    model.counts = None  # the weights alone go to the tasks
+    told = pages.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(b: pa.Array) -> pa.Array:
+        return told.value.summed(b)
+
+    scored = rows.withColumn("score", F.lit(model.prior) + score("buckets"))
+    scored = scored.withColumn("method", F.when(F.col("score") > 1e-9, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", "method").alias("verdict"), F.coalesce("words", F.array().cast("array<string>")).alias("words"), "score", "method", "held_out")
 
-    hosts = rows.select("host").distinct().select("host", F.split("host", "[^a-z]+").alias("runs"))
-    placed = hosts.select("host", F.posexplode("runs").alias("at", "run")).filter("run <> ''")
-    cut = segment(placed.select("run").distinct(), counts)
-    words = placed.join(cut, "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda s: s["words"])).alias("words"))
-    words = words.withColumn("host_score", model.column(F.col("words")))
 
-    path_words = F.filter(F.split(F.translate("path", _UPPER, _LOWER), "[^a-z]+"), lambda w: w != "")
-    scored = rows.join(words, "host", "left").withColumn("score", F.lit(model.prior) + F.coalesce("host_score", F.lit(0.0)) + model.column(path_words))
-    method = F.when(F.col("score") > 1e-9, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.coalesce("words", F.array().cast("array<string>")).alias("words"), "score")
+def held_out_accuracy(judged: DataFrame) -> DataFrame:
+    """One row: rows that a rule decides and the model did not learn, and the share of them on which the method agrees, overall and of those to block and to allow."""
+    right = F.when(F.col("method") == F.col("verdict"), 1.0).otherwise(0.0)
+    by = [F.avg(F.when(F.col("verdict") == v, right)).alias(v) for v in ("block", "allow")]
+    return judged.filter("held_out and rule is not null").agg(F.count("*").alias("rows"), F.avg(right).alias("accuracy"), *by)

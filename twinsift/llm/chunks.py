@@ -3,8 +3,8 @@
 A gear hash of the last 16 bytes is rolled over each text; a chunk ends where it is as high as anywhere within 15 places. So cuts depend on nearby bytes alone, chunks line up again after an insertion, and few are much longer than
 the mean of 31 bytes. Blanks of any kind and number count as one space. A chunk whose
 digest occurs in several documents is repeated. Chunks are seeds only: a window of min_words + 1 words is looked at if
-all chunks that any copy of it must share are repeated, and it is repeated if several documents hold it (64-bit hashes of
-its words). Windows in a row make a passage, so passages end at the exact word and each window has its first holder.
+all chunks that any copy of it must share are repeated, and it is repeated if several documents hold it (128-bit hashes
+of its words). So chunk digests of 64 bits that collide only add windows to look at. Windows in a row make a passage, so passages end at the exact word and each window has its first holder.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import forget, materialise, release, small_batches
+from twinsift.llm._util import forget, in_slices, materialise, release, sliced, unused
 
 _GEAR = np.random.default_rng(1616).integers(0, 1 << 16, 256, dtype=np.uint16)
 _REACH = 16
@@ -79,18 +79,18 @@ def _required(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[n
     return np.searchsorted(bounds, starts + _HEAD), np.searchsorted(bounds, ends - _TAIL, "right") - 1
 
 
-_powers = np.ones((4, 1), np.uint64)  # of two odd numbers and of their inverses
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if _powers.shape[1] < n:
-        odd = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
-        table = np.empty((4, 2 * n), np.uint64)
-        for k, x in enumerate([*odd, *(pow(x, -1, 1 << 64) for x in odd)]):
+def _power_table(odd: int, n: int) -> np.ndarray:
+    """Powers of an odd number, and of its inverse, below n at least."""
+    if odd not in _powers or _powers[odd].shape[1] < n:
+        table = np.empty((2, n + n // 4), np.uint64)
+        for k, x in enumerate((odd, pow(odd, -1, 1 << 64))):
             table[k, 0], table[k, 1:] = 1, x
-        _powers = np.cumprod(table, axis=1, dtype=np.uint64)
-    return _powers
+        _powers[odd] = np.cumprod(table, axis=1, dtype=np.uint64)
+    return _powers[odd]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -99,14 +99,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def window_hashes(plain: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the words of each window of `size` words, by polynomials of bytes, then of words."""
-    p = _power_table(len(plain) + 1)
+def window_hashes(plain: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of the words of each window of `size` words, by polynomials of bytes, then of words."""
+    p = _power_table(_ODD[0], len(plain) + 1)
     total = np.append(np.uint64(0), np.cumsum((plain.astype(np.uint64) + np.uint64(1)) * p[0, : len(plain)], dtype=np.uint64))
-    word = _mixed((total[ends] - total[starts]) * p[2, starts])
-    total = np.append(np.uint64(0), np.cumsum(word * p[1, : len(word)], dtype=np.uint64))
+    word = _mixed((total[ends] - total[starts]) * p[1, starts])
     n = len(word) - size + 1
-    return _mixed((total[size:] - total[:n]) * p[3, :n])
+    out = []
+    for odd in _ODD[1:]:
+        p = _power_table(odd, len(word) + 1)
+        total = np.append(np.uint64(0), np.cumsum(word * p[0, : len(word)], dtype=np.uint64))
+        out.append(_mixed((total[size:] - total[:n]) * p[1, :n]).view(np.int64))
+    return out
 
 
 def chunk_rows(ids: list, texts: list[bytes], around: int = 15, min_words: int | None = None) -> tuple[list[np.ndarray], list]:
@@ -146,9 +150,9 @@ def chunk_rows(ids: list, texts: list[bytes], around: int = 15, min_words: int |
 
 
 def window_rows(ids: list, texts: list[bytes], runs: list, around: int = 15, min_words: int = 50) -> tuple[list[np.ndarray], list]:
-    """(hash, number) columns of the windows that may be repeated, and each one's document. runs: each text's (first, last) repeated chunks."""
+    """(hash, check, number) columns of the windows that may be repeated, and each one's document. runs: each text's (first, last) repeated chunks."""
     docs: list = []
-    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(2)]
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
     for key, raw, spans in zip(ids, texts, runs, strict=True):
         if not raw:
             continue
@@ -163,8 +167,8 @@ def window_rows(ids: list, texts: list[bytes], runs: list, around: int = 15, min
             other[max(0, r["first"]) : r["last"] + 1] = 0
         before = np.append(0, np.cumsum(other))
         may = np.flatnonzero((lo >= hi) | (before[np.maximum(lo, hi)] == before[lo]))
-        columns[0].append(window_hashes(plain, starts, ends, min_words + 1).view(np.int64)[may])
-        columns[1].append(may)
+        for column, x in zip(columns, (*window_hashes(plain, starts, ends, min_words + 1), np.arange(len(lo))), strict=True):
+            column.append(x[may])
         docs += [key] * len(may)
     return list(map(np.concatenate, columns)), docs
 
@@ -183,10 +187,10 @@ def passage_rows(ids: list, texts: list[bytes], runs: list, min_words: int = 50)
     return out
 
 
-def _held_by_several(table: DataFrame, key: str) -> DataFrame:
+def _held_by_several(table: DataFrame, *key: str) -> DataFrame:
     """key and low, the smallest doc_id that has it, of the keys that several documents have; written, so that Spark can split one that a third of the rows have."""
-    found = table.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    return materialise(found.select(key, "low"), "repeated")
+    found = table.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    return materialise(found.select(*key, "low"), "repeated")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, around: int = 15) -> DataFrame:
@@ -199,20 +203,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stands for one text, and of its repeated rows one counts; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             (digest, number, reach), owner = chunk_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], around, min_words)
             yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(owner, pa.int64()), pa.array(number.astype(np.int32)), pa.array(reach.astype(np.int32))], names=["digest", "doc_id", "number", "reach"])
 
     def look(batches):
-        for b in batches:
-            (h, number), owner = window_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], b.column(2).to_pylist(), around, min_words)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(owner, pa.int64()), pa.array(number.astype(np.int32))], names=["hash", "doc_id", "number"])
+        for b in sliced(batches):
+            (h, check, number), owner = window_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], b.column(2).to_pylist(), around, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array(owner, pa.int64()), pa.array(number.astype(np.int32))], names=["hash", "check", "doc_id", "number"])
 
     def place(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = passage_rows(b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()], b.column(2).to_pylist(), min_words)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "end", "words", "first_doc_id"])
 
@@ -233,11 +236,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = materialise(runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     forget(table), forget(repeated), release(spark)
 
-    windows = materialise(with_text(runs).mapInArrow(look, "hash long, doc_id long, number int"), "windows")
+    windows = materialise(with_text(runs).mapInArrow(look, "hash long, check long, doc_id long, number int"), "windows")
     forget(runs), release(spark)
-    held = _held_by_several(windows, "hash")
+    held = _held_by_several(windows, "hash", "check")
     release(spark)
-    hit = windows.join(held, "hash").select("doc_id", "number", "low")
+    hit = windows.join(held, ["hash", "check"]).select("doc_id", "number", "low")
     new = apart | (F.col("low") != F.lag("low").over(by))
     same = hit.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     same = same.groupBy("doc_id", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.min("low").alias("low"))
@@ -248,22 +251,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns and rows, with repeated passages cut out of the texts of all but the first document; each word cut stays in an earlier one."""
-    gone = repeated_passages(docs, id_col, text_col, **options).filter("not is_first").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    """docs, all columns and rows, with repeated passages cut out of the texts of all but the first document; each word cut stays in an earlier one.
+
+    Null and empty texts and rows with a null id stay as they are; repeated rows are cut alike; an empty table gives no rows.
+    """
+    key, spans = unused(docs.columns, "id", "cut")
+    gone = repeated_passages(docs, id_col, text_col, **options).filter("not is_first").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
+
+    def cleaned(t, cut):
+        if t is None or cut is None:
+            return t
+        raw, parts, at = t.encode(), [], 0
+        for s in cut:
+            parts.append(raw[at : s["start"]])
+            at = max(at, s["end"])
+        return b"".join([*parts, raw[at:]]).decode()
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, cut in zip(texts, spans, strict=True):
-            if t is None or cut is None:
-                out.append(t)
-                continue
-            raw, parts, at = t.encode(), [], 0
-            for s in cut:
-                parts.append(raw[at : s["start"]])
-                at = max(at, s["end"])
-            out.append(b"".join([*parts, raw[at:]]).decode())
-        return pd.Series(out, dtype=object)
-
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), docs[id_col] == F.col("__id"), "left")
-    return joined.withColumn(text_col, clean(F.col(text_col).cast("string"), F.col("__cut"))).select(*docs.columns)
+    def clean(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([cleaned(t, c) for k in in_slices(texts) for t, c in zip(texts[k], cuts[k], strict=True)], dtype=object)
+
+    joined = docs.join(gone, docs[id_col] == F.col(key), "left")
+    return joined.withColumn(text_col, clean(F.col(text_col).cast("string"), F.col(spans))).select(*docs.columns)

@@ -51,7 +51,8 @@ def test_odd_rows(spark, odd, nothing):
     assert Q.keep_good(odd, labels, threshold=0.0, model=model()).columns == odd.columns
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.classify(nothing, labels, model=model()).count() == 0
-    assert {r["score"] for r in Q.classify(odd, none, model=model()).collect()} != set()
+    assert {r["score"] for r in Q.classify(odd, none, model=model()).collect()} == {0.5}
+    assert Q.keep_good(odd, none, model=model()).count() == 0 and Q.keep_good(nothing, labels, model=model()).count() == 0
 
 
 def test_contexts_are_the_neighbours():

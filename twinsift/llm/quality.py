@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import PARTIAL, id_and_text, partial_blocks, small_batches, sole, sum_blocks, summed_by_key, texts_of
+from twinsift.llm._util import PARTIAL, id_and_text, in_slices, partial_blocks, sliced, sole, sum_blocks, summed_by_key, texts_of
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _BLOCK = 256
@@ -128,12 +128,16 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -40, 40)))
 
     def fit_network(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Adam on four fifths of the rows; the rest sets the temperature."""
+        """Adam on four fifths of the rows; the rest sets the temperature. Without rows all logits are 0."""
+        if not len(x):
+            self.weights = [np.zeros(x.shape[1], np.float32), np.ones(x.shape[1], np.float32), np.zeros((x.shape[1], self.hidden)), np.zeros(self.hidden), np.zeros(self.hidden), 0.0]
+            self.temperature = 1.0
+            return
         rng = np.random.default_rng(self.seed)
         order = rng.permutation(len(x))
         cut = len(x) - len(x) // 5
         train, held = order[:cut], order[cut:]
-        mean, scale = (x[train].mean(0), x[train].std(0) + 1e-6) if len(train) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        mean, scale = x[train].mean(0), x[train].std(0) + 1e-6
         p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], self.hidden)), np.zeros(self.hidden), rng.normal(0, self.hidden**-0.5, self.hidden), 0.0]
         m, v, t = [0.0] * 4, [0.0] * 4, 0
         z = (x - mean) / scale
@@ -167,13 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, i
     """
     model = model or QualityModel()
     spark = docs.sparkSession
-    small_batches(spark)
     base = id_and_text(docs, id_col, text_col)
     buckets, dims = model.buckets, model.dims
 
     def contexts(batches):
         total, index = np.zeros((buckets, dims), np.int64), index_vectors(buckets, dims)
-        for b in batches:
+        for b in sliced(batches, 0):
             total += context_sums(*bucket_ids(texts_of(b, 0), buckets), index)
         yield from partial_blocks(total, _BLOCK)
 
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, i
     )
 
     def featurise(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = shared.value.features(texts_of(b, 1))
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
 
@@ -204,12 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, i
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for every row, repeated rows each; a null text is an empty one; a null id stays null."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(texts_of(b)).astype(np.float64))], names=["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -227,12 +228,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model: QualityModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least the threshold."""
+    """The rows of docs, all columns, whose text scores at least the threshold.
+
+    A null text is an empty one, and its row stays or goes by that score; repeated rows stay or go together; rows with a
+    null id are scored like others; an empty table gives no rows. Without labelled rows all score one half.
+    """
     model = fit(docs, labels.filter(~is_held_out(id_col)), model, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def quality_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores([t or "" for t in texts]))
+        return pd.Series(np.concatenate([shared.value.scores([t or "" for t in texts[k]]) for k in in_slices(texts)]))
 
     return docs.filter(quality_of(F.col(text_col).cast("string")) >= threshold)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import forget, materialise, release, small_batches, sole
+from twinsift.llm._util import forget, materialise, release, sliced, sole, unused
 from twinsift.llm.components import connected_components
 
 _U = np.uint64
@@ -125,7 +125,7 @@ def common_shingles(base: DataFrame, n: int, most: int = 65_536, chunk: int = 1_
             h, k = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h[k > 1].view(np.int64)), pa.array(k[k > 1], pa.int64())], names=["h", "k"])
 
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, n)
                 d = xxhash.xxh3_64_intdigest(s)
@@ -262,11 +262,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def sketch(batches):
         bounds, local = Bounds(percent), set()  # local copies give no signatures again
-        for b in batches:
+        for b in sliced(batches):
             ids, sizes, digests, signatures = b.column(0).to_pylist(), [], [], []
             for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, n)
@@ -291,27 +290,37 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     # rows of the matrix that share a signature, and the copies that gave signatures with the row they belong to
     signs = own.filter("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
-    same = signs.select("doc_id", F.min("doc_id").over(W.partitionBy("signature").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)).alias("low")).filter("doc_id <> low").distinct()
+    # their lowest by partial aggregation, written, so that Spark can split a signature that a third of the rows share
+    lows = materialise(signs.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("signature", "low"), "lows")
+    same = signs.join(lows, "signature").filter("doc_id <> low").select("doc_id", "low").distinct()
     copies = own.filter("signatures is not null").join(firsts, "digest").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("low"))
     blocks = connected_components(same.unionByName(copies).select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     signed, table = table, materialise(table.select("doc_id", "n_shingles", "digest"), "sizes")
-    forget(signed)
+    forget(signed), forget(lows)
     release(spark)
     firsts = rows_of_matrix(table)
-    rows = materialise(firsts.join(blocks, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("component").alias("block")).distinct(), "rows")
-    rows = rows.join(table.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("doc_id", "block").agg(F.max("n_shingles").alias("n"))
-
-    by_size = W.partitionBy("block").orderBy("n", "doc_id")
-    tiled = rows.withColumn("rank", F.row_number().over(by_size) - 1).withColumn("before", F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    tiled = tiled.withColumn("members", F.count("*").over(W.partitionBy("block"))).filter("members > 1")
-    tiled = materialise(tiled.select("doc_id", "block", "n", (F.floor(F.col("rank") / tile_docs) + F.floor(F.col("before") / tile_shingles)).alias("tile")), "tiles")
+    members = firsts.join(blocks, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("component").alias("block")).distinct()
+    members = members.join(table.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("doc_id", "block").agg(F.max("n_shingles").alias("n"))
+
+    # by size within each block: ranges are ranked apart, after what the ranges before hold, so no task has a block of its own
+    rows = materialise(members.repartitionByRange("block", "n", "doc_id").withColumn("range", F.spark_partition_id()), "rows")
+    forget(blocks)
+    counts = rows.groupBy("block", "range").agg(F.count("*").alias("rows"), F.sum("n").alias("sizes"))
+    earlier = W.partitionBy("block").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    counts = counts.select("block", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows"), F.coalesce(F.sum("sizes").over(earlier), F.lit(0)).alias("sizes"), F.sum("rows").over(W.partitionBy("block")).alias("members"))
+    counts = materialise(counts.filter("members > 1"), "ranges")
+    by_size = W.partitionBy("range", "block").orderBy("n", "doc_id")
+    tiled = rows.withColumn("rank", F.row_number().over(by_size) - 1).withColumn("before", F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).join(counts, ["block", "range"])
+    tile = F.floor((F.col("rank") + F.col("rows")) / tile_docs) + F.floor((F.col("before") + F.col("sizes")) / tile_shingles)
+    tiled = materialise(tiled.select("doc_id", "block", "n", tile.alias("tile")), "tiles")
+    forget(rows), forget(counts)
     tiles = tiled.groupBy("block", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = tiles.select("block", F.col("tile").alias("j"), F.col("least").alias("least_j"))
     pairs = tiles.withColumnRenamed("tile", "i").join(other, "block").filter("i <= j").filter(F.col("most") * 100 >= F.col("least_j") * percent).select("block", "i", "j")
     placed = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).join(tiled.select("block", "tile", "doc_id"), ["block", "tile"])
 
     def sets(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "hashes"])
 
     incidence = base.join(tiled.select("doc_id").distinct(), "doc_id").mapInArrow(sets, "doc_id long, hashes binary").distinct()
@@ -319,18 +328,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     linked = work.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile").mapInArrow(_links(percent), "a long, b long")
     groups = connected_components(linked)
+    forget(tiled)
 
     # one row for each set; written, so that Spark can split a set that a third of the documents have
     found = materialise(firsts.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "groups")
+    forget(groups)
     own_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return table.join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of its group; rows with a null id stay."""
+    """The rows of docs, all columns, whose id is the smallest of its group.
+
+    Rows with a null id, and texts without words, stay; repeated rows of an id that stays all stay; an empty table gives
+    no rows.
+    """
     classes = jaccard_components(docs, n, percent, id_col, text_col)
-    gone = classes.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    (gone,) = unused(docs.columns, "gone")
+    out = classes.filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, docs[id_col] == F.col(gone), "left_anti")
 
 
 def oracle(n: int = 3, percent: int = 90) -> str:

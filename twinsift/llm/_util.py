@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +21,13 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a folder of our own in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         root = root.rstrip("/")
         return root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="twinsift-")
     return _own["dir"]
@@ -38,10 +44,30 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def put_file(folder: str, name: str, raw: bytes) -> str:
+    """Writes a file under a temporary name, then renames it, so that a task that runs again leaves the same file."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(tmp := f"{path}/_{uuid.uuid4().hex}") as f:
+        f.write(raw)
+    fs.move(tmp, f"{path}/{name}")
+    return f"{folder}/{name}"
+
+
+def get_file(uri: str) -> bytes:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
+_left: set[str] = set()  # scratch tables that a result may still read
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared scratch folder and reads it back: lineage ends at a durable table."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _left.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._twinsift_path = path
     return out
@@ -50,6 +76,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing reads it any more."""
     drop_scratch(df.sparkSession, df._twinsift_path)
+    _left.discard(df._twinsift_path)
+
+
+def sweep() -> None:
+    """Deletes the scratch tables that are left: call it when no result is read any more; it also runs when Python ends."""
+    while _left:
+        fs, path = pafs.FileSystem.from_uri(_left.pop())
+        if fs.get_file_info(path).type is not pafs.FileType.NotFound:
+            fs.delete_dir(path)
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    try:
+        sweep()
+    except (OSError, pa.ArrowException):  # the store is gone before we are
+        pass
 
 
 _caches: list = []
@@ -67,15 +110,33 @@ def sole(cache) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that have been written out; it does so when the driver collects garbage."""
+    """Lets Spark delete the shuffle files of plans that have been written out: it does so, as now and then by itself, when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds an Arrow batch by rows and bytes, so that a run of very long texts does not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", (8 if rows > 500 else 3) << 20)
+def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = 500, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and `size` bytes of their column `text` (one row at least), whatever the session's batch size is."""
+    for b in batches:
+        column = b.column(text)
+        ends = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+        lo = 0
+        while lo < b.num_rows:
+            hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right"))
+            hi = min(max(hi, lo + 1), lo + rows, b.num_rows)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def in_slices(texts: pd.Series, rows: int = 500) -> Iterator[slice]:
+    """Slices of a column of texts as sliced() cuts a batch."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and (k - lo >= rows or size >= 1 << 20):
+            yield slice(lo, k)
+            lo, size = k, 0
+        size += len(t or "")
+    yield slice(lo, len(texts))
 
 
 def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
@@ -160,4 +221,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column is called so."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 Queries = dict[str, Callable[[SparkSession, str], DataFrame]]

@@ -16,28 +16,34 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, over all documents and items."""
     return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its host, path, rule and verdict, and what the model makes of it."""
     return urls.filter_urls(read(spark, sf_dir, "pages"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of over 50 words that several documents have, by document, with its first holder."""
     return chunks.repeated_passages(read(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score and prediction; labels are learned from rows that are not held out."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from the token files: start, number of ids and their crc32."""
     folder = token_files.new_folder(spark)
     manifest = token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder)
     return token_files.token_digest(token_files.read_token_files(manifest, folder))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2,048 ids."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
@@ -47,14 +53,17 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 3-word shingles and the smallest id that links at 90 % reach."""
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with counts and spans of secrets, the base patterns' and the field's."""
     return secrets.scan_digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint, that of its edited text, and how alike it is to that and to the next document."""
     return fingerprints.edit_digest(read(spark, sf_dir, "documents"))
 
 

@@ -12,13 +12,15 @@ window that the checks would accept is left out.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import BLOCK, PARTIAL, forget, id_and_text, materialise, partial_blocks, small_batches, sum_blocks, summed, summed_by_key
+from twinsift.llm._util import BLOCK, PARTIAL, drop_scratch, forget, get_file, id_and_text, materialise, partial_blocks, put_file, scratch, sliced, sum_blocks, summed, summed_by_key, unused
 
 _SCALE = 1 << 16
 _SEG, _SMALL, _LARGE = 8, 16, 32
@@ -116,10 +118,13 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - s.bit_count()
 
 
+_held: dict = {}
+
+
 class Benchmark:
     """The items as queries: their windows in latent space, their weighted words and their answers."""
 
-    def __init__(self, items: list[tuple[int, str]], project: np.ndarray, idf: np.ndarray, answers: dict | None = None):
+    def __init__(self, items: list[tuple[int, str]], project: np.ndarray, idf: np.ndarray, share: float, answer_share: float, answers: dict | None = None):
         f = len(idf)
         self.ids, self.words, self.answers = [], [], []
         small, large = ([], []), ([], [])
@@ -144,18 +149,29 @@ class Benchmark:
         sizes = np.array([len(w) for w in self.words], np.int64)
         reach = np.where(sizes <= 24, np.where(sizes <= 16, 16, 24), 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         reach[(sizes > 24) & (sizes <= 48) & (sizes > 32)] = 48
-        holders = np.bincount(np.searchsorted(self.vocabulary, np.concatenate([np.unique(np.array(w, np.uint32)) for w in self.words] or [self.vocabulary])), minlength=len(self.vocabulary))
+        slots = [np.searchsorted(self.vocabulary, np.array(w, np.uint32)) for w in self.words]
         self.maybe = np.zeros(1 << 16, bool)  # by the last bits of a word's hash
         self.maybe[self.vocabulary & 0xFFFF] = True
-        self.rare = holders <= max(1, 0.05 * len(self.words))
-        self.classes = []  # items of like size: words around a window that are looked at, items, their words and their answers' by vocabulary
+        # what the checks need of an item's words, and of its rare ones if all others stand there
+        holders = np.bincount(np.concatenate([np.unique(x) for x in slots] or [np.zeros(0, np.int64)]), minlength=len(self.vocabulary))
+        rare = holders <= max(16, 0.05 * len(self.words))
+        self.need = np.ceil(share * sizes - 1e-9).astype(np.int64)
+        self.need_answer = np.array([answer_share * len(x) for x in self.answers]) - 1e-9
+        self.need_rare = np.maximum(self.need - np.array([np.count_nonzero(~rare[x]) for x in slots], np.int64), 0)
+        self.classes = []  # items of like size: words around a window that are looked at, items, their words and their answers' by vocabulary, holders of rare words
         for n in np.unique(reach).tolist():
             items = np.flatnonzero(reach == n)
             counts = np.zeros((2, len(self.vocabulary) + 1, len(items)), np.uint8 if n < 256 else np.int32)  # the last row stands for no word
             for k, j in enumerate(items.tolist()):
                 for side, w in enumerate((self.words[j], self.answers[j])):
                     np.add.at(counts[side, :, k], np.searchsorted(self.vocabulary, np.array(w, np.uint32)), 1)
-            self.classes.append((n, items, *counts))
+            # which of these items a rare word stands in, as often as it does
+            word = np.concatenate([slots[j] for j in items])
+            holder = np.repeat(np.arange(len(items)), sizes[items])
+            use = np.flatnonzero(rare[word] & (self.need_rare[items][holder] > 0))
+            use = use[np.argsort(word[use], kind="stable")]
+            holding = np.bincount(word[use], minlength=len(self.vocabulary))
+            self.classes.append((n, items, *counts, holder[use], holding, np.cumsum(holding) - holding))
         self.weights = np.zeros((len(self.ids), _TABLE + 1), np.float32)  # the last column stands for no word
         self.full = np.zeros(len(self.ids), np.float32)
         self.share = np.array([min(1.0, _LARGE / len(w)) for w in self.words], np.float32)
@@ -203,16 +219,6 @@ def _near(ids, lens, project, bench, cosine, coverage):
     return found
 
 
-def _sums(table, rows, count):
-    """The sum of the table's rows that each row names, so many of them; rows of like length together, in its own type."""
-    out = np.empty((len(rows), table.shape[1]), table.dtype)
-    order = np.argsort(count, kind="stable")
-    for lo in range(0, len(rows), 128):
-        part = order[lo : lo + 128]
-        out[part] = table[rows[part, : count[part[-1]]]].sum(1, dtype=table.dtype)
-    return out
-
-
 def _places(at, slot):
     """Where words of the vocabulary stand, which ones, and the place of the same word before, of a batch."""
     order = np.argsort(slot, kind="stable")
@@ -222,28 +228,43 @@ def _places(at, slot):
     return at, slot, before
 
 
-def _different(places, begin, end, most, least):
-    """The different words of each stretch as rows filled up with no word, how many, and which stretches; those that can't give `least` are left out."""
+def _different(places, begin, end, none):
+    """The different words of each stretch as rows filled up with `none`."""
     at, slot, before = places
     lo = np.searchsorted(at, begin)
     count = np.searchsorted(at, end) - lo
     place = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
     new = before[place] < np.repeat(lo, count)
     row, word = np.repeat(np.arange(len(lo)), count)[new], slot[place[new]]
-    some = np.bincount(row, most[word], len(lo)) >= least
-    use, kept = some[row], np.flatnonzero(some)
-    row, word = (np.cumsum(some) - 1)[row[use]], word[use]
-    count = np.bincount(row, minlength=len(kept))
-    there = np.full((len(kept), count.max(initial=0)), len(most))
+    count = np.bincount(row, minlength=len(lo))
+    there = np.full((len(lo), count.max(initial=0)), none)
     there[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = word
-    return there, count, kept
+    return there
 
 
-def _covered(ids, lens, bench, share, answer_share):
+def _crowded(places, span, holders, need, items):
+    """(cell's begin, item) of the stretches of twice `span` words, half overlapping, with enough different rare words of an item: each shorter stretch lies in one."""
+    at, slot, before = places
+    holder, holding, first = holders
+    held = np.flatnonzero(holding[slot] > 0)
+    at, slot, before = at[held], slot[held], np.where(before[held] >= 0, at[before[held]], -1 - 4 * span)
+    for shift in (0, span):
+        cell = (at + shift) // (2 * span)
+        new = (before + shift) // (2 * span) != cell
+        c, s = cell[new], slot[new]
+        n = holding[s]
+        item = holder[np.arange(n.sum()) + np.repeat(first[s] - (np.cumsum(n) - n), n)]
+        count = np.bincount(np.repeat(c, n) * items + item)
+        some = np.flatnonzero(count)
+        some = some[count[some] >= need[some % items]]
+        yield some // items * 2 * span - shift, some % items
+
+
+def _covered(ids, lens, bench):
     """(document, item, first word, last word) of the windows around which enough different words of an item and of its answer stand.
 
-    A word of the item counts as often as the item has it if it stands there at all, so no subsequence is longer. Words
-    that many items have are first taken to stand everywhere; what passes is counted with them.
+    A word of the item counts as often as the item has it if it stands there at all, so no subsequence is longer. Rare
+    words, which must make up for what common ones can't give, are counted first, in stretches that hold the windows.
     """
     if not len(bench.vocabulary) or not len(ids):
         return []
@@ -251,36 +272,32 @@ def _covered(ids, lens, bench, share, answer_share):
     at = np.flatnonzero(bench.maybe[ids & 0xFFFF])
     slot = np.minimum(np.searchsorted(bench.vocabulary, ids[at]), none - 1)
     known = bench.vocabulary[slot] == ids[at]
-    at, slot = at[known], slot[known].astype(np.uint16 if none < 1 << 16 else np.int64)
-    few = bench.rare[slot]
-    (at_rare, rare, before), every = _places(at[few], slot[few]), _places(at, slot)
+    places = _places(at[known], slot[known].astype(np.uint16 if none < 1 << 16 else np.int64))
     begins, stops = np.cumsum(lens) - lens, np.cumsum(lens)
     found = []
-    for n, items, words, answers in bench.classes:
+    for n, items, words, answers, *holders in bench.classes:
         size, step = (_SMALL, _SEG) if n <= 24 else (_LARGE, 2 * _SEG)
         first, doc = cuts(lens, step)
         last = np.minimum(first + size, stops[doc])
-        begin, end = np.maximum(first - n, begins[doc]), np.minimum(last + n, stops[doc])
-        need = np.ceil(np.array([share * len(bench.words[j]) for j in items]) - 1e-9).astype(np.int64)
-        need_answer = np.array([answer_share * len(bench.answers[j]) for j in items]) - 1e-9
-        need_rare = np.maximum(need - words[:-1][~bench.rare].sum(0, dtype=np.int64), 0).astype(words.dtype)
-        most = words[:-1].max(1)
-        used = most[rare] > 0
-        own = at_rare[used], rare[used], np.append(np.cumsum(used) - 1, -1)[before[used]]
-        for k in range(0, len(first), 1 << 12):
-            there, count, kept = _different(own, begin[k : k + (1 << 12)], end[k : k + (1 << 12)], most, int(need_rare.min()))
-            w, q = np.nonzero(_sums(words, there, count) >= need_rare)
-            if not len(w):
-                continue
-            w = kept[w]
-            rows, back = np.unique(w, return_inverse=True)
-            there, _, _ = _different(every, begin[k + rows], end[k + rows], most, 0)
-            for m in range(0, len(w), 1 << 14):
-                r, j = there[back[m : m + (1 << 14)]], q[m : m + (1 << 14)]
-                ok = words[r, j[:, None]].sum(1, dtype=np.int64) >= need[j]
-                ok[ok] = answers[r[ok], j[ok, None]].sum(1, dtype=np.int64) >= need_answer[j[ok]]
-                at, j = k + w[m : m + (1 << 14)][ok], items[j[ok]]
-                found += zip(doc[at].tolist(), j.tolist(), first[at].tolist(), last[at].tolist(), strict=True)
+        begin, end = np.maximum(first - n, begins[doc]), np.minimum(last + n, stops[doc])  # both ascend
+        pairs = [np.zeros(0, np.int64)]
+        for cell, q in _crowded(places, size + 2 * n, holders, bench.need_rare[items], len(items)):
+            lo, hi = np.searchsorted(begin, cell), np.searchsorted(end, cell + 2 * (size + 2 * n), "right")
+            count = np.maximum(hi - lo, 0)
+            pairs.append((np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())) * len(items) + np.repeat(q, count))
+        free = np.flatnonzero(bench.need_rare[items] == 0)
+        if len(free):
+            pairs.append((np.arange(len(first))[:, None] * len(items) + free).ravel())
+        w, q = np.divmod(np.unique(np.concatenate(pairs)), len(items))
+        need, need_answer = bench.need[items], bench.need_answer[items]
+        for k in range(0, len(w), 1 << 13):
+            rows, back = np.unique(w[k : k + (1 << 13)], return_inverse=True)
+            there = _different(places, begin[rows], end[rows], none)[back]
+            j = q[k : k + (1 << 13)]
+            ok = words[there, j[:, None]].sum(1, dtype=np.int64) >= need[j]
+            ok[ok] = answers[there[ok], j[ok, None]].sum(1, dtype=np.int64) >= need_answer[j[ok]]
+            win, j = w[k : k + (1 << 13)][ok], items[j[ok]]
+            found += zip(doc[win].tolist(), j.tolist(), first[win].tolist(), last[win].tolist(), strict=True)
     return found
 
 
@@ -300,15 +317,15 @@ def find_contamination(
     item has on either side) the common subsequence reaches `share` of the item's words and `answer_share` of its answer's (answer_col; by default
     the item's last quarter, three words at least). One row for each pair, the best window's. Null and empty texts hold
     nothing and are held by nothing; a null id stays null; rows of one id are looked at each and give one row an item;
-    an empty table gives no rows; other columns are not read. Items are compared in blocks of `block`.
+    an empty table gives no rows; other columns are not read. Items are compared in blocks of `block`, which tasks read
+    in turn, so that one pass over the documents serves any number of them.
     cosine and coverage choose windows to be checked; they drop none that the checks would accept.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
 
     def spool(batches):
         df, n = np.zeros(features, np.int64), 0
-        for b in batches:
+        for b in sliced(batches, rows=2000, size=8 << 20):
             ids, lens = word_ids(b.column(1))
             starts, _ = cuts(lens, _LARGE)
             if len(ids):
@@ -350,7 +367,7 @@ def find_contamination(
 
     def gram(batches):
         w, z = weighted.value, np.zeros((features + 1, rank), np.float32)
-        for b in batches:
+        for b in sliced(batches, 0, 2000, 8 << 20):
             ids, lens = documents(b)
             if len(ids):
                 gram_share(z, w, in_pieces((ids % features).astype(np.int32), lens, _LARGE, features)[0])
@@ -365,49 +382,68 @@ def find_contamination(
     project = (u / np.maximum(sigma, max(sigma.max(), 1e-9) * 1e-6) * sigma.max() * idf[:, None]).astype(np.float32)
     project = np.vstack([project, np.zeros((1, rank), np.float32)])
 
-    def search(shared):
-        def run(batches):
-            project, bench = shared.value
-            for b in batches:
-                keys = b.column(1).to_pylist()
-                ids, lens = documents(b)
-                first = np.cumsum(lens) - lens
-                best: dict = {}
-                near = {(d, j, lo, hi): c for d, j, lo, hi, c in _near(ids, lens, project, bench, cosine, coverage)}
-                for d, j, lo, hi in {**near, **dict.fromkeys(w for w in _covered(ids, lens, bench, share, answer_share) if w not in near)}:
-                    item = bench.words[j]
-                    region = ids[max(lo - len(item), first[d]) : min(hi + len(item), first[d] + lens[d])].tolist()
-                    n = lcs(item, region)
-                    a = lcs(bench.answers[j], region) / len(bench.answers[j])
-                    if n >= share * len(item) and a >= answer_share:
-                        c = near[d, j, lo, hi] if (d, j, lo, hi) in near else _cosine(ids, project, bench, j, lo, hi)
-                        best[d, j] = max(best.get((d, j), (0, 0, 0.0)), (n, a, c))
-                rows = [(keys[d], bench.ids[j], c, n, n / len(bench.words[j]), a) for (d, j), (n, a, c) in best.items()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "lcs_share", "answer_share"])
-
-        return run
-
     columns = [F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")] + ([F.col(answer_col).cast("string").alias("answer")] if answer_col else [])
-    out, held = None, []
-
-    def compare(rows):
-        bench = Benchmark([(r["id"], r["text"]) for r in rows], project, idf, {r["id"]: r["answer"] for r in rows} if answer_col else None)
-        return words.select("ids", "doc_id").mapInArrow(search(spark.sparkContext.broadcast((project, bench))), "doc_id long, item_id long, cosine double, lcs long, lcs_share double, answer_share double")
-
+    folder, blocks, held = scratch(spark, "items"), 0, []
     for row in benchmark.select(*columns).toLocalIterator():
-        held.append(row)
+        held.append(tuple(row))
         if len(held) == block:
-            out, held = compare(held) if out is None else out.unionByName(compare(held)), []
-    if held or out is None:
-        out = compare(held) if out is None else out.unionByName(compare(held))
+            put_file(folder, f"{blocks:08d}", pickle.dumps(held))
+            blocks, held = blocks + 1, []
+    if held or not blocks:
+        put_file(folder, f"{blocks:08d}", pickle.dumps(held))
+        blocks += 1
+    shared = spark.sparkContext.broadcast((project, idf))
+
+    def leaks(keys, ids, lens, bench, project) -> list[tuple]:
+        first = np.cumsum(lens) - lens
+        best: dict = {}
+        near = {(d, j, lo, hi): c for d, j, lo, hi, c in _near(ids, lens, project, bench, cosine, coverage)}
+        for d, j, lo, hi in {**near, **dict.fromkeys(w for w in _covered(ids, lens, bench) if w not in near)}:
+            item = bench.words[j]
+            region = ids[max(lo - len(item), first[d]) : min(hi + len(item), first[d] + lens[d])].tolist()
+            n = lcs(item, region)
+            a = lcs(bench.answers[j], region) / len(bench.answers[j])
+            if n >= share * len(item) and a >= answer_share:
+                c = near[d, j, lo, hi] if (d, j, lo, hi) in near else _cosine(ids, project, bench, j, lo, hi)
+                best[d, j] = max(best.get((d, j), (0, 0, 0.0)), (n, a, c))
+        return [(keys[d], bench.ids[j], c, n, n / len(bench.words[j]), a) for (d, j), (n, a, c) in best.items()]
+
+    def search(batches):
+        project, idf = shared.value
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
+
+        def compared(parts):
+            for k in range(blocks):
+                if _held.get("uri") != (uri := f"{folder}/{k:08d}"):  # a worker keeps the last block, which is the only one of most benchmarks
+                    rows = pickle.loads(get_file(uri))
+                    _held.update(uri=uri, bench=Benchmark([r[:2] for r in rows], project, idf, share, answer_share, {r[0]: r[2] for r in rows} if answer_col else None))
+                for keys, ids, lens in parts:
+                    if rows := leaks(keys, ids, lens, _held["bench"], project):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "lcs_share", "answer_share"])
+
+        parts, size = [], 0
+        for b in sliced(batches, 0, 2000, 4 << 20):
+            parts.append((b.column(1).to_pylist(), *documents(b)))
+            size += parts[-1][1].nbytes
+            if blocks == 1 or size >= 32 << 20:
+                yield from compared(parts)
+                parts, size = [], 0
+        yield from compared(parts)
+
+    out = words.select("ids", "doc_id").mapInArrow(search, "doc_id long, item_id long, cosine double, lcs long, lcs_share double, answer_share double")
     found = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer_share", "cosine", "lcs_share")).alias("b")).select("doc_id", "item_id", "b.cosine", "b.lcs", "b.lcs_share", "b.answer_share")
     found = materialise(found, "leaks")
     forget(table)
+    drop_scratch(spark, folder)
     return found
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that hold no item; rows with a null id stay."""
+    """The rows of docs, all columns, that hold no item.
+
+    Rows with a null id and with null or empty texts stay; of an id with several texts all go if one holds an item; an
+    empty table gives no rows, and an empty benchmark drops none.
+    """
     found = find_contamination(docs, benchmark, id_col, text_col, **options)
-    return docs.join(found.select(F.col("doc_id").alias("__gone")).distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+    (gone,) = unused(docs.columns, "gone")
+    return docs.join(found.select(F.col("doc_id").alias(gone)).distinct(), docs[id_col] == F.col(gone), "left_anti")

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -115,6 +116,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def small_batches(operator: Callable) -> Callable:
+    """For operators whose first argument is a table: the jobs that they run themselves send Arrow batches of at most 2,000 rows and 4 MB, then the session has its settings again."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options):
+        conf = docs.sparkSession.conf
+        before = [conf.get(k, None) for k in _BATCH]
+        for k, v in zip(_BATCH, (2000, 4 << 20), strict=True):
+            conf.set(k, v)
+        try:
+            return operator(docs, *args, **options)
+        finally:
+            for k, v in zip(_BATCH, before, strict=True):
+                conf.unset(k) if v is None else conf.set(k, v)
+
+    return run
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = 500, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows and `size` bytes of their column `text` (one row at least), whatever the session's batch size is."""
     for b in batches:

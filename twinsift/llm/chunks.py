@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import forget, in_slices, materialise, release, sliced, unused
+from twinsift.llm._util import forget, in_slices, materialise, release, sliced, small_batches, unused
 
 _GEAR = np.random.default_rng(1616).integers(0, 1 << 16, 256, dtype=np.uint16)
 _REACH = 16
@@ -193,6 +193,7 @@ def _held_by_several(table: DataFrame, *key: str) -> DataFrame:
     return materialise(found.select(*key, "low"), "repeated")
 
 
+@small_batches
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, around: int = 15) -> DataFrame:
     """doc_id, start, end (bytes of the UTF-8 text), words, first_doc_id and is_first for every repeated passage of over min_words.
 

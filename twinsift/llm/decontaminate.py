@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import BLOCK, PARTIAL, drop_scratch, forget, get_file, id_and_text, materialise, partial_blocks, put_file, scratch, sliced, sum_blocks, summed, summed_by_key, unused
+from twinsift.llm._util import BLOCK, PARTIAL, drop_scratch, forget, get_file, id_and_text, materialise, partial_blocks, put_file, scratch, sliced, small_batches, sum_blocks, summed, summed_by_key, unused
 
 _SCALE = 1 << 16
 _SEG, _SMALL, _LARGE = 8, 16, 32
@@ -307,6 +307,7 @@ def _cosine(ids, project, bench, j, lo, hi):
     return max(float((vectors[item == j] @ v).max(initial=-1.0)) for vectors, item in (bench.small, bench.large)) / max(float(np.linalg.norm(v)), 1e-9)
 
 
+@small_batches
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None,
     features: int = 16_384, rank: int = 64, cosine: float = 0.65, coverage: float = 0.45, share: float = 0.6, answer_share: float = 0.6, block: int = 2000,

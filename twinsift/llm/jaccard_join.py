@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import forget, materialise, release, sliced, sole, unused
+from twinsift.llm._util import forget, materialise, release, sliced, small_batches, sole, unused
 from twinsift.llm.components import connected_components
 
 _U = np.uint64
@@ -51,7 +51,7 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     sole(_words)
-    if len(_words) > 300_000:
+    if len(_words) > 200_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(n, len(h))
@@ -253,6 +253,7 @@ def _links(percent: int):
     return run
 
 
+@small_batches
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", tile_docs: int = 1024, tile_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) for every row of docs.
 

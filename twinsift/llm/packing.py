@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm import tokens
-from twinsift.llm._util import id_and_text, materialise, sliced
+from twinsift.llm._util import id_and_text, materialise, sliced, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -111,6 +111,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
 
 
+@small_batches
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, spaced: bool = True, merge: int = 8, max_open: int = 4096) -> DataFrame:
     """Packs every document's ids, an end id after each, into windows of at most `window` tokens.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import PARTIAL, id_and_text, in_slices, partial_blocks, sliced, sole, sum_blocks, summed_by_key, texts_of
+from twinsift.llm._util import PARTIAL, id_and_text, in_slices, partial_blocks, sliced, small_batches, sole, sum_blocks, summed_by_key, texts_of
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _BLOCK = 256
@@ -163,6 +163,7 @@ class QualityModel:
             self.temperature = float(grid[int(np.argmin(loss))])
 
 
+@small_batches
 def fit(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Word vectors from all documents; the network from at most model.max_labelled of the labelled rows given.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from twinsift.llm import tokens
-from twinsift.llm._util import drop_scratch, get_file, id_and_text, put_file, scratch, sliced
+from twinsift.llm._util import drop_scratch, get_file, id_and_text, put_file, scratch, sliced, small_batches
 
 MAGIC = b"TWSIDS01"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
@@ -70,6 +70,7 @@ def unpack_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x else i for i, x in zip(ids, nulls, strict=True)], lens, decode_ranks(control, data, m)
 
 
+@small_batches
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False, file_ids: int = 4_000_000) -> DataFrame:
     """Tokenises every text, ranks ids by corpus count and writes files in ascending id order; returns the manifest.
 

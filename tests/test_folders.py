@@ -1,5 +1,6 @@
 """Folders scanned and compared from end to end."""
 
+import json
 import os
 import random
 from collections import defaultdict
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from twinsift.operators.groups import collapse_links
 from twinsift.operators.refine import confirm_duplicates, unreadable
 from twinsift.plans import cli, disposal, matches, report
+from twinsift.schema import FILES
 from twinsift.sources.flatdir import scan_folders
-from twinsift.sources.index import read_index, write_index
+from twinsift.sources.index import read_index, read_parquet_index, write_index, write_parquet_index
 
 
 def write(folder, files):
@@ -180,6 +182,29 @@ def test_index_lines(spark, tmp_path):
     assert sorted(map(tuple, read_index(spark, str(tmp_path / "i")).collect())) == sorted(rows)
 
 
+def test_command_line_names_the_files(spark, tmp_path, capfd):
+    write(tmp_path / "A", {"x": "same", "y": "same", "p": "only a"})
+    write(tmp_path / "B", {'z"é': "same", "w": "other"})
+    a, b = (str((tmp_path / s).resolve()) for s in "AB")
+    assert cli.main([a, b, "--lists", str(tmp_path / "lists"), "--plan", str(tmp_path / "plan"), "--side", "B"]) == 0
+    out = capfd.readouterr().out
+    assert all(f"{a}/{n}" in out for n in "xy") and f"{a}/p" not in out
+    lines = {s: sorted(json.loads(line) for f in (tmp_path / "lists" / f"side={s}").glob("part-*") for line in f.read_text(encoding="utf-8").splitlines()) for s in "AB"}
+    assert lines == {"A": [f"{a}/x", f"{a}/y"], "B": [f'{b}/z"é']}
+    assert [r["path"] for r in spark.read.json(str(tmp_path / "plan")).collect()] == [f'{b}/z"é']
+    assert cli.main([a, a, "--plan", str(tmp_path / "plan")]) == 0
+    (gone,) = [r["path"] for r in spark.read.json(str(tmp_path / "plan")).collect()]
+    assert gone in (f"{a}/x", f"{a}/y") and gone in capfd.readouterr().out
+
+
+def test_parquet_index(spark, tmp_path):
+    write(tmp_path / "in", {"a": "x", "b": "yy"})
+    files, _ = scan_folders(spark, [str(tmp_path / "in")])
+    write_parquet_index(files, str(tmp_path / "index"))
+    got = read_parquet_index(spark, str(tmp_path / "index"))
+    assert got.columns == FILES.names and sorted((r["size"], os.path.basename(r["path"])) for r in got.collect()) == [(1, "a"), (2, "b")]
+
+
 def test_exit_codes(tmp_path, capsys):
     assert cli.main([str(tmp_path / "none")]) == 2
     assert cli.main([str(tmp_path), "--ext", "a,b"]) == 2

@@ -1,83 +1,40 @@
-"""Checks of what a user types: folders, extensions and menu choices. Nothing here reaches a shell."""
+"""Arguments that name folders and extensions."""
 
 from __future__ import annotations
 
+import os
 import re
-from pathlib import Path, PurePath
+from pathlib import Path
 
-# Characters and words that mark a command rather than a name
-SHELL_CHARS = ";&|`$<>\n\r\x00"
-COMMAND_WORDS = (
-    "alias bash bitsadmin cat certutil chmod chown cmd copy cscript curl del diskpart doas echo erase eval exec export fish "
-    "format kill mkdir move msiexec net node perl pkill powershell printf pwsh py python python3 rd reg rm rmdir robocopy "
-    "ruby sc set sh start sudo wget wscript xcopy zsh"
-).split()
-SCRIPT_SUFFIXES = (".exe", ".bat", ".cmd", ".ps1", ".sh", ".com", ".vbs", ".js")
+_ONE = re.compile(r"\s*(?:[*]?[.])?(?P<body>[0-9A-Za-z]{1,10})\s*", re.ASCII)
+# Suffixes that, written with their dot, name a script and are refused
+_SCRIPTS = (".bat", ".cmd", ".com", ".exe", ".js", ".ps1", ".sh", ".vbs")
 
 
 class ArgumentError(ValueError):
-    """What was typed is no folder, extension or choice."""
-
-
-def names_a_program(raw: str) -> bool:
-    """Whether the first word is a script, or a command followed by something."""
-    words = raw.split()
-    if not words:
-        return False
-    name = PurePath(words[0]).name.lower()
-    return name.endswith(SCRIPT_SUFFIXES) or len(words) > 1 and name in COMMAND_WORDS
-
-
-def is_command(raw: str) -> bool:
-    return bool(set(raw) & set(SHELL_CHARS)) or names_a_program(raw)
-
-
-def _no_controls(raw: str, but: str = "") -> None:
-    if any(ord(c) < 32 and c not in but for c in raw):
-        raise ArgumentError("control characters are not allowed")
+    """An argument that names no folder or no extension."""
 
 
 def extension(raw: str) -> str:
-    """One extension, with its dot."""
-    _no_controls(raw)
-    token = raw.strip().lower()
-    if is_command(token):
-        raise ArgumentError("that is a command, not an extension")
-    found = re.fullmatch(r"(?:\*?\.)?([a-z0-9]{1,10})", token, re.A)
-    if not found:
-        raise ArgumentError("give one extension of 1 to 10 letters or digits")
-    return "." + found[1]
+    """`mp4`, `.mp4` and `*.MP4` as `.mp4`."""
+    found = _ONE.fullmatch(raw) if raw.isprintable() else None
+    if found is None or raw.strip().lower().lstrip("*") in _SCRIPTS:
+        raise ArgumentError(f"{raw!r} is no extension; write one as mp4 or .mp4")
+    return f".{found['body'].lower()}"
 
 
 def extensions(raw: list[str] | None) -> list[str] | None:
-    """The distinct extensions of a list whose blank items don't count; None stands for all."""
-    return sorted({extension(x) for x in raw or [] if x.strip()}) or None
-
-
-def choice(raw: str, allowed: set[str]) -> str:
-    _no_controls(raw)
-    key = raw.strip().upper()
-    if is_command(raw.strip()) or key not in allowed:
-        raise ArgumentError(f"give one of {' '.join(sorted(allowed))}")
-    return key
-
-
-def folder_choice(raw: str) -> str:
-    """What was typed at a folder prompt: nothing, `..`, a number from the list, or a path."""
-    _no_controls(raw, "\t")
-    text = raw.strip()
-    _no_controls(text)
-    if names_a_program(text):
-        raise ArgumentError("that is a command, not a folder")
-    return text
+    """A list's distinct extensions in order, blank entries aside; None, which stands for every file, if there are none."""
+    return sorted({extension(x) for x in raw or () if x.strip()}) or None
 
 
 def folder(raw: str) -> Path:
-    """An existing folder, resolved."""
-    _no_controls(raw)
-    if names_a_program(raw):
-        raise ArgumentError("that is a command, not a folder")
-    path = Path(raw).expanduser()
-    if not path.is_dir():
-        raise ArgumentError(f"not a folder: {raw}")
-    return path.resolve()
+    """The real path of a folder that exists; ~ is the home folder."""
+    try:
+        path = Path(os.path.realpath(os.path.expanduser(raw)))
+        exists = path.is_dir()
+    except (OSError, ValueError) as e:
+        raise ArgumentError(f"{raw!r} can't be looked up") from e
+    if not exists:
+        raise ArgumentError(f"there is no folder {raw!r}")
+    return path

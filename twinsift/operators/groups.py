@@ -46,6 +46,24 @@ def compare_pairs(files: DataFrame) -> DataFrame:
     return pairs.filter("n = 2").drop("n")
 
 
+def same_bytes(files: DataFrame, content: str = "content") -> DataFrame:
+    """compare_pairs() by the bytes themselves, for tables that hold them: size, left_path, right_path and equal.
+
+    Only files whose size exactly two have take part; each size's two contents meet in one join, and no digest decides.
+    """
+    pairs = files.groupBy("size").agg(F.count("*").alias("n"), F.min("path").alias("left_path"), F.max("path").alias("right_path")).filter("n = 2").drop("n")
+    side = lambda name: files.select(F.col("size"), F.col("path").alias(f"{name}_path"), F.col(content).alias(name))
+    both = pairs.join(side("left"), ["size", "left_path"]).join(side("right"), ["size", "right_path"])
+    return both.select("size", "left_path", "right_path", (F.col("left").cast("binary") == F.col("right").cast("binary")).alias("equal"))
+
+
+def first_two(files: DataFrame, keys: list[str], order: str = "path") -> DataFrame:
+    """keys, first and second: the two lowest of each group of two or more, by a partial aggregation of the lowest of what is left."""
+    low = files.groupBy(*keys).agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n >= 2").drop("n")
+    rest = files.join(low, keys).filter(F.col(order) > F.col("first"))
+    return rest.groupBy(*keys, "first").agg(F.min(order).alias("second"))
+
+
 def duplicate_members(files: DataFrame) -> DataFrame:
     """The files, links collapsed, whose content another file has; a null digest (unreadable) is no content."""
     return in_collisions(collapse_links(files), ["size", "digest"])

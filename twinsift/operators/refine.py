@@ -9,31 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.content import file_digest, file_sample
-from twinsift.operators.groups import collapse_links
+from twinsift.operators.groups import collapse_links, in_collisions
 from twinsift.schema import SMALL_BYTES
-
-
-def _shared(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Files with company under their keys. Counted in the same pass, so that no digest is worked out twice."""
-    from pyspark.sql.window import Window as W
-
-    return files.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).filter("__n >= 2").drop("__n")
+from twinsift.scratch import written
 
 
 def confirm_duplicates(files: DataFrame) -> DataFrame:
     """The files that have a byte-identical companion, with their digest ("" for empty files, which are never read).
 
     Links are collapsed first. A file that can't be read drops out; what is left of its group stands if it has two
-    members.
+    members. Each step keeps the files whose key an aggregation finds twice, so no key gathers its files in one task,
+    and each digest is written before it is counted, so that no file is read twice.
     """
     columns = [c for c in files.columns if c not in ("sample", "digest")]
-    same_size = _shared(collapse_links(files.select(*columns)), ["size"])
-    empty = same_size.filter("size = 0").withColumn("sample", F.lit(None).cast("string")).withColumn("digest", F.lit(""))
-    small = same_size.filter(f"size between 1 and {SMALL_BYTES}").withColumn("sample", F.lit(None).cast("string")).withColumn("digest", file_digest("path"))
-    large = same_size.filter(f"size > {SMALL_BYTES}").withColumn("sample", file_sample("path", "size")).filter("sample is not null")
-    large = _shared(large, ["size", "sample"]).withColumn("digest", file_digest("path"))
+    same_size = in_collisions(written(collapse_links(files.select(*columns)), "files"), ["size"])
+    none = F.lit(None).cast("string")
+    empty = same_size.filter("size = 0").withColumn("sample", none).withColumn("digest", F.lit(""))
+    small = same_size.filter(f"size between 1 and {SMALL_BYTES}").withColumn("sample", none).withColumn("digest", file_digest("path"))
+    sampled = written(same_size.filter(f"size > {SMALL_BYTES}").withColumn("sample", file_sample("path", "size")).filter("sample is not null"), "samples")
+    large = in_collisions(sampled, ["size", "sample"]).select(*columns, "sample").withColumn("digest", file_digest("path"))
     read = small.unionByName(large).filter("digest is not null")
-    return _shared(empty.unionByName(read), ["size", "digest"])
+    return in_collisions(written(empty.unionByName(read), "digests"), ["size", "digest"]).select(*columns, "sample", "digest")
 
 
 def unreadable(files: DataFrame) -> DataFrame:

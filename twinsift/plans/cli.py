@@ -44,6 +44,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--ext", nargs="*", help="only these extensions")
     parser.add_argument("--report", default="twinsift-report", help="where the report goes")
     parser.add_argument("--index", help="where an index goes")
+    parser.add_argument("--lists", help="two folders: where each side's paths go, as JSON lines")
+    parser.add_argument("--plan", help="where a list of files that could go is written; nothing is removed")
+    parser.add_argument("--side", choices=["A", "B"], default="B", help="two folders: whose files the plan names")
     given = parser.parse_args(argv)
     try:
         folders = [str(args.folder(f)) for f in given.folders]
@@ -58,14 +61,17 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     if len(folders) == 1:
         folder_report(spark, folders[0], given.report, ext, given.index).show(truncate=False)
-    elif folders[0] == folders[1]:
-        files = same_folder(spark, folders[0], ext)
-        matches.same_summary(files).show()
-        matches.preview(matches.kept(files), ["size", "digest"]).show(50, truncate=False)
     else:
-        files = compare(spark, *folders, ext)
-        matches.cross_summary(files).show()
-        matches.preview(matches.cross_groups(files), ["size", "digest"]).show(50, truncate=False)
+        same = folders[0] == folders[1]
+        files = same_folder(spark, folders[0], ext) if same else compare(spark, *folders, ext)
+        (matches.same_summary if same else matches.cross_summary)(files).show()
+        shown = matches.preview((matches.kept if same else matches.cross_groups)(files), ["size", "digest"]).persist()
+        shown.show(50, truncate=False)
+        matches.some_paths(files, shown).orderBy("place", "path").show(1000, truncate=False)
+        if given.lists and not same:
+            matches.write_side_lists(files, given.lists)
+        if given.plan:
+            (disposal.plan_extras(files) if same else disposal.plan_side(files, given.side)).write.mode("overwrite").json(given.plan)
     return 0
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from twinsift.plans.numbering import number_rows
+from twinsift.scratch import written
 
 FULL_LIST_MAX = 50
 PREVIEW_LIMIT = 20
@@ -29,6 +30,12 @@ def side_lists(files: DataFrame) -> DataFrame:
     return files.join(cross_groups(files).select("size", "digest"), ["size", "digest"], "left_semi").select("side", "path", "size")
 
 
+def write_side_lists(files: DataFrame, folder: str) -> None:
+    """Side lists as text files below `folder`, one JSON string a line: side=A/ and side=B/."""
+    line = F.regexp_extract(F.to_json(F.struct(F.col("path").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    side_lists(files).select("side", line.alias("value")).write.mode("overwrite").partitionBy("side").text(folder)
+
+
 def side_totals(files: DataFrame) -> DataFrame:
     return side_lists(files).groupBy("side").agg(F.count("*").alias("files"), F.sum("size").alias("nbytes"))
 
@@ -63,6 +70,15 @@ def same_summary(files: DataFrame) -> DataFrame:
 
 def preview(groups: DataFrame, order: list[str]) -> DataFrame:
     """All groups up to 50, else the first 20, with their place; and `more`, how many are not shown."""
+    groups = written(groups, "groups")
     total = groups.count()
     shown = total if total <= FULL_LIST_MAX else PREVIEW_LIMIT
-    return number_rows(groups.orderBy(*order).limit(shown), order, "place").withColumn("more", F.lit(total - shown).cast("long"))
+    first = groups.orderBy(*order).limit(shown)
+    return first.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long")).withColumn("more", F.lit(total - shown).cast("long"))  # 50 rows at most
+
+
+def some_paths(files: DataFrame, shown: DataFrame, most: int = 20) -> DataFrame:
+    """place, side or keep columns of a preview with its paths, `most` of each group at most: what a user acts on."""
+    rows = files.join(F.broadcast(shown.select("place", "size", "digest")), ["size", "digest"])  # a preview has 50 rows at most
+    by = W.partitionBy("place").orderBy("path")
+    return rows.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= most).select("place", *[c for c in ("side",) if c in files.columns], "path", "size")

@@ -26,9 +26,13 @@ def report_members(files: DataFrame) -> DataFrame:
 
 def report_summary(files: DataFrame, scanned: int | None = None, errors: int = 0) -> DataFrame:
     """One row: scanned, errors, groups, extra_copies, wasted; zeros where nothing is repeated."""
-    totals = duplicate_groups(files).agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("extra_copies"), F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted"))
-    seen = files.agg(F.count("*").alias("scanned")) if scanned is None else files.sparkSession.range(1).select(F.lit(scanned).cast("long").alias("scanned"))
-    return seen.withColumn("errors", F.lit(errors).cast("long")).join(totals).select("scanned", "errors", "groups", "extra_copies", "wasted")
+    contents = files.groupBy("size", "digest").agg(F.count("*").alias("copies"))
+    extra = F.when(F.col("digest").isNotNull() & (F.col("copies") >= 2), F.col("copies") - 1).otherwise(0)
+    seen = F.coalesce(F.sum("copies"), F.lit(0)) if scanned is None else F.lit(scanned)
+    return contents.agg(
+        seen.cast("long").alias("scanned"), F.lit(errors).cast("long").alias("errors"), F.count_if(extra > 0).alias("groups"),
+        F.coalesce(F.sum(extra), F.lit(0)).cast("long").alias("extra_copies"), F.coalesce(F.sum(F.col("size") * extra), F.lit(0)).cast("long").alias("wasted"),
+    )
 
 
 def report_lines(files: DataFrame, scanned: int | None = None, errors: int = 0) -> DataFrame:

@@ -92,8 +92,8 @@ def report_lines(spark, sf_dir):
 
 
 def report_summary(spark, sf_dir):
-    totals = report.report_summary(collapsed(spark, sf_dir), scanned=0).drop("scanned")
-    return totals.join(files(spark, sf_dir).agg(F.count("*").alias("scanned"))).select("scanned", "errors", "groups", "extra_copies", "wasted")
+    """Links count as scanned, so the number of rows is taken first; it needs no content."""
+    return report.report_summary(collapsed(spark, sf_dir), scanned=_table(spark, sf_dir, "documents").count())
 
 
 def group_members(spark, sf_dir):
@@ -110,6 +110,20 @@ def extras(spark, sf_dir):
     return matches.extras(collapsed(spark, sf_dir))
 
 
+def same_matches(spark, sf_dir):
+    """The paths as one text: for display; the rows are extras."""
+    return matches.same_matches(collapsed(spark, sf_dir)).select("size", "keep", F.array_join("extras", "|").alias("extras"))
+
+
+def pair_bytes(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.octet_length("text").cast("long").alias("size"))
+    return groups.same_bytes(docs)
+
+
+def first_two(spark, sf_dir):
+    return groups.first_two(collapsed(spark, sf_dir), ["size", "digest"])
+
+
 def same_summary(spark, sf_dir):
     return matches.same_summary(collapsed(spark, sf_dir))
 
@@ -264,6 +278,18 @@ _SQL: dict[str, tuple[Query, str]] = {
     "group_members": (group_members, "SELECT size, digest, string_agg(path, '|' ORDER BY path) AS paths FROM one JOIN dups USING (size, digest) GROUP BY size, digest"),
     "keep_newest": (keep_newest, "SELECT size, keep, copies FROM newest"),
     "extras": (extras, "SELECT keep, path, size FROM one JOIN newest USING (size, digest) WHERE path <> keep"),
+    "same_matches": (same_matches, "SELECT size, keep, string_agg(path, '|' ORDER BY path) AS extras FROM one JOIN newest USING (size, digest) WHERE path <> keep GROUP BY size, keep"),
+    "first_two": (
+        first_two,
+        """SELECT size, digest, min(path) FILTER (k = 1) AS "first", min(path) FILTER (k = 2) AS "second" FROM (SELECT *, row_number() OVER (PARTITION BY size, digest ORDER BY path) AS k FROM one)
+        GROUP BY size, digest HAVING count(*) >= 2""",
+    ),
+    "pair_bytes": (
+        pair_bytes,
+        """SELECT l.size, l.p AS left_path, r.p AS right_path, l.text = r.text AS "equal" FROM (SELECT *, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS p, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents) l
+        JOIN (SELECT *, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS p, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents) r ON l.size = r.size AND l.p < r.p
+        WHERE l.size IN (SELECT octet_length(encode(text)) FROM documents GROUP BY 1 HAVING count(*) = 2)""",
+    ),
     "same_summary": (
         same_summary,
         """SELECT CAST(count(*) AS BIGINT) AS matches, CAST(coalesce(sum(size), 0) AS BIGINT) AS match_bytes, CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS extras,

@@ -41,3 +41,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def write_parquet_index(files: DataFrame, path: str) -> None:
     _filled(files).write.mode("overwrite").parquet(path)
+
+
+def read_parquet_index(spark: SparkSession, path: str) -> DataFrame:
+    """What write_parquet_index() wrote, with the file relation's types; a later scan can be compared with it."""
+    return spark.read.schema(FILES).parquet(path)

@@ -76,7 +76,7 @@ def pair_compare(spark, sf_dir):
 
 
 def dup_members(spark, sf_dir):
-    return groups.duplicate_members(files(spark, sf_dir)).select("path", "size", "digest")
+    return groups.in_collisions(collapsed(spark, sf_dir), ["size", "digest"]).select("path", "size", "digest")
 
 
 def report_groups(spark, sf_dir):
@@ -98,7 +98,7 @@ def report_summary(spark, sf_dir):
 
 def group_members(spark, sf_dir):
     """The paths of each group as one text: for display; the members as rows are report_members."""
-    members = groups.duplicate_members(files(spark, sf_dir))
+    members = groups.in_collisions(collapsed(spark, sf_dir), ["size", "digest"])
     return members.groupBy("size", "digest").agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
 
 

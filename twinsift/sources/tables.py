@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.content import full_digest, sample_digest, size_of
+from twinsift.scratch import written
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:
     """documents as files: path, folder, ext, size, mtime, dev, ino, digest, sample, side and doc_id.
 
     The folder is the source; equal texts of one parity are hard links of each other, except that every fifth document
-    has an unknown inode. Content stays in the scan: only digests are passed on.
+    has an unknown inode. Content stays in the scan: only digests are passed on, by a table that is written now.
     """
     unknown = F.col("doc_id") % 5 == 0
     rows = documents.select(
@@ -21,6 +22,7 @@ def documents_as_files(documents: DataFrame) -> DataFrame:
         full_digest(F.col("text")).alias("digest"), sample_digest(F.col("text")).alias("sample"), F.when(F.substring("source", 4, 9).cast("int") < 10, "A").otherwise("B").alias("side"),
         (F.col("doc_id") % 2).alias("parity"), unknown.alias("unknown"),
     )
+    rows = written(rows, "digests")  # so that texts are read and hashed once
     # the smallest id of each set of links: aggregated before it is joined, so a common text is no hot group
     links = rows.filter(~F.col("unknown")).groupBy("digest", "parity").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "parity", "first")
     joined = rows.join(links, ["digest", "parity"], "left")

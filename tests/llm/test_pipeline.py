@@ -6,6 +6,7 @@ from collections import defaultdict
 import corpus_pipeline
 import pytest
 from tests.conftest import DATA
+from tests.llm.conftest import odd_rows
 
 from twinsift.llm import decontaminate, jaccard_join, quality, secrets
 from twinsift.llm._util import read
@@ -43,3 +44,23 @@ def test_every_stage_takes_effect(spark, tmp_path):
     packed = corpus_pipeline.packing_stage(spark, docs, DATA).collect()
     assert {r["doc_id"] for r in packed} == set(texts)
     assert corpus_pipeline.run(spark, DATA).count() == len(packed) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, empty and long texts, repeated rows, columns with names that operators use."""
+    rows = [(i, t, "en", "src1", None if t is None else len(t), "x", 1) for i, t in odd_rows()]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, gone string, pseudonyms int"
+    kept = {"n-gram Jaccard join": len(rows), "benchmark decontamination": len(rows), "secret scans": len(rows)}
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (rows, []):
+            docs = spark.createDataFrame(given, columns)
+            out = stage(spark, docs, DATA)
+            got = out.collect()
+            if name == "packing":
+                assert {r["doc_id"] for r in got} == {r[0] for r in given}
+                continue
+            assert out.columns == docs.columns
+            if given and name in kept:
+                assert len(got) == kept[name] and sum(r["text"] is None for r in got) == 1
+            if not given:
+                assert got == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -110,6 +111,16 @@ def sole(cache) -> None:
         _caches[:] = [*(c for c in _caches if c is not cache), cache]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: an idle Python worker otherwise keeps the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that have been written out: it does so, as now and then by itself, when the driver collects garbage."""
     gc.collect()
@@ -148,6 +159,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = 500, si
             hi = min(max(hi, lo + 1), lo + rows, b.num_rows)
             yield b.slice(lo, hi - lo)
             lo = hi
+    give_back()
 
 
 def in_slices(texts: pd.Series, rows: int = 500) -> Iterator[slice]:
@@ -159,6 +171,7 @@ def in_slices(texts: pd.Series, rows: int = 500) -> Iterator[slice]:
             lo, size = k, 0
         size += len(t or "")
     yield slice(lo, len(texts))
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:

@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, i
 
     def contexts(batches):
         total, index = np.zeros((buckets, dims), np.int64), index_vectors(buckets, dims)
-        for b in sliced(batches, 0):
+        for b in sliced(batches, 0, size=1 << 20):  # a token takes 250 bytes and more on the way
             total += context_sums(*bucket_ids(texts_of(b, 0), buckets), index)
         yield from partial_blocks(total, _BLOCK)
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,6 +113,39 @@ def test_linked_sets_share_a_signature(data):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.sets(st.integers(-20, 20), max_size=8)), max_size=25), st.sampled_from([2, 4, 1024]))
+def test_holders_lose_no_agreement(rows, slots):
+    holders, passed = J.Holders(slots), []
+    links = []
+    for doc, signatures in rows:
+        fresh, near = holders.meet(doc, np.array(sorted(signatures), np.int64))
+        passed += [(doc, ("s", x)) for x in fresh.tolist()]
+        links += [(doc, d) for d in near.tolist()]
+        assert len(fresh) <= len(signatures) and all(any(d == e for e, _ in passed) for d in near.tolist())
+
+    def classes(edges):
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        docs = sorted({d for d, _ in rows})
+        return {frozenset(e for e in docs if find(e) == find(d)) for d in docs}
+
+    assert classes(passed + links) == classes([(doc, ("s", x)) for doc, signatures in rows for x in signatures])
+
+
+def test_hot_signatures_leave_a_task_once():
+    holders = J.Holders()
+    told = [len(holders.meet(doc, np.array([7, 9, 100 + doc], np.int64))[0]) for doc in range(5000)]
+    assert told == [3] + [1] * 4999
+
+
 def test_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")

@@ -26,6 +26,7 @@ from twinsift.llm.components import connected_components
 
 _U = np.uint64
 _SPARE, _SHARE = 2, 0.08  # ranges beyond D + 1: so many, and this share of D besides
+_SLOTS = 1 << 20  # signatures that a task remembers
 
 
 class _WordHash(dict):
@@ -115,6 +116,28 @@ class Bounds:
         return np.concatenate(out).view(np.int64)
 
 
+class Holders:
+    """The last holder of each of a fixed number of signatures, so that a task tells a signature that it meets again by a link.
+
+    A signature that is not remembered is passed on and takes its slot; one that is remembered gives a link to its
+    holder, which has passed it on. So no agreement is lost, whatever the slots forget, and a signature that a third of
+    the rows share leaves a task as a few rows. The number of slots is a power of two, two at least.
+    """
+
+    def __init__(self, slots: int = _SLOTS):
+        self.held = np.arange(slots) ^ 1  # no signature of a slot
+        self.holder = np.zeros(slots, np.int64)
+
+    def meet(self, doc: int, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures to pass on, and the documents to link with."""
+        at = signatures & (len(self.held) - 1)
+        known = self.held[at] == signatures
+        near, at, fresh = np.unique(self.holder[at[known]]), at[~known], signatures[~known]
+        self.held[at] = fresh
+        self.holder[at] = doc
+        return fresh, near[near != doc]
+
+
 def common_shingles(base: DataFrame, n: int, most: int = 65_536, chunk: int = 1_000_000) -> np.ndarray:
     """The hashes of the commonest shingles, at most `most`, sorted: those that chunks of a million shingles repeat, by count."""
 
@@ -265,9 +288,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     spark = docs.sparkSession
 
     def sketch(batches):
-        bounds, local = Bounds(percent), set()  # local copies give no signatures again
+        bounds, local, holders = Bounds(percent), set(), Holders()  # local copies give no signatures again
         for b in sliced(batches):
-            ids, sizes, digests, signatures = b.column(0).to_pylist(), [], [], []
+            ids, sizes, digests, signatures, near = b.column(0).to_pylist(), [], [], [], []
             for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, n)
                 d = xxhash.xxh3_128_digest(s)
@@ -276,12 +299,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
                 first = doc is not None and len(s) and d not in local
                 if first:
                     local.add(d)
-                signatures.append(bounds.signatures(s, shared.value) if first else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "signatures"])
+                fresh, known = holders.meet(doc, bounds.signatures(s, shared.value)) if first else (None, None)
+                signatures.append(fresh)
+                near.append(known)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (signatures, near)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], names=["doc_id", "n_shingles", "digest", "signatures", "near"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     shared = spark.sparkContext.broadcast(common_shingles(base, n))
-    table = materialise(base.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, signatures array<long>"), "sets")
+    table = materialise(base.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, signatures array<long>, near array<long>"), "sets")
     own = table.filter("n_shingles > 0 and doc_id is not null")
 
     def rows_of_matrix(t):
@@ -291,13 +317,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     # rows of the matrix that share a signature, and the copies that gave signatures with the row they belong to
     signs = own.filter("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
-    # their lowest by partial aggregation, written, so that Spark can split a signature that a third of the rows share
-    lows = materialise(signs.groupBy("signature").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("signature", "low"), "lows")
-    same = signs.join(lows, "signature").filter("doc_id <> low").select("doc_id", "low").distinct()
+    # tasks have told the agreements inside them by links, so a signature has a few rows a task here, however many rows share it
+    same = signs.withColumn("low", F.min("doc_id").over(W.partitionBy("signature"))).filter("doc_id <> low").select("doc_id", "low")
+    same = same.unionByName(own.select("doc_id", F.explode("near").alias("low"))).distinct()
     copies = own.filter("signatures is not null").join(firsts, "digest").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("low"))
     blocks = connected_components(same.unionByName(copies).select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     signed, table = table, materialise(table.select("doc_id", "n_shingles", "digest"), "sizes")
-    forget(signed), forget(lows)
+    forget(signed)
     release(spark)
     firsts = rows_of_matrix(table)
     members = firsts.join(blocks, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("component").alias("block")).distinct()

@@ -1,0 +1,96 @@
+"""Importance resampling against a plain version."""
+
+import hashlib
+import math
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from tests.conftest import DATA
+from tests.llm.conftest import odd_rows, prose, rng, table
+
+from twinsift.llm import queries
+from twinsift.llm import resampling as R
+
+
+def features(text, n):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    return [" ".join(words[i : i + k]) for k in range(1, n + 1) for i in range(len(words) - k + 1)], len(words)
+
+
+def plain(rows, target, n=1, buckets=10_000, percent=10, least=20, seed=2024):
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    corpus = Counter(bucket(f) for _, t in rows for f in features(t, n)[0])
+    aim = Counter(bucket(f) for t in target for f in features(t, n)[0])
+    total, want = sum(corpus.values()), sum(aim.values())
+    gain = lambda b: math.floor(1000 * math.log((aim[b] + 1) * (total + buckets) / ((corpus[b] + 1) * (want + buckets))))
+    out = []
+    for i, t in rows:
+        f, words = features(t, n)
+        weight = sum(gain(bucket(x)) for x in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(f), words, weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    order = sorted((k for k in range(len(out)) if out[k][2] >= least), key=lambda k: (-out[k][4], out[k][0] is not None, out[k][0] or 0))
+    drawn = {k: r for r, k in enumerate(order[: len(order) * percent // 100], 1)}
+    return sorted(((*r, drawn.get(k)) for k, r in enumerate(out)), key=repr)
+
+
+def run(spark, rows, target, **options):
+    aim = spark.createDataFrame([(k, t) for k, t in enumerate(target)], "item_id long, text string")
+    return sorted((tuple(x) for x in R.resample(table(spark, rows), aim, **options).collect()), key=repr)
+
+
+@pytest.mark.parametrize("options", [{}, {"n": 2, "buckets": 97, "percent": 33}, {"n": 3, "seed": 5, "least_words": 2}])
+def test_plain(spark, options):
+    r = rng(3)
+    rows = [(k, prose(r, r.randrange(1, 80)) + r.choice([" É1 2x", "", "\x7fq-Z"])) for k in range(120)]
+    rows += [(500 + k, rows[0][1]) for k in range(60)]  # a third are copies
+    target = [prose(r, 30) for _ in range(8)]
+    want = plain(rows, target, options.get("n", 1), options.get("buckets", 10_000), options.get("percent", 10), options.get("least_words", 20), options.get("seed", 2024))
+    assert run(spark, rows, target, **options) == want and any(w[-1] for w in want)
+
+
+def test_odd_rows(spark, odd, nothing):
+    aim = spark.createDataFrame([("one two",), (None,)], "text string")
+    got = sorted((tuple(x) for x in R.resample(odd, aim).collect()), key=repr)
+    assert got == plain(odd_rows(), ["one two", None])
+    assert R.resample(nothing, aim).count() == 0 and R.resample(odd, aim.limit(0)).count() == len(odd_rows())
+    again = R.drawn(odd, aim, percent=100, least_words=0)
+    assert again.columns == odd.columns and again.count() == len(odd_rows()) - 1
+
+
+def test_full_tries_lose_no_count(spark):
+    r = rng(8)
+    texts = [prose(r, 200) for _ in range(30)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("cast(text as binary)")
+    want = Counter(zlib.crc32(f.encode()) % 512 for t in texts for f in features(t, 2)[0])
+    for most in (10, 300_000):
+        assert R.bucket_totals(df, 2, 512, most).tolist() == [want[k] for k in range(512)]
+
+
+def test_long_texts_in_parts():
+    text = ("Ab-c1 " * 400_000 + "x" * 3_000_000 + " é").encode()
+    words = [w for part in R.words_of(text) for w in part]
+    assert words[:2] == [b"ab", b"c1"] and len(words) == 800_002 and len(words[-2]) == 3_000_000
+    trie = R.Trie(2, 1 << 16)
+    total = np.zeros(1 << 16, np.int64)
+    for nodes in R._runs_of(text, trie, lambda: trie.pour(total)):
+        trie.tell(nodes)
+    trie.pour(total)
+    assert total.sum() == 800_002 + 800_001 and total[zlib.crc32(b"c1 ab") & 0xFFFF] >= 399_999
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()["op11_resampling"])
+    got = queries.op11_resampling(spark, DATA)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())

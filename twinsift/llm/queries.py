@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import chunks, decontaminate, fingerprints, jaccard_join, packing, pii, quality, secrets, token_files, urls
+from twinsift.llm import chunks, clustering, decontaminate, fingerprints, jaccard_join, packing, pii, quality, resampling, secrets, sharding, token_files, urls
 from twinsift.llm._util import Queries, read
 
 
@@ -67,9 +67,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight and score towards the benchmark's words, and its rank if it is drawn."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and slot; shards have near equal bytes."""
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector with its cluster and distance."""
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = [
+    op1_decontamination, op2_url_filter, op3_substring_dedup, op4_quality, op5_token_files, op6_packing, op7_pseudonyms, op8_ngram_join, op9_secret_scan, op10_fingerprints, op11_resampling, op12_sharding,
+    op13_clustering,
+]
+
+
 def queries() -> Queries:
-    return {"op1_decontamination": op1_decontamination, "op2_url_filter": op2_url_filter, "op3_substring_dedup": op3_substring_dedup, "op4_quality": op4_quality, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op7_pseudonyms": op7_pseudonyms, "op8_ngram_join": op8_ngram_join, "op9_secret_scan": op9_secret_scan, "op10_fingerprints": op10_fingerprints}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": jaccard_join.oracle(), "op10_fingerprints": fingerprints.oracle()}
+    return {"op8_ngram_join": jaccard_join.oracle(), "op10_fingerprints": fingerprints.oracle(), "op11_resampling": resampling.oracle(), "op12_sharding": sharding.oracle(), "op13_clustering": clustering.oracle()}

@@ -4,10 +4,12 @@ A document is its set of word n-grams, hashed to 64 bits. Equal sets are one row
 into blocks that no linked pair straddles, by two bounds that follow from the sizes a and b of two linked sets (overlap
 o >= s (a + b) / (1 + s) at similarity s): b lies in a's size class or the next, and the sets differ in at most
 D = (1 - s) / (1 + s) (a + b) n-grams; so of D + 1 + spare ranges of the hash space, in each of which a set leaves a
-signature, at least spare + 1 agree. Blocks are the components of agreeing signatures. Inside a block, tiles of rows are
-multiplied: overlap counts add up over blocks of columns, and pairs whose count can no longer reach their size-derived
-bound are discarded after each. A tile pair gives a spanning forest of its links, not all pairs, so what a group of
-near copies sends on grows with its size. Links are exact; only the 64-bit hashes stand for the n-grams.
+signature, at least spare + 1 agree. Blocks are the components of agreeing signatures. Each row is first multiplied with
+one pivot, the row that it shares most signatures with; rows that this links, directly or by others, need no comparison
+with each other. What is left of a block is multiplied in tiles of rows, and tiles of one linked group are not multiplied
+with each other, so the work in a group of near copies grows with its size. Overlap counts add up over blocks of columns,
+and pairs whose count can no longer reach their size-derived bound are discarded after each. A tile pair gives a spanning
+forest of its links, not all pairs. Links are exact; only the 64-bit hashes stand for the n-grams.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -138,6 +141,43 @@ class Holders:
         return fresh, near[near != doc]
 
 
+def agreements(signs: DataFrame) -> DataFrame:
+    """doc_id, low and n of signs(doc_id, signature): rows that share n signatures; all rows of a signature are joined by these.
+
+    Rows are dealt by ranges of signature and id, so that a hot signature takes as many tasks as it needs, and sorted: a
+    row goes with the first of its signature in its range. Where a signature goes on in the next range, the two ranges'
+    ends are joined; they are two rows a task.
+    """
+
+    def run(batches):
+        first = last = None  # signature and row
+        low = None  # the first row of the signature that the last batch ended with
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sign, doc = (c.to_numpy() for c in b.columns)
+            starts = np.flatnonzero(np.concatenate([[last is None or sign[0] != last[0]], sign[1:] != sign[:-1]]))
+            heads = doc[starts]
+            if not len(starts) or starts[0]:
+                starts, heads = np.append(0, starts), np.append(low, heads)
+            lows = np.repeat(heads, np.diff(starts, append=len(doc)))
+            pairs, n = np.unique(np.stack([doc, lows])[:, doc != lows], axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "low", "n", "signature", "range"])
+            first = first or (sign[0], doc[0])
+            last, low = (sign[-1], doc[-1]), heads[-1]
+        if first:
+            at = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([first[1], last[1]], pa.int64()), pa.nulls(2, pa.int64()), pa.array([0, 1], pa.int64()), pa.array([first[0], last[0]], pa.int64()), pa.array([at, at], pa.int64())], names=["doc_id", "low", "n", "signature", "range"])
+
+    ranged = signs.select("signature", "doc_id").repartitionByRange("signature", "doc_id").sortWithinPartitions("signature", "doc_id")
+    found = materialise(ranged.mapInArrow(run, "doc_id long, low long, n long, signature long, range long"), "agreed")
+    ends = sorted((r["range"], r["n"], r["signature"], r["doc_id"]) for r in found.filter("range is not null").collect())
+    over = [(b[3], a[3], 1) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a[2] == b[2] and a[3] != b[3]]
+    joined = found.filter("range is null").select("doc_id", "low", "n").unionByName(signs.sparkSession.createDataFrame(over, "doc_id long, low long, n long"))
+    joined._twinsift_path = found._twinsift_path  # so that the caller can forget() it
+    return joined
+
+
 def common_shingles(base: DataFrame, n: int, most: int = 65_536, chunk: int = 1_000_000) -> np.ndarray:
     """The hashes of the commonest shingles, at most `most`, sorted: those that chunks of a million shingles repeat, by count."""
 
@@ -317,45 +357,74 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     # rows of the matrix that share a signature, and the copies that gave signatures with the row they belong to
     signs = own.filter("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
-    # tasks have told the agreements inside them by links, so a signature has a few rows a task here, however many rows share it
-    same = signs.withColumn("low", F.min("doc_id").over(W.partitionBy("signature"))).filter("doc_id <> low").select("doc_id", "low")
-    same = same.unionByName(own.select("doc_id", F.explode("near").alias("low"))).distinct()
-    copies = own.filter("signatures is not null").join(firsts, "digest").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("low"))
-    blocks = connected_components(same.unionByName(copies).select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    found = agreements(signs)
+    # tasks have told the agreements inside them by links
+    shared_by = found.unionByName(own.select("doc_id", F.explode("near").alias("low"), F.lit(1).cast("long").alias("n")))
+    copies = own.filter("signatures is not null").join(firsts, "digest").filter("doc_id <> rep").select("doc_id", F.col("rep").alias("low"), F.lit(0).cast("long").alias("n"))
+    agreed = materialise(shared_by.groupBy("doc_id", "low").agg(F.sum("n").alias("n")).unionByName(copies), "pairs")
+    forget(found)
+    blocks = connected_components(agreed.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     signed, table = table, materialise(table.select("doc_id", "n_shingles", "digest"), "sizes")
     forget(signed)
     release(spark)
     firsts = rows_of_matrix(table)
-    members = firsts.join(blocks, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("component").alias("block")).distinct()
-    members = members.join(table.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("doc_id", "block").agg(F.max("n_shingles").alias("n"))
-
-    # by size within each block: ranges are ranked apart, after what the ranges before hold, so no task has a block of its own
-    rows = materialise(members.repartitionByRange("block", "n", "doc_id").withColumn("range", F.spark_partition_id()), "rows")
-    forget(blocks)
-    counts = rows.groupBy("block", "range").agg(F.count("*").alias("rows"), F.sum("n").alias("sizes"))
-    earlier = W.partitionBy("block").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    counts = counts.select("block", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows"), F.coalesce(F.sum("sizes").over(earlier), F.lit(0)).alias("sizes"), F.sum("rows").over(W.partitionBy("block")).alias("members"))
-    counts = materialise(counts.filter("members > 1"), "ranges")
-    by_size = W.partitionBy("range", "block").orderBy("n", "doc_id")
-    tiled = rows.withColumn("rank", F.row_number().over(by_size) - 1).withColumn("before", F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).join(counts, ["block", "range"])
-    tile = F.floor((F.col("rank") + F.col("rows")) / tile_docs) + F.floor((F.col("before") + F.col("sizes")) / tile_shingles)
-    tiled = materialise(tiled.select("doc_id", "block", "n", tile.alias("tile")), "tiles")
-    forget(rows), forget(counts)
-    tiles = tiled.groupBy("block", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = tiles.select("block", F.col("tile").alias("j"), F.col("least").alias("least_j"))
-    pairs = tiles.withColumnRenamed("tile", "i").join(other, "block").filter("i <= j").filter(F.col("most") * 100 >= F.col("least_j") * percent).select("block", "i", "j")
-    placed = pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).join(tiled.select("block", "tile", "doc_id"), ["block", "tile"])
+    sizes = table.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    members = firsts.join(blocks, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("component").alias("block")).distinct().join(sizes, "doc_id")
 
     def sets(batches):
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "hashes"])
 
-    incidence = base.join(tiled.select("doc_id").distinct(), "doc_id").mapInArrow(sets, "doc_id long, hashes binary").distinct()
-    work = placed.join(incidence, "doc_id").select("block", "i", "j", "tile", "doc_id", "hashes")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    linked = work.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile").mapInArrow(_links(percent), "a long, b long")
-    groups = connected_components(linked)
-    forget(tiled)
+
+    def products(placed: DataFrame) -> DataFrame:
+        """The links of placed(block, i, j, tile, doc_id): of each block's tiles i and j."""
+        incidence = base.join(placed.select("doc_id").distinct(), "doc_id").mapInArrow(sets, "doc_id long, hashes binary").distinct()
+        work = placed.join(incidence, "doc_id").select("block", "i", "j", "tile", "doc_id", "hashes")
+        return work.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile").mapInArrow(_links(percent), "a long, b long")
+
+    # each row with its pivot; a pivot's rows are dealt into tiles by a hash, as many as they fill
+    pivots = agreed.filter("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("p")).select("doc_id", (-F.col("p.low")).alias("pivot"))
+    other = sizes.select(F.col("doc_id").alias("pivot"), F.col("n").alias("m"))
+    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    pivots = materialise(pivots.join(sizes, "doc_id").join(other, "pivot").filter(fits), "pivots")
+    room = pivots.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / tile_docs, F.sum("n") / tile_shingles)).alias("tiles"))
+    dealt = materialise(pivots.join(materialise(room, "room"), "pivot").select(F.col("pivot").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("tiles")).alias("i"), "doc_id"), "dealt")
+    to_place = dealt.select("block", "i", F.lit(-1).cast("long").alias("j"), F.col("i").alias("tile"), "doc_id")
+    own_tile = dealt.select("block", "i").distinct().select("block", "i", F.lit(-1).cast("long").alias("j"), F.lit(-1).cast("long").alias("tile"), F.col("block").alias("doc_id"))
+    near = connected_components(products(to_place.unionByName(own_tile)))
+    forget(agreed), forget(pivots), forget(dealt)
+
+    # blocks that are not yet one group; a large group has tiles of its own
+    members = materialise(members.join(near, F.col("doc_id") == F.col("node"), "left").select("doc_id", "block", "n", F.coalesce("component", "doc_id").alias("group")), "members")
+    forget(blocks)
+    groups = materialise(members.groupBy("block", "group").agg(F.count("*").alias("rows"), F.sum("n").alias("sizes")), "groups")
+    mixed = groups.groupBy("block").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("block")
+    large = groups.filter((F.col("rows") * 4 >= tile_docs) | (F.col("sizes") * 4 >= tile_shingles)).select("block", "group", F.lit(True).alias("large"))
+    rest = F.lit(-(2**63)).cast("long")  # the tiles of all small groups
+    left = members.join(mixed, "block", "left_semi").join(large, ["block", "group"], "left").withColumn("own", F.when(F.col("large"), F.col("group")).otherwise(rest))
+
+    # by size within each block: ranges are ranked apart, after what the ranges before hold, so no task has a block of its own
+    rows = materialise(left.repartitionByRange("block", "own", "n", "doc_id").withColumn("range", F.spark_partition_id()), "rows")
+    forget(members), forget(groups)
+    counts = rows.groupBy("block", "own", "range").agg(F.count("*").alias("rows"), F.sum("n").alias("sizes"))
+    earlier = W.partitionBy("block", "own").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    counts = counts.select("block", "own", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows"), F.coalesce(F.sum("sizes").over(earlier), F.lit(0)).alias("sizes"))
+    counts = materialise(counts, "ranges")
+    by_size = W.partitionBy("range", "block", "own").orderBy("n", "doc_id")
+    tiled = rows.withColumn("rank", F.row_number().over(by_size) - 1).withColumn("before", F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).join(counts, ["block", "own", "range"])
+    tile = F.floor((F.col("rank") + F.col("rows")) / tile_docs) + F.floor((F.col("before") + F.col("sizes")) / tile_shingles)
+    tiled = materialise(tiled.select("doc_id", "block", "own", "n", tile.alias("tile")), "tiles")
+    forget(rows), forget(counts)
+    tiles = materialise(tiled.groupBy("block", "own", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumn("i", F.monotonically_increasing_id()), "numbers")
+    other = tiles.select("block", F.col("own").alias("own_j"), F.col("i").alias("j"), F.col("least").alias("least_j"), F.col("most").alias("most_j"))
+    fits = (F.col("most") * 100 >= F.col("least_j") * percent) & (F.col("most_j") * 100 >= F.col("least") * percent)
+    pairs = tiles.join(other, "block").filter("i <= j").filter(fits & ((F.col("own") != F.col("own_j")) | (F.col("own") == rest))).select("block", "i", "j")
+    numbered = tiled.join(tiles.select("block", "own", "tile", "i"), ["block", "own", "tile"]).select("block", F.col("i").alias("tile"), "doc_id")
+    placed = materialise(pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).join(numbered, ["block", "tile"]).select("block", "i", "j", "tile", "doc_id"), "placed")
+    forget(tiled), forget(tiles)
+    groups = connected_components(products(placed).unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    forget(placed), forget(near)
 
     # one row for each set; written, so that Spark can split a set that a third of the documents have
     found = materialise(firsts.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "groups")

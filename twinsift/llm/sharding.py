@@ -145,7 +145,7 @@ def shard(docs: DataFrame, shards: int = 24, tolerance: float = 0.0, id_col: str
     def range_of(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(_cuts(cuts.value), _packed(a, b, c), "right").astype(np.int32))
 
-    placed = table.withColumn(at, range_of(digest, doc, row)).withColumn(rank, F.row_number().over(W.partitionBy(at).orderBy(digest, doc, row)))
+    placed = table.withColumn(at, range_of(digest, doc, row)).repartitionById(parts, F.col(at)).withColumn(rank, F.row_number().over(W.partitionBy(at).orderBy(digest, doc, row)))
     before = [0, *(n for _, n, _ in found)]
     places = spark.createDataFrame([(k, k // ranges, n - before[k // ranges * ranges]) for k, n in enumerate(before)], f"`{place}` int, `{number}` int, `{first}` long")
     placed = placed.join(F.broadcast(places), F.col(at) == F.col(place))  # a row for each range, whose number is a parameter

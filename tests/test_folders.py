@@ -13,6 +13,7 @@ from twinsift.operators.refine import confirm_duplicates, unreadable
 from twinsift.plans import cli, disposal, matches, report
 from twinsift.schema import FILES
 from twinsift.sources.flatdir import scan_folders
+from twinsift.sources.lines import read_lines
 from twinsift.sources.index import read_index, read_parquet_index, write_index, write_parquet_index
 
 
@@ -94,7 +95,8 @@ def test_files_that_go_missing(spark, tmp_path):
             (tmp_path / name).unlink()
 
     assert found(spark, tmp_path, before=gone) == [["c", "d"], ["f", "g"]]  # empty files are never read
-    assert [r[0] for r in unreadable(spark.createDataFrame([(3, "/no/such/file"), (0, "/none")], "size long, path string")).collect()] == ["/no/such/file"]
+    (lost,) = unreadable(spark.createDataFrame([(3, "/no/such/file"), (0, "/none")], "size long, path string")).collect()
+    assert lost["path"] == "/no/such/file" and "No such file" in lost["error"]
 
 
 def test_unlisted_folder_and_skipped_paths(spark, tmp_path):
@@ -126,7 +128,7 @@ def test_report(spark, tmp_path, capsys):
     write(tmp_path / "in", {"a.txt": "same", "b.txt": "same", "c.txt": "other"})
     summary = cli.folder_report(spark, str(tmp_path / "in"), str(tmp_path / "out"), index=str(tmp_path / "index")).first()
     assert tuple(summary) == (3, 0, 1, 1, 4)
-    lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).splitlines()
+    lines = list(read_lines(tmp_path / "out"))
     a, b = (str((tmp_path / "in" / n).resolve()) for n in ("a.txt", "b.txt"))
     assert lines == ["## group 1  size=4  copies=2  wasted=4", a, b, "", "# scanned=3 errors=0 groups=1 extra_copies=1 wasted=4"]
     assert sorted(os.path.basename(r["path"]) for r in read_index(spark, str(tmp_path / "index")).collect()) == ["a.txt", "b.txt", "c.txt"]

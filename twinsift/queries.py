@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.functions.content import content_digest, file_digest
 from twinsift.functions.text import base_name, format_bytes, parsed_extension, suffix, windows_path
 from twinsift.operators import filters, groups
+from twinsift.operators.refine import compare_files, compare_pairs_of_files
 from twinsift.plans import disposal, matches, report
 from twinsift.plans.numbering import number_rows
 from twinsift.schema import SMALL_BYTES
-from twinsift.sources.index import decode_row, encode_row
-from twinsift.sources.tables import documents_as_files
+from twinsift.scratch import new_folder, written
+from twinsift.sources.flatdir import listed, scan_folders
+from twinsift.sources.index import changes, decode_row, encode_row, read_index, read_kept, write_index, write_parquet_index
+from twinsift.sources.objects import equal_objects
+from twinsift.sources.tables import as_folder, documents_as_files, documents_as_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 _SHOWN = ("path", "size", "mtime", "dev", "ino")
@@ -27,24 +32,33 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_files(_table(spark, sf_dir, "documents"))
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_as_paths(_table(spark, sf_dir, "documents"))
+
+
 def collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.collapse_links(files(spark, sf_dir))
 
 
+def collapsed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """collapsed() as a table, for queries that look at it more than once."""
+    return written(collapsed(spark, sf_dir), "collapsed")
+
+
 def scan_ext_filter(spark, sf_dir):
     return filters.with_extensions(files(spark, sf_dir), [".en", ".de"]).select(*_SHOWN)
 
 
 def size_sort_rank(spark, sf_dir):
-    return number_rows(files(spark, sf_dir).select("path", "size"), ["size", "path"], "place")
+    return number_rows(paths(spark, sf_dir).select("path", "size"), ["size", "path"], "place")
 
 
 def size_collisions(spark, sf_dir):
-    return groups.colliding(files(spark, sf_dir), ["size"])
+    return groups.colliding(paths(spark, sf_dir), ["size"])
 
 
 def size_semi(spark, sf_dir):
-    return groups.in_collisions(files(spark, sf_dir), ["size"]).select("path", "size")
+    return groups.in_collisions(paths(spark, sf_dir), ["size"]).select("path", "size")
 
 
 def collapse_hardlinks(spark, sf_dir):
@@ -56,11 +70,12 @@ def full_digest(spark, sf_dir):
 
 
 def sample_digest(spark, sf_dir):
-    return files(spark, sf_dir).select("path", "size", "sample")
+    return documents_as_files(_table(spark, sf_dir, "documents"), sample=True).select("path", "size", "sample")
 
 
 def sample_groups(spark, sf_dir):
-    return groups.colliding(collapsed(spark, sf_dir).filter(F.col("size") > SMALL_BYTES), ["size", "sample"])
+    docs = documents_as_files(_table(spark, sf_dir, "documents"), sample=True)
+    return groups.colliding(groups.collapse_links(docs).filter(F.col("size") > SMALL_BYTES), ["size", "sample"])
 
 
 def digest_groups(spark, sf_dir):
@@ -76,7 +91,7 @@ def pair_compare(spark, sf_dir):
 
 
 def dup_members(spark, sf_dir):
-    return groups.in_collisions(collapsed(spark, sf_dir), ["size", "digest"]).select("path", "size", "digest")
+    return groups.in_collisions(collapsed_once(spark, sf_dir), ["size", "digest"]).select("path", "size", "digest")
 
 
 def report_groups(spark, sf_dir):
@@ -84,11 +99,11 @@ def report_groups(spark, sf_dir):
 
 
 def report_members(spark, sf_dir):
-    return report.report_members(collapsed(spark, sf_dir))
+    return report.report_members(collapsed_once(spark, sf_dir))
 
 
 def report_lines(spark, sf_dir):
-    return report.report_lines(collapsed(spark, sf_dir), scanned=0).select("group_no", "part", "line")
+    return report.report_lines(collapsed_once(spark, sf_dir), scanned=0).select("group_no", "part", "line")
 
 
 def report_summary(spark, sf_dir):
@@ -97,9 +112,9 @@ def report_summary(spark, sf_dir):
 
 
 def group_members(spark, sf_dir):
-    """The paths of each group as one text: for display; the members as rows are report_members."""
-    members = groups.in_collisions(collapsed(spark, sf_dir), ["size", "digest"])
-    return members.groupBy("size", "digest").agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
+    """The first thousand paths of each group as one text, and how many more there are: for display; the members as rows are report_members."""
+    members = groups.in_collisions(collapsed_once(spark, sf_dir), ["size", "digest"])
+    return matches.first_paths(members, ["size", "digest"], 1000).select("size", "digest", F.array_join("paths", "|").alias("paths"), "more")
 
 
 def keep_newest(spark, sf_dir):
@@ -107,12 +122,12 @@ def keep_newest(spark, sf_dir):
 
 
 def extras(spark, sf_dir):
-    return matches.extras(collapsed(spark, sf_dir))
+    return matches.extras(collapsed_once(spark, sf_dir))
 
 
 def same_matches(spark, sf_dir):
     """The paths as one text: for display; the rows are extras."""
-    return matches.same_matches(collapsed(spark, sf_dir)).select("size", "keep", F.array_join("extras", "|").alias("extras"))
+    return matches.same_matches(collapsed_once(spark, sf_dir)).select("size", "keep", F.array_join("extras", "|").alias("extras"), "more")
 
 
 def pair_bytes(spark, sf_dir):
@@ -121,7 +136,7 @@ def pair_bytes(spark, sf_dir):
 
 
 def first_two(spark, sf_dir):
-    return groups.first_two(collapsed(spark, sf_dir), ["size", "digest"])
+    return groups.first_two(collapsed_once(spark, sf_dir), ["size", "digest"])
 
 
 def same_summary(spark, sf_dir):
@@ -137,16 +152,16 @@ def cross_summary(spark, sf_dir):
 
 
 def cross_matches(spark, sf_dir):
-    m = matches.cross_matches(collapsed(spark, sf_dir))
-    return m.select("size", F.array_join("a", "|").alias("a"), F.array_join("b", "|").alias("b"))
+    m = matches.cross_matches(collapsed_once(spark, sf_dir))
+    return m.select("size", F.array_join("a", "|").alias("a"), F.array_join("b", "|").alias("b"), "more")
 
 
 def side_lists(spark, sf_dir):
-    return matches.side_lists(collapsed(spark, sf_dir))
+    return matches.side_lists(collapsed_once(spark, sf_dir))
 
 
 def side_totals(spark, sf_dir):
-    return matches.side_totals(collapsed(spark, sf_dir))
+    return matches.side_totals(collapsed_once(spark, sf_dir))
 
 
 def preview_limit(spark, sf_dir):
@@ -154,7 +169,7 @@ def preview_limit(spark, sf_dir):
 
 
 def disposal_plan(spark, sf_dir):
-    return disposal.plan_extras(collapsed(spark, sf_dir))
+    return disposal.plan_extras(collapsed_once(spark, sf_dir))
 
 
 def concat_index(spark, sf_dir):
@@ -169,7 +184,7 @@ def index_roundtrip(spark, sf_dir):
 
 
 def format_sizes(spark, sf_dir):
-    return files(spark, sf_dir).select("path", format_bytes(F.col("size")).alias("shown"))
+    return paths(spark, sf_dir).select("path", format_bytes(F.col("size")).alias("shown"))
 
 
 def format_ties(spark, sf_dir):
@@ -192,11 +207,11 @@ def parse_extension(spark, sf_dir):
 
 
 def under_folder(spark, sf_dir):
-    return files(spark, sf_dir).filter(filters.is_under(F.col("path"), "src1")).select("path")
+    return paths(spark, sf_dir).filter(filters.is_under(F.col("path"), "src1")).select("path")
 
 
 def drive_paths(spark, sf_dir):
-    return files(spark, sf_dir).select("path", windows_path(F.concat(F.lit("/mnt/c/"), "path")).alias("drive_path"), windows_path(F.col("path")).alias("no_path"))
+    return paths(spark, sf_dir).select("path", windows_path(F.concat(F.lit("/mnt/c/"), "path")).alias("drive_path"), windows_path(F.col("path")).alias("no_path"))
 
 
 def no_dups_pages(spark, sf_dir):
@@ -204,6 +219,73 @@ def no_dups_pages(spark, sf_dir):
     return groups.colliding(rows, ["size", "digest"])
 
 
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as files of one folder."""
+    return as_folder(_table(spark, sf_dir, "documents"), F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("."), "lang"))
+
+
+def _named(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(base_name(F.col("path")).alias("name"), *columns)
+
+
+def file_scan(spark, sf_dir):
+    """A folder's files by listing it: names, sizes and suffixes."""
+    return _named(listed(spark, [_folder(spark, sf_dir)], entries=500).filter("error is null"), "size", "ext")
+
+
+def file_filter(spark, sf_dir):
+    """Suffix, size and path filters that the listing takes over."""
+    return _named(listed(spark, [_folder(spark, sf_dir)], [".en", ".de"], entries=500).filter("size > 2000"), "size")
+
+
+def file_groups(spark, sf_dir):
+    """The files that have a byte-identical companion: sizes, samples, pairs by bytes, ranges, digests."""
+    return _named(compare_files(scan_folders(spark, [_folder(spark, sf_dir)], entries=500)[0]).members, "size", "digest")
+
+
+def file_pairs(spark, sf_dir):
+    """The two files of each size that exactly two have, compared byte by byte up to the first difference."""
+    files = scan_folders(spark, [_folder(spark, sf_dir)], entries=500)[0]
+    pairs = files.groupBy("size").agg(F.count("*").alias("n"), F.min("path").alias("left"), F.max("path").alias("right")).filter("n = 2")
+    none = F.lit(None).cast("array<string>")
+    told = compare_pairs_of_files(pairs.select("left", "right", none.alias("left_ranges"), none.alias("right_ranges")))
+    return told.select(base_name(F.col("left")).alias("left_name"), base_name(F.col("right")).alias("right_name"), "equal")
+
+
+def file_index(spark, sf_dir):
+    """An index of a folder, written as JSON lines and read again."""
+    write_index(scan_folders(spark, [_folder(spark, sf_dir)], entries=500)[0], path := new_folder(spark, "index"))
+    return _named(read_index(spark, path), "size", "sample", "digest")
+
+
+def file_changes(spark, sf_dir):
+    """What became of a folder's files since an index that lacks each seventh was kept."""
+    files = scan_folders(spark, [_folder(spark, sf_dir)], entries=500)[0]
+    write_parquet_index(files.filter(F.substring(base_name(F.col("path")), 1, 9).cast("long") % 7 != 0), path := new_folder(spark, "kept"))
+    return _named(changes(files, read_kept(spark, path)), "state")
+
+
+def file_in_table(spark, sf_dir):
+    """The files of a folder whose content a table has: one digest for both. The table is the documents with even ids."""
+    files = scan_folders(spark, [_folder(spark, sf_dir)], entries=500)[0]
+    digests = written(files.withColumn("digest", file_digest()["digest"]), "digests")
+    rows = _table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(content_digest(F.col("text")).alias("digest")).distinct()
+    return _named(digests.join(rows, "digest", "left_semi"), "digest")
+
+
+def object_groups(spark, sf_dir):
+    """file_groups by the source for object stores, which has no empty files."""
+    return _named(equal_objects(spark, _folder(spark, sf_dir)), "size", "digest")
+
+
+def nested_folders(spark, sf_dir):
+    """The deepest of many folders, some inside others, that each path lies in."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    named = docs.select(F.col("source").alias("folder")).union(docs.filter("lang = 'en'").select(F.concat_ws("/", "source", "lang"))).distinct()
+    return filters.in_folders(files, named.withColumn("depth", F.size(F.split("folder", "/"))))
+
+
 _FILES = """files AS (
   SELECT doc_id, concat(source, '/', lpad(CAST(doc_id AS VARCHAR), 9, '0'), '.', lang) AS path, source AS folder, '.' || lang AS ext,
     CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(doc_id % 7 AS DOUBLE) AS mtime, CAST(0 AS BIGINT) AS dev, sha256(text) AS digest, hex(encode(text)) AS bytes,
@@ -236,6 +318,7 @@ def _suffix(name: str) -> str:
     return f"lower(regexp_extract({name}, '(?s)^.+([.][^.]+)$', 1))"
 
 
+_SQL_NAME, _SQL_SIZE = "(lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.' || lang)", "CAST(octet_length(encode(text)) AS BIGINT)"
 _TOKEN = "regexp_replace(regexp_replace(lower(trim(token)), '^[*][.]', '.'), '^[.]', '')"
 
 _SQL: dict[str, tuple[Query, str]] = {
@@ -275,10 +358,15 @@ _SQL: dict[str, tuple[Query, str]] = {
         """SELECT (SELECT CAST(count(*) AS BIGINT) FROM files) AS scanned, CAST(0 AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS groups,
         CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS extra_copies, CAST(coalesce(sum(wasted), 0) AS BIGINT) AS wasted FROM dups""",
     ),
-    "group_members": (group_members, "SELECT size, digest, string_agg(path, '|' ORDER BY path) AS paths FROM one JOIN dups USING (size, digest) GROUP BY size, digest"),
+    "group_members": (
+        group_members,
+        """SELECT size, digest, string_agg(path, '|' ORDER BY path) FILTER (k <= 1000) AS paths, CAST(greatest(count(*) - 1000, 0) AS BIGINT) AS more
+        FROM (SELECT *, row_number() OVER (PARTITION BY size, digest ORDER BY path) AS k FROM one JOIN dups USING (size, digest)) GROUP BY size, digest""",
+    ),
     "keep_newest": (keep_newest, "SELECT size, keep, copies FROM newest"),
     "extras": (extras, "SELECT keep, path, size FROM one JOIN newest USING (size, digest) WHERE path <> keep"),
-    "same_matches": (same_matches, "SELECT size, keep, string_agg(path, '|' ORDER BY path) AS extras FROM one JOIN newest USING (size, digest) WHERE path <> keep GROUP BY size, keep"),
+    "same_matches": (same_matches, """SELECT size, keep, string_agg(path, '|' ORDER BY path) FILTER (k <= 1000) AS extras, CAST(greatest(count(*) - 1000, 0) AS BIGINT) AS more
+        FROM (SELECT *, row_number() OVER (PARTITION BY size, keep ORDER BY path) AS k FROM one JOIN newest USING (size, digest) WHERE path <> keep) GROUP BY size, keep"""),
     "first_two": (
         first_two,
         """SELECT size, digest, min(path) FILTER (k = 1) AS "first", min(path) FILTER (k = 2) AS "second" FROM (SELECT *, row_number() OVER (PARTITION BY size, digest ORDER BY path) AS k FROM one)
@@ -299,8 +387,8 @@ _SQL: dict[str, tuple[Query, str]] = {
     "cross_summary": (cross_summary, "SELECT CAST(count(*) AS BIGINT) AS matches, CAST(coalesce(sum(size), 0) AS BIGINT) AS match_bytes FROM crossed"),
     "cross_matches": (
         cross_matches,
-        """SELECT size, string_agg(path, '|' ORDER BY path) FILTER (side = 'A') AS a, string_agg(path, '|' ORDER BY path) FILTER (side = 'B') AS b
-        FROM one JOIN crossed USING (size, digest) GROUP BY size, digest""",
+        """SELECT size, string_agg(path, '|' ORDER BY path) FILTER (side = 'A' AND k <= 1000) AS a, string_agg(path, '|' ORDER BY path) FILTER (side = 'B' AND k <= 1000) AS b,
+        CAST(count(*) FILTER (k > 1000) AS BIGINT) AS more FROM (SELECT *, row_number() OVER (PARTITION BY size, digest, side ORDER BY path) AS k FROM one JOIN crossed USING (size, digest)) GROUP BY size, digest""",
     ),
     "side_lists": (side_lists, "SELECT side, path, size FROM one JOIN crossed USING (size, digest)"),
     "side_totals": (side_totals, "SELECT side, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS nbytes FROM one JOIN crossed USING (size, digest) GROUP BY side"),
@@ -327,6 +415,21 @@ _SQL: dict[str, tuple[Query, str]] = {
     ),
     "under_folder": (under_folder, "SELECT path FROM files WHERE starts_with(path, 'src1/')"),
     "drive_paths": (drive_paths, r"SELECT path, 'C:\' || replace(path, '/', '\') AS drive_path, CAST(NULL AS VARCHAR) AS no_path FROM files"),
+    "file_scan": (file_scan, f"SELECT {_SQL_NAME} AS name, {_SQL_SIZE} AS size, '.' || lang AS ext FROM documents WHERE text IS NOT NULL"),
+    "file_filter": (file_filter, f"SELECT {_SQL_NAME} AS name, {_SQL_SIZE} AS size FROM documents WHERE lang IN ('en', 'de') AND {_SQL_SIZE} > 2000"),
+    "file_groups": (file_groups, f"SELECT {_SQL_NAME} AS name, {_SQL_SIZE} AS size, CASE WHEN text = '' THEN '' ELSE sha256(text) END AS digest FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) >= 2"),
+    "file_pairs": (
+        file_pairs,
+        f"""SELECT min({_SQL_NAME}) AS left_name, max({_SQL_NAME}) AS right_name, min(text) = max(text) AS "equal" FROM documents WHERE text IS NOT NULL GROUP BY {_SQL_SIZE} HAVING count(*) = 2""",
+    ),
+    "file_index": (file_index, f"SELECT {_SQL_NAME} AS name, {_SQL_SIZE} AS size, CAST(NULL AS VARCHAR) AS sample, CAST(NULL AS VARCHAR) AS digest FROM documents WHERE text IS NOT NULL"),
+    "file_changes": (file_changes, f"SELECT {_SQL_NAME} AS name, CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE 'same' END AS state FROM documents WHERE text IS NOT NULL"),
+    "file_in_table": (file_in_table, f"SELECT {_SQL_NAME} AS name, sha256(text) AS digest FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)"),
+    "object_groups": (object_groups, f"SELECT {_SQL_NAME} AS name, {_SQL_SIZE} AS size, sha256(text) AS digest FROM documents WHERE text <> '' QUALIFY count(*) OVER (PARTITION BY text) >= 2"),
+    "nested_folders": (
+        nested_folders,
+        """SELECT source || '/' || lang || '/' || doc_id AS path, source || CASE WHEN lang = 'en' THEN '/en' ELSE '' END AS folder, CAST(CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS INT) AS depth FROM documents""",
+    ),
     "no_dups_pages": (no_dups_pages, "SELECT CAST(octet_length(encode(html)) AS BIGINT) AS size, sha256(html) AS digest, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1, 2 HAVING count(*) >= 2"),
 }
 

@@ -18,3 +18,6 @@ FILES = T.StructType(
 SAMPLE_BYTES = 4096
 READ_BYTES = 1 << 20
 SMALL_BYTES = 3 * SAMPLE_BYTES
+
+#: Ends of the ranges that files which still collide are read by, before they are read whole.
+CUTS = (1 << 16, 1 << 20, 1 << 22, 1 << 24, 1 << 26)

@@ -24,11 +24,17 @@ def root(spark: SparkSession) -> str:
     return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="twinsift-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The place of a folder that nothing else has; sweep() takes it away."""
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.add(path)
+    return path
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """rows as a table of its own: worked out once, and safe from lost executors."""
-    path = f"{root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(rows.sparkSession, name)
     rows.write.parquet(path)
-    _left.add(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -12,6 +12,7 @@ from tests.llm.conftest import odd_rows, prose, rng, table
 
 from twinsift.llm import jaccard_join as J
 from twinsift.llm import queries
+from twinsift.llm._util import pieces_of
 from twinsift.llm.components import connected_components
 
 
@@ -158,3 +159,59 @@ def test_components(spark):
     out = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in out.collect()} == {1: 1, 3: 1, 5: 1, 9: 1, 7: 7, 8: 7, **{k: 20 for k in range(20, 26)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_different_near_copies(spark, monkeypatch):
+    """A group of near copies is compared with pivots: the rows that the products take grow with the group, not with its square."""
+    r, placed = rng(21), {}
+    base = prose(r, 60).split()
+    for n in (60, 240):
+        rows, taken = [], []
+        for k in range(n):
+            w = list(base)
+            w[r.randrange(len(w))] = f"edit{k}"
+            rows.append((k, " ".join(w)))
+        monkeypatch.setattr(J, "connected_components", lambda edges, taken=taken: (taken.append(edges.count()), connected_components(edges))[1])
+        assert {x[2] for x in run(spark, rows, 3, 80, tile_docs=16)} == {0}
+        placed[n] = sum(taken)
+    assert placed[240] < 6 * placed[60]
+
+
+def test_agreements_join_all_rows_of_a_signature(spark):
+    r = rng(22)
+    rows = [(k, 7) for k in range(500)] + [(r.randrange(300), r.randrange(-40, 40)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, signature long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = J.agreements(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for d, s in rows:
+        root[find(("s", s))] = find(("d", d))
+    want = {frozenset(d for d, _ in rows if find(("d", d)) == c) for c in {find(("d", d)) for d, _ in rows}}
+    root.clear()
+    for x in got.collect():
+        root[find(x["doc_id"])] = find(x["low"])
+    assert {frozenset(d for d, _ in rows if find(d) == c) for c in {find(d) for d, _ in rows}} == want
+    assert J.agreements(df.limit(0)).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = (prose(rng(2), 4000) + "\x0b\x0c " + "y" * 900).encode()
+    whole = J.shingle_set(text, 3)
+    monkeypatch.setattr(J, "pieces_of", lambda t, blank: pieces_of(t, blank, 333))
+    assert np.array_equal(J.shingle_set(text, 3), whole)
+
+
+def test_ten_megabytes(spark):
+    long = prose(rng(3), 500) + " "
+    rows = [(1, "".join(f"{k} {long}" for k in range(2200))), (2, "".join(f"{k} {long}" for k in range(2200)) + " end"), (3, "z" * 10_000_000), (4, "short text")]
+    assert len(rows[0][1]) > 9_000_000
+    assert [x[2] for x in sorted(run(spark, rows, 3, 90))] == [1, 1, 3, 4]

@@ -6,6 +6,7 @@ import numpy as np
 from tests.llm.conftest import odd_rows, prose, rng, table
 
 from twinsift.llm import quality as Q
+from twinsift.llm._util import pieces_of
 
 
 def corpus(seed=3, n=900):
@@ -78,3 +79,26 @@ def test_features_of_a_batch_are_those_of_each_text():
     texts = ["one two two two", "", "a !! b !!", "x"]
     assert np.allclose(m.features(texts), np.vstack([m.features([t]) for t in texts]), atol=1e-5)
     assert not m.features([""]).any()
+
+
+def test_long_texts_in_parts(monkeypatch):
+    """What a text gives doesn't depend on the parts that it is worked on in."""
+    r = rng(12)
+    texts = [prose(r, 3000), "", prose(r, 40), prose(r, 1000) + "!!" * 2000]
+    m = model()
+    m.vectors = np.random.default_rng(0).normal(size=(2048, 16)).astype(np.float32)
+    index = Q.index_vectors(2048, 16)
+    ids, lens = Q.bucket_ids(texts, 2048)
+    sums, rows = Q.context_sums(ids, lens, index), m.features(texts)
+    monkeypatch.setattr(Q, "_PART", 97)
+    monkeypatch.setattr(Q, "pieces_of", lambda t, blank: pieces_of(t, blank, 500))
+    again, counts = Q.bucket_ids(texts, 2048)
+    assert np.array_equal(ids, again) and np.array_equal(lens, counts)
+    assert np.array_equal(Q.context_sums(ids, lens, index), sums) and np.allclose(m.features(texts), rows, atol=1e-4)
+
+
+def test_ten_megabytes(spark):
+    rows, labels = corpus(n=120)
+    rows += [(5000, prose(rng(1), 200) * 8000), (5001, "x" * 10_000_000)]
+    got = {x["doc_id"]: x["score"] for x in Q.classify(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), model=model()).collect()}
+    assert len(got) == 122 and 0 <= got[5000] <= 1 and 0 <= got[5001] <= 1

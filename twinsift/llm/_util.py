@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -174,6 +175,15 @@ def in_slices(texts: pd.Series, rows: int = 500) -> Iterator[slice]:
     give_back()
 
 
+def pieces_of(text, blank: re.Pattern, size: int = 1 << 20) -> Iterator:
+    """A text, or bytes, in pieces of about `size`, cut where `blank` matches, so that words stay whole and a long text isn't all words at once."""
+    lo = 0
+    while len(text) - lo > size and (cut := blank.search(text, lo + size)):
+        yield text[lo : cut.start()]
+        lo = cut.start()
+    yield text[lo:] if lo else text
+
+
 def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
     """The texts of a batch; a null text is an empty one."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -14,6 +14,7 @@ forest of its links, not all pairs. Links are exact; only the 64-bit hashes stan
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import forget, materialise, release, sliced, small_batches, sole, unused
+from twinsift.llm._util import forget, materialise, pieces_of, release, sliced, small_batches, sole, unused
 from twinsift.llm.components import connected_components
 
 _U = np.uint64
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SPARE, _SHARE = 2, 0.08  # ranges beyond D + 1: so many, and this share of D besides
 _SLOTS = 1 << 20  # signatures that a task remembers
 
@@ -51,17 +53,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """The sorted distinct hashes of a text's n-word shingles, A-Z lower-cased; a shorter text is one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
     sole(_words)
-    if len(_words) > 200_000:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    parts = []
+    for piece in pieces_of(text or b"", _BLANK):
+        if len(_words) > 200_000:
+            _words.clear()
+        words = piece.lower().split()
+        parts.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+    h = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    if not len(h):
+        return h
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = out * _U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+        out *= _U(0x9E3779B97F4A7C15)
+        out += h[i : len(h) - k + 1 + i]
     return np.unique(_mix(out))
 
 

@@ -22,9 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm._util import PARTIAL, id_and_text, in_slices, partial_blocks, sliced, small_batches, sole, sum_blocks, summed_by_key, texts_of
+from twinsift.llm._util import PARTIAL, id_and_text, in_slices, partial_blocks, pieces_of, sliced, small_batches, sole, sum_blocks, summed_by_key, texts_of
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_BLANK = re.compile(r"\s")  # in no token
+_PART = 1 << 17  # tokens of a text that are worked on at once
 _BLOCK = 256
 
 
@@ -47,14 +49,26 @@ def bucket_ids(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' token buckets in a row, and the number of tokens of each text."""
     memo = _caches.setdefault(buckets, _Buckets(buckets))
     sole(memo)
-    if len(memo) > 400_000:
-        memo.clear()
     words: list[str] = []
-    ends = []
+    parts, lens = [], []
+
+    def settle():
+        if len(memo) > 400_000:
+            memo.clear()
+        parts.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
+        words.clear()
+
     for t in texts:
-        words += _TOKEN.findall(t)
-        ends.append(len(words))
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), np.diff(ends, prepend=0)
+        n = 0
+        for piece in pieces_of(t, _BLANK):
+            found = _TOKEN.findall(piece)
+            n += len(found)
+            words += found
+            if len(words) > 500_000:
+                settle()
+        lens.append(n)
+    settle()
+    return parts[0] if len(parts) == 1 else np.concatenate(parts), np.array(lens, np.int64)
 
 
 @lru_cache(2)
@@ -68,7 +82,21 @@ def index_vectors(buckets: int, dims: int, nonzero: int = 4, seed: int = 20) ->
 
 
 def context_sums(ids: np.ndarray, lens: np.ndarray, index: np.ndarray, reach: int = 2) -> np.ndarray:
-    """For each bucket, the sum of the index vectors within `reach` tokens, inside documents."""
+    """For each bucket, the sum of the index vectors within `reach` tokens, inside documents. A long document is summed part by part, each with `reach` tokens of its neighbours."""
+    out, ends = np.zeros((len(index) - 1, index.shape[1]), np.int64), np.cumsum(lens)
+    long = lens > _PART
+    if long.any():
+        for a, e in zip((ends - lens)[long].tolist(), ends[long].tolist(), strict=True):
+            for lo in range(a, e, _PART):
+                first, last = max(a, lo - reach), min(e, lo + _PART + reach)
+                _add_contexts(out, ids[first:last], np.array([last - first]), index, reach, (lo - first, last - min(e, lo + _PART)))
+        ids, lens = ids[np.repeat(~long, lens)], lens[~long]
+    _add_contexts(out, ids, lens, index, reach, (0, 0))
+    return out
+
+
+def _add_contexts(out: np.ndarray, ids: np.ndarray, lens: np.ndarray, index: np.ndarray, reach: int, margin: tuple[int, int]) -> None:
+    """Adds the context sums of tokens; the first and last ones that `margin` counts are neighbours only."""
     gap = len(index) - 1
     row = np.full(len(ids) + reach * (len(lens) + 1), gap, np.int64)
     row[np.arange(len(ids)) + reach * (1 + np.repeat(np.arange(len(lens)), lens))] = ids
@@ -77,11 +105,10 @@ def context_sums(ids: np.ndarray, lens: np.ndarray, index: np.ndarray, reach: in
     for k in range(1, reach + 1):
         near[k:-1] += v[:-k]
         near[: -k - 1] += v[k:]
+    row[: reach + margin[0]] = row[len(row) - reach - margin[1] :] = gap
     order = np.argsort(row.astype(np.uint16) if gap < 1 << 16 else row, kind="stable")
     keys, sums = summed_by_key(near, order, row[order])
-    out = np.zeros(index.shape, np.int64)
-    out[keys] = sums
-    return out[:-1]
+    out[keys[keys < gap]] += sums[keys < gap].astype(np.int64)
 
 
 @dataclass
@@ -108,10 +135,13 @@ class QualityModel:
         index = index_vectors(self.buckets, self.dims).astype(np.float32)
         mean, square, common = (np.empty((len(some), self.dims), np.float32) for _ in range(3))
         for k, (a, e) in enumerate(zip(starts.tolist(), (starts + lens[some]).tolist(), strict=True)):
-            v = self.vectors[ids[a:e]]
-            mean[k] = v.sum(0)
-            square[k] = np.einsum("ij,ij->j", v, v)
-            common[k] = index[ids[a:e]].sum(0)
+            mean[k] = square[k] = common[k] = 0
+            for lo in range(a, e, _PART):
+                part = ids[lo : min(e, lo + _PART)]
+                v = self.vectors[part]
+                mean[k] += v.sum(0)
+                square[k] += np.einsum("ij,ij->j", v, v)
+                common[k] += index[part].sum(0)
         mean, common = mean / n, common / n
         spread = np.sqrt(np.maximum(square / n - mean * mean, 0))
         again = np.append(ids[1:] == ids[:-1], False)

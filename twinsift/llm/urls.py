@@ -3,9 +3,12 @@
 Word counts come from the visible text of all pages; a page's own host doesn't count there, so that a joined name is no
 word because its pages say it, but a part that several hosts share (www, a registry) is one. A host's letter runs are cut
 into words by unigram Viterbi: the substrings of each distinct run are joined with the counts, so neither table is sent
-to every task, and a run is cut in one row. A multinomial naive Bayes model scores the words of the host and of the path.
-It is learned from the urls that the rules decide, but for a held-out quarter, and from a few example names; its counts
-are kept in hashed columns of a fixed number. Words it has not seen say nothing.
+to every task, and a run is cut in one row. A word that no text has costs more the longer it is, and scraps of one or two
+letters cost as much as a word more, so an unknown name stays whole. A multinomial naive Bayes model scores the words of
+the host and of the path, but for the parts that the rules themselves look at (the labels they name, and the leading parts
+of a path): else it would say what the rules say. It is learned from example names and, with less weight, from the hosts
+that rules decide, each once for a verdict, held-out rows aside. Its counts are kept in hashed columns of a fixed number.
+Words it has not seen say nothing, and it blocks where blocking is four times as likely as allowing.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from twinsift.llm._util import forget, materialise
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST = 63  # letters of a host label, and so of a word in it
 SHARED = 3  # hosts that have a part which then is a word
+SCRAP = 3  # letters of the shortest word that is no scrap
 BUCKETS = 1 << 18  # hashed columns of the model
+TOLD = 20  # hosts that an example name counts as
+SURE = math.log(4)  # log odds from which the method blocks
 
 #: The rules of the registered query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -82,11 +88,19 @@ def word_counts(pages: DataFrame, html_col: str = "html", own: Column | None = N
     return pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def viterbi(run: str, costs: dict[str, float], letter: float) -> list[str]:
-    """The cheapest cut of a run into known words and single letters; of equals, the one with the longest last word."""
+def viterbi(run: str, costs: dict[str, float], total: float) -> list[str]:
+    """The cheapest cut of a run into words; of equals, the one with the longest last word.
+
+    A known word costs what `costs` has, an unknown one what `unknown_cost` gives, and a scrap that isn't the whole run
+    log(total) more, where `total` is the number of words that were counted.
+    """
     best, cut = [0.0], [0]
     for j in range(1, len(run) + 1):
-        options = [(best[i] + (costs[run[i:j]] if run[i:j] in costs else letter * (j - i) if j - i == 1 else math.inf), i) for i in range(max(0, j - LONGEST), j)]
+        options = []
+        for i in range(max(0, j - LONGEST), j):
+            w = run[i:j]
+            scrap = math.log(total) if len(w) < SCRAP and len(w) < len(run) else 0.0
+            options.append((best[i] + (costs[w] if w in costs else unknown_cost(len(w), total)) + scrap, i))
         cost, i = min(options)
         best.append(cost)
         cut.append(i)
@@ -97,28 +111,34 @@ def viterbi(run: str, costs: dict[str, float], letter: float) -> list[str]:
     return out[::-1]
 
 
+def unknown_cost(letters: int, total: float) -> float:
+    """What a word that was not counted costs: as one of a tenth of a count, and ten times less likely with each letter."""
+    return math.log(10 * total) + (letters - 1) * math.log(10)
+
+
 def bucket_of(word: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
 class NaiveBayes:
-    """Multinomial over hashed words, with add-one smoothing; a score is the log odds of block."""
+    """Multinomial over hashed words, with add-one smoothing; a score is the log odds of block. An example counts as `told` hosts."""
 
-    def __init__(self, examples: list[tuple[str, str]] = (), buckets: int = BUCKETS):
+    def __init__(self, examples: list[tuple[str, str]] = (), buckets: int = BUCKETS, told: int = 1):
         self.buckets = buckets
         self.counts = np.zeros((2, buckets), np.int64)  # block, allow
         self.names = np.zeros(2, np.int64)
         for text, verdict in examples:
             words = re.findall("[a-z]+", text.lower())
             at = [xxhash.xxh64_intdigest(w.encode(), 42) % buckets for w in words]  # buckets is a power of two: as bucket_of()
-            np.add.at(self.counts[int(verdict == "allow")], at, 1)
-            self.names[int(verdict == "allow")] += 1
+            np.add.at(self.counts[int(verdict == "allow")], at, told)
+            self.names[int(verdict == "allow")] += told
         self.settle()
 
     def learn(self, rows: DataFrame) -> None:
-        """Adds the counts of rows(verdict, buckets array<int>): sums of a fixed number of columns."""
-        names = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
-        table = rows.select("verdict", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("block", "allow")]).toArrow()
+        """Adds the words of rows(verdict, host, buckets array<int>), each once for a host and verdict: sums of a fixed number of columns."""
+        names = {r["verdict"]: r["n"] for r in rows.select("verdict", "host").distinct().groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+        once = rows.select("verdict", "host", F.explode("buckets").alias("bucket")).distinct()
+        table = once.groupBy("bucket").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("block", "allow")]).toArrow()
         for k, v in enumerate(("block", "allow")):
             self.counts[k, table["bucket"].to_numpy()] += table[v].to_numpy()
             self.names[k] += names.get(v, 0)
@@ -155,7 +175,7 @@ def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            out = [viterbi(r, {k["word"]: math.log(total / k["n"]) for k in known or ()}, math.log(total) + 3) for r, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            out = [viterbi(r, {k["word"]: math.log(total / k["n"]) for k in known or ()}, total) for r, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
 
     return runs.filter("run <> ''").join(known, "run", "left").select("run", "known").mapInArrow(cut, "run string, words array<string>")
@@ -165,12 +185,18 @@ def is_held_out(id_col: str = "page_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def subject_words(path: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The words of a path but for its leading parts, as many as the longest rule's path has."""
+    deep = max((len([x for x in p.split("/") if x]) for _, p, _ in rules), default=0)
+    return words_of(F.array_join(F.slice(F.split(path, "/"), deep + 2, 1 << 20), "/")) if deep else words_of(path)
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, examples: list[tuple[str, str]] = EXAMPLES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, words (of the host), score, method and held_out for every row.
 
-    The longest rule that fits decides; where none fits, the method's verdict stands: a positive score blocks. The model
-    learns the verdicts of rows that a rule decides and that are not held out (crc32 of the id as text, modulo 4, is 2),
-    so held-out rows with a rule tell how good the method is. A null url or one without :// has an empty host and path
+    The longest rule that fits decides; where none fits, the method's verdict stands: a score above log 4 blocks. `method`
+    is its verdict for every row, so it can be seen what it makes of urls that a rule decides. It learns from the hosts
+    of rows that a rule decides and that are not held out (crc32 of the id as text, modulo 4, is 2). A null url or one without :// has an empty host and path
     and no words. Repeated rows are judged each, a null id stays null and is not held out, an empty table gives no rows,
     other columns are not read.
     """
@@ -187,14 +213,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, exa
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("held_out", is_held_out())
-    words = words.withColumn("host_buckets", F.transform("words", lambda w: bucket_of(w)))
+    named = sorted({x for h, _, _ in rules for x in re.findall("[a-z]+", h.lower())})  # labels that rules name say what rules say
+    words = words.withColumn("host_buckets", F.transform(F.filter("words", lambda w: ~w.isin(*named)) if named else F.col("words"), lambda w: bucket_of(w)))
     none = F.array().cast("array<int>")
-    rows = rows.join(words, "host", "left").withColumn("buckets", F.concat(F.coalesce("host_buckets", none), F.transform(words_of(F.col("path")), lambda w: bucket_of(w))))
+    rows = rows.join(words, "host", "left").withColumn("buckets", F.concat(F.coalesce("host_buckets", none), F.transform(subject_words(F.col("path"), rules), lambda w: bucket_of(w))))
     rows = materialise(rows.drop("host_buckets"), "urls")
     forget(counts)
 
-    model = NaiveBayes(examples)
-    model.learn(rows.filter("ruled is not null and not held_out").select(F.col("ruled").alias("verdict"), "buckets"))
+    model = NaiveBayes(examples, told=TOLD)
+    model.learn(rows.filter("ruled is not null and not held_out").select(F.col("ruled").alias("verdict"), "host", "buckets"))
     model.counts = None  # the weights alone go to the tasks
     told = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -203,7 +230,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, exa
         return told.value.summed(b)
 
     scored = rows.withColumn("score", F.lit(model.prior) + score("buckets"))
-    scored = scored.withColumn("method", F.when(F.col("score") > 1e-9, "block").otherwise("allow"))
+    scored = scored.withColumn("method", F.when(F.col("score") > SURE, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", "method").alias("verdict"), F.coalesce("words", F.array().cast("array<string>")).alias("words"), "score", "method", "held_out")
 
 

@@ -13,7 +13,7 @@ from tests.llm.conftest import odd_rows, prose, rng, table
 from twinsift.llm import jaccard_join as J
 from twinsift.llm import queries
 from twinsift.llm._util import pieces_of
-from twinsift.llm.components import connected_components
+from twinsift.llm.components import connected_components, stars
 
 
 def brute(rows, n, percent):
@@ -215,3 +215,36 @@ def test_ten_megabytes(spark):
     rows = [(1, "".join(f"{k} {long}" for k in range(2200))), (2, "".join(f"{k} {long}" for k in range(2200)) + " end"), (3, "z" * 10_000_000), (4, "short text")]
     assert len(rows[0][1]) > 9_000_000
     assert [x[2] for x in sorted(run(spark, rows, 3, 90))] == [1, 1, 3, 4]
+
+
+def test_components_of_random_graphs(spark):
+    r = rng(40)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(500)] + [(1000 + k, 1001 + k) for k in range(700)] + [(None, 3)]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges[:-1]:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    linked = {x for a, b in edges[:-1] if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = connected_components(df).collect()
+    assert {x["node"]: x["component"] for x in got} == {x: find(x) for x in linked} and len(got) == len(linked)
+
+
+def test_stars():
+    r = rng(41)
+    for _ in range(200):
+        a, b = (np.array([r.randrange(-9, 9) for _ in range(r.randrange(20))] or [0], np.int64) for _ in range(2))
+        a, b = a[: min(len(a), len(b))], b[: min(len(a), len(b))]
+        low = {int(x): int(x) for x in (*a, *b)}
+        for _ in range(len(low)):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                low[x] = low[y] = min(low[x], low[y])
+        u, v = stars(a, b)
+        assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: y for x, y in low.items() if x != y}

@@ -394,7 +394,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     other = sizes.select(F.col("doc_id").alias("pivot"), F.col("n").alias("m"))
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     pivots = materialise(pivots.join(sizes, "doc_id").join(other, "pivot").filter(fits), "pivots")
-    room = pivots.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / tile_docs, F.sum("n") / tile_shingles)).alias("tiles"))
+    room = pivots.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / min(tile_docs, 128), F.sum("n") / tile_shingles)).alias("tiles"))
     dealt = materialise(pivots.join(materialise(room, "room"), "pivot").select(F.col("pivot").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("tiles")).alias("i"), "doc_id"), "dealt")
     to_place = dealt.select("block", "i", F.lit(-1).cast("long").alias("j"), F.col("i").alias("tile"), "doc_id")
     own_tile = dealt.select("block", "i").distinct().select("block", "i", F.lit(-1).cast("long").alias("j"), F.lit(-1).cast("long").alias("tile"), F.col("block").alias("doc_id"))

@@ -74,15 +74,15 @@ def test_screening_keeps_the_nearest(seed, large, segments):
     r = np.random.default_rng(seed)
     x = r.integers(-large, large, (40, 64), endpoint=True)
     c = np.vstack([x[:3], x[:1], r.integers(-large, large, (4, 64), endpoint=True)])
-    at, best, done = C.nearest(x, C.shortened(x, segments), c, segments)
+    at, best, done = C.nearest(x, *C.compressed(x, segments), c, segments)
     d = ((x[:, None].astype(object) - c[None].astype(object)) ** 2).sum(2)
     assert at.tolist() == [min(range(8), key=lambda k: (row[k], k)) for row in d] and best.tolist() == d.min(1).tolist() and done <= 320
 
 
 def test_screening_saves_distances():
     rows = np.array([[math.floor(1024 * x) for x in v] for _, v in vectors(3, 400)])
-    _, _, done = C.nearest(rows, C.shortened(rows, 8), rows[:8], 8)
-    assert done < 0.7 * 400 * 8
+    _, _, done = C.nearest(rows, *C.compressed(rows, 8), rows[:8], 8)
+    assert done < 0.3 * 400 * 8
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")

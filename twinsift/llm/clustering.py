@@ -1,11 +1,12 @@
 """Centroid clustering of integer vectors, with block-norm screening.
 
-A vector's components become whole numbers. Its 64 components are cut into segments; each segment is kept in short as
-its sum and the norm of what is left of it once its mean is taken away. By Cauchy-Schwarz, two segments of m components are
-at least (difference of sums)^2 / m + (difference of those norms)^2 apart, so the short forms of a vector and a
-centroid bound their distance from below. The centroid with the least bound gets its exact distance first; a centroid
-whose bound is above that can't be nearest, and only the others get exact distances, in whole numbers. Centroids and
-their sums have a size that parameters bound; each round adds up the sums of tasks.
+A vector's components become whole numbers. Each vector is also kept compressed, in a byte a component and a scale, with
+the norms of what the compression leaves out, segment by segment. The product of a vector and a centroid is that of the
+compressed vector and the centroid plus that of the rest, which by Cauchy-Schwarz is at most the sum over segments of the
+rest's norm times the centroid's; so compressed vectors bound every distance from below. The centroid with the least bound
+gets its exact distance first; a centroid whose bound is above that can't be nearest, and only the others get exact
+distances, in whole numbers. Centroids and their sums have a size that parameters bound; each round adds up the sums of
+tasks.
 """
 
 from __future__ import annotations
@@ -35,25 +36,26 @@ def is_kept(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & good, F.lit(False))
 
 
-def shortened(x: np.ndarray, segments: int) -> np.ndarray:
-    """Rows of whole numbers in short: each segment's sum over the root of its length, then its remaining norm."""
-    m = x.shape[1] // segments
-    parts = x.reshape(len(x), segments, m).astype(np.float64)
-    sums = parts.sum(2)
-    rest = np.sqrt(np.maximum((parts * parts).sum(2) - sums * sums / m, 0.0))
-    return np.hstack([sums / np.sqrt(m), rest])
+def _norms(x: np.ndarray, segments: int) -> np.ndarray:
+    parts = x.reshape(len(x), segments, -1)
+    return np.sqrt(np.einsum("ijk,ijk->ij", parts, parts))
 
 
-def nearest(x: np.ndarray, short: np.ndarray, centroids: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each vector's nearest centroid (ties: the smaller number), its squared distance, and how many exact distances were worked out."""
-    marks = shortened(centroids, segments)
-    least = np.empty((len(x), len(centroids)))
-    for k, mark in enumerate(marks):
-        d = short - mark
-        least[:, k] = np.einsum("ij,ij->i", d, d)
-    size = np.abs(short).max(initial=0.0) + np.abs(marks).max(initial=0.0)
-    # rounding: below 1e-9 of the bound itself and of the squares it is made of
-    least = least * (1 - 1e-9) - 1e-9 * size * size
+def compressed(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole numbers in a byte a component, and for each row its squared norm, its scale and the norms of the segments of what is left out."""
+    x = x.astype(np.float64)
+    scale = np.maximum(np.abs(x).max(1, initial=0.0) / 127, 1e-9)
+    q = np.rint(x / scale[:, None]).astype(np.int8)
+    return q, np.hstack([np.einsum("ij,ij->i", x, x)[:, None], scale[:, None], _norms(x - q * scale[:, None], segments)])
+
+
+def nearest(x: np.ndarray, q: np.ndarray, marks: np.ndarray, centroids: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each vector's nearest centroid (ties: the smaller number), its squared distance, and how many exact distances were worked out; q and marks are what compressed() gives."""
+    c = centroids.astype(np.float64)
+    squares = np.einsum("ij,ij->i", c, c)
+    most = (q.astype(np.float64) @ c.T) * marks[:, 1:2] + marks[:, 2:] @ _norms(c, segments).T  # of the products
+    least = marks[:, :1] + squares - 2 * most
+    least -= 1e-9 * (marks[:, :1] + squares + 1)  # more than rounding can do
 
     def exact(rows, k):
         d = x[rows] - centroids[k]
@@ -73,10 +75,14 @@ def nearest(x: np.ndarray, short: np.ndarray, centroids: np.ndarray, segments: i
     return at, best, done
 
 
-def _batches(batches: Iterator[pa.RecordBatch], dims: int, segments: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+_SHORT = "vec_id long, x binary, q binary, marks binary"
+
+
+def _batches(batches: Iterator[pa.RecordBatch], dims: int, segments: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     for b in batches:
         if b.num_rows:
-            yield b.column(0), np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8").reshape(-1, dims), np.frombuffer(b"".join(b.column(2).to_pylist()), "<f8").reshape(-1, 2 * segments)
+            raw = [np.frombuffer(b"".join(b.column(k).to_pylist()), t).reshape(b.num_rows, -1) for k, t in ((1, "<i8"), (2, "i1"), (3, "<f8"))]
+            yield b.column(0), *raw
 
 
 def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, segments: int = 8, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -96,9 +102,9 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, se
     def shorten(batches):
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in shortened(x, segments)], pa.binary())], names=["vec_id", "x", "short"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (x, *compressed(x, segments)))], names=["vec_id", "x", "q", "marks"])
 
-    table = materialise(kept.mapInArrow(shorten, "vec_id long, x binary, short binary"), "vectors")
+    table = materialise(kept.mapInArrow(shorten, _SHORT), "vectors")
     named = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     start = table.select("x", named.alias("h")).orderBy("h", "x").limit(k).collect()
     centroids = np.array([np.frombuffer(r["x"], "<i8") for r in start], np.int64).reshape(-1, dims)
@@ -110,8 +116,8 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, se
 
         def sums(batches, told=told):
             total = np.zeros((len(told.value), dims + 1), np.int64)
-            for _, x, short in _batches(batches, dims, segments):
-                at = nearest(x, short, told.value, segments)[0]
+            for _, x, *short in _batches(batches, dims, segments):
+                at = nearest(x, *short, told.value, segments)[0]
                 for c in np.unique(at):
                     total[c, :dims] += x[at == c].sum(0)
                     total[c, dims] += np.count_nonzero(at == c)
@@ -127,8 +133,8 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, se
     told = spark.sparkContext.broadcast(centroids)
 
     def assign(batches):
-        for ids, x, short in _batches(batches, dims, segments):
-            at, distance, _ = nearest(x, short, told.value, segments)
+        for ids, x, *short in _batches(batches, dims, segments):
+            at, distance, _ = nearest(x, *short, told.value, segments)
             yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), pa.array(distance, pa.int64())], names=["vec_id", "cluster", "distance"])
 
     placed = materialise(table.mapInArrow(assign, "vec_id long, cluster int, distance long"), "clusters")

@@ -80,3 +80,19 @@ def test_sql(spark):
     got = queries.op10_fingerprints(spark, DATA)
     want = con.sql(P.oracle())
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_containment_of_very_unequal_texts(spark):
+    """The estimate against the share of five-word shingles itself, over 80 pairs of a text and one ten to forty times as long."""
+    r, rows, want = rng(50), [], {}
+    for k in range(80):
+        short = prose(r, 400).split()
+        part = short[: r.randrange(0, 401)]
+        at, long = r.randrange(4000), prose(r, r.randrange(4000, 16_000)).split()
+        long[at:at] = part
+        sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(len(t) - 4)} for t in (short, long)]
+        want[k] = len(sets[0] & sets[1]) / len(sets[0])
+        rows.append((k, " ".join(short), " ".join(long)))
+    df = spark.createDataFrame(rows, "k long, a string, b string").select("k", P.containment(P.sketch(F.col("a")), P.sketch(F.col("b"))).alias("c"))
+    off = [x["c"] - want[x["k"]] for x in df.collect()]
+    assert abs(sum(off)) / len(off) < 0.02 and sum(map(abs, off)) / len(off) < 0.05 and max(map(abs, off)) < 0.25

@@ -310,6 +310,8 @@ def _links(percent: int):
                     out += close()
                     key, x, y = (block, i, j), ([], []), ([], [])
                 side = x if tile == i else y
+                if side[0] and side[0][-1] == doc and len(side[1][-1]) * 8 == len(raw) and side[1][-1].tobytes() == raw:
+                    continue  # a repeated row
                 side[0].append(doc)
                 side[1].append(np.frombuffer(raw, np.uint64))
             if len(out) > 10_000:
@@ -378,16 +380,30 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     members = firsts.join(blocks, F.col("rep") == F.col("node")).select(F.col("rep").alias("doc_id"), F.col("component").alias("block")).distinct().join(sizes, "doc_id")
 
     def sets(batches):
-        for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "hashes"])
+        doc = text = None
+        made, told = b"", set()
+        for b in sliced(batches, 5):
+            keep, hashes = [], []
+            for k, (*place, d, t) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if d != doc:
+                    told.clear()
+                if d != doc or t != text:
+                    made = shingle_set(t, n).tobytes()
+                doc, text, key = d, t, (*place, xxhash.xxh3_128_digest(made))
+                if key not in told:  # repeated rows of an id count once
+                    told.add(key)
+                    keep.append(k)
+                    hashes.append(made)
+            yield pa.RecordBatch.from_arrays([*b.select(["block", "i", "j", "tile", "doc_id"]).take(pa.array(keep, pa.int64())).columns, pa.array(hashes, pa.binary())], names=["block", "i", "j", "tile", "doc_id", "hashes"])
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def products(placed: DataFrame) -> DataFrame:
         """The links of placed(block, i, j, tile, doc_id): of each block's tiles i and j."""
-        incidence = base.join(placed.select("doc_id").distinct(), "doc_id").mapInArrow(sets, "doc_id long, hashes binary").distinct()
-        work = placed.join(incidence, "doc_id").select("block", "i", "j", "tile", "doc_id", "hashes")
-        return work.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile").mapInArrow(_links(percent), "a long, b long")
+        # texts go to their places by one shuffle, at every size alike, and hashes leave for their tiles by another
+        work = placed.join(base.hint("merge"), "doc_id").select("block", "i", "j", "tile", "doc_id", "text")
+        work = work.mapInArrow(sets, "block long, i long, j long, tile long, doc_id long, hashes binary")
+        return work.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile", "doc_id").mapInArrow(_links(percent), "a long, b long")
 
     # each row with its pivot; a pivot's rows are dealt into tiles by a hash, as many as they fill
     pivots = agreed.filter("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("p")).select("doc_id", (-F.col("p.low")).alias("pivot"))

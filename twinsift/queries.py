@@ -112,9 +112,9 @@ def report_summary(spark, sf_dir):
 
 
 def group_members(spark, sf_dir):
-    """The first thousand paths of each group as one text, and how many more there are: for display; the members as rows are report_members."""
+    """All paths of each group as one text: for display; the members as rows are report_members."""
     members = groups.in_collisions(collapsed_once(spark, sf_dir), ["size", "digest"])
-    return matches.first_paths(members, ["size", "digest"], 1000).select("size", "digest", F.array_join("paths", "|").alias("paths"), "more")
+    return members.groupBy("size", "digest").agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
 
 
 def keep_newest(spark, sf_dir):
@@ -358,11 +358,7 @@ _SQL: dict[str, tuple[Query, str]] = {
         """SELECT (SELECT CAST(count(*) AS BIGINT) FROM files) AS scanned, CAST(0 AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS groups,
         CAST(coalesce(sum(copies - 1), 0) AS BIGINT) AS extra_copies, CAST(coalesce(sum(wasted), 0) AS BIGINT) AS wasted FROM dups""",
     ),
-    "group_members": (
-        group_members,
-        """SELECT size, digest, string_agg(path, '|' ORDER BY path) FILTER (k <= 1000) AS paths, CAST(greatest(count(*) - 1000, 0) AS BIGINT) AS more
-        FROM (SELECT *, row_number() OVER (PARTITION BY size, digest ORDER BY path) AS k FROM one JOIN dups USING (size, digest)) GROUP BY size, digest""",
-    ),
+    "group_members": (group_members, "SELECT size, digest, string_agg(path, '|' ORDER BY path) AS paths FROM one JOIN dups USING (size, digest) GROUP BY size, digest"),
     "keep_newest": (keep_newest, "SELECT size, keep, copies FROM newest"),
     "extras": (extras, "SELECT keep, path, size FROM one JOIN newest USING (size, digest) WHERE path <> keep"),
     "same_matches": (same_matches, """SELECT size, keep, string_agg(path, '|' ORDER BY path) FILTER (k <= 1000) AS extras, CAST(greatest(count(*) - 1000, 0) AS BIGINT) AS more

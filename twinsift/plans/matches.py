@@ -69,9 +69,9 @@ def extras(files: DataFrame) -> DataFrame:
     return files.join(kept(files), ["size", "digest"]).filter("path <> keep").select("keep", "path", "size")
 
 
-def same_matches(files: DataFrame, most: int = 1000) -> DataFrame:
-    """size, keep, extras (sorted paths, `most` of them) and more (paths left out) of every group, for display; the rows are extras()."""
-    return first_paths(extras(files), ["size", "keep"], most).select("size", "keep", F.col("paths").alias("extras"), "more")
+def same_matches(files: DataFrame) -> DataFrame:
+    """size, keep and extras (sorted paths) of every group, for display and export; the lists are as long as the groups, and extras() has the rows."""
+    return extras(files).groupBy("size", "keep").agg(F.array_sort(F.collect_list("path")).alias("extras"))
 
 
 def same_summary(files: DataFrame) -> DataFrame:

@@ -126,8 +126,8 @@ def extras(spark, sf_dir):
 
 
 def same_matches(spark, sf_dir):
-    """The paths as one text: for display; the rows are extras."""
-    return matches.same_matches(collapsed_once(spark, sf_dir)).select("size", "keep", F.array_join("extras", "|").alias("extras"), "more")
+    """All paths as one text: for display; the rows are extras."""
+    return matches.same_matches(collapsed_once(spark, sf_dir)).select("size", "keep", F.array_join("extras", "|").alias("extras"))
 
 
 def pair_bytes(spark, sf_dir):
@@ -361,8 +361,7 @@ _SQL: dict[str, tuple[Query, str]] = {
     "group_members": (group_members, "SELECT size, digest, string_agg(path, '|' ORDER BY path) AS paths FROM one JOIN dups USING (size, digest) GROUP BY size, digest"),
     "keep_newest": (keep_newest, "SELECT size, keep, copies FROM newest"),
     "extras": (extras, "SELECT keep, path, size FROM one JOIN newest USING (size, digest) WHERE path <> keep"),
-    "same_matches": (same_matches, """SELECT size, keep, string_agg(path, '|' ORDER BY path) FILTER (k <= 1000) AS extras, CAST(greatest(count(*) - 1000, 0) AS BIGINT) AS more
-        FROM (SELECT *, row_number() OVER (PARTITION BY size, keep ORDER BY path) AS k FROM one JOIN newest USING (size, digest) WHERE path <> keep) GROUP BY size, keep"""),
+    "same_matches": (same_matches, "SELECT size, keep, string_agg(path, '|' ORDER BY path) AS extras FROM one JOIN newest USING (size, digest) WHERE path <> keep GROUP BY size, keep"),
     "first_two": (
         first_two,
         """SELECT size, digest, min(path) FILTER (k = 1) AS "first", min(path) FILTER (k = 2) AS "second" FROM (SELECT *, row_number() OVER (PARTITION BY size, digest ORDER BY path) AS k FROM one)

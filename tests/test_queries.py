@@ -44,7 +44,7 @@ def test_scans_read_what_they_need(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "CartesianProduct" not in plan
 
 
-@pytest.mark.parametrize("name", ["group_members", "same_matches"])
+@pytest.mark.parametrize("name", ["group_members", "same_matches", "cross_matches"])
 def test_lists_hold_every_path(spark, tmp_path, name):
     """A group of 2,700 copies: each list names all of them, as its SQL does without a bound."""
     spark.range(2700).selectExpr("id AS doc_id", "'same' AS text", "'en' AS lang", "concat('src', id % 20) AS source", "4 AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))

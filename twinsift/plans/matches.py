@@ -18,24 +18,11 @@ def cross_groups(files: DataFrame) -> DataFrame:
     return groups.filter("n_a > 0 and n_b > 0")
 
 
-def first_paths(files: DataFrame, keys: list[str], most: int, shares: int = 64) -> DataFrame:
-    """keys, paths (the `most` smallest of each group, sorted) and more (how many the group has besides).
-
-    Groups are cut into shares by a hash of the path, each share keeps its smallest, and what the shares kept is
-    gathered: so a list is bounded, and a group that a third of the files are in is no single task's.
-    """
-    share = F.pmod(F.xxhash64("path"), F.lit(shares)).alias("__share")
-    ranked = files.select(*keys, "path", share).withColumn("__k", F.row_number().over(W.partitionBy(*keys, "__share").orderBy("path"))).filter(F.col("__k") <= most)
-    lists = ranked.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("path")), 1, most).alias("paths"))  # shares * most paths at most
-    return lists.join(files.groupBy(*keys).agg(F.count("*").alias("__n")), keys).withColumn("more", F.greatest(F.col("__n") - most, F.lit(0).cast("long"))).drop("__n")
-
-
-def cross_matches(files: DataFrame, most: int = 1000) -> DataFrame:
-    """size, a and b (sorted paths, `most` of each side) and more (paths left out) of every match, for display; the rows are side_lists()."""
+def cross_matches(files: DataFrame) -> DataFrame:
+    """size, a and b (sorted paths) of every match, for display and export; the lists are as long as the groups, and side_lists() has the rows."""
     both = files.join(cross_groups(files).select("size", "digest"), ["size", "digest"], "left_semi")
-    lists = first_paths(both, ["size", "digest", "side"], most)
-    sides = [F.max(F.when(F.col("side") == s, F.col("paths"))).alias(s.lower()) for s in "AB"]
-    return lists.groupBy("size", "digest").agg(*sides, F.sum("more").alias("more")).select("size", "a", "b", "more")
+    paths = [F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("path")))).alias(s.lower()) for s in "AB"]
+    return both.groupBy("size", "digest").agg(*paths).select("size", "a", "b")
 
 
 def side_lists(files: DataFrame) -> DataFrame:

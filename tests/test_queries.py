@@ -46,8 +46,8 @@ def test_scans_read_what_they_need(spark):
 
 @pytest.mark.parametrize("name", ["group_members", "same_matches", "cross_matches"])
 def test_lists_hold_every_path(spark, tmp_path, name):
-    """A group of 2,700 copies: each list names all of them, as its SQL does without a bound."""
-    spark.range(2700).selectExpr("id AS doc_id", "'same' AS text", "'en' AS lang", "concat('src', id % 20) AS source", "4 AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    """A group of 14,000 copies: each list names all of them, as its SQL does without a bound."""
+    spark.range(14000).selectExpr("id AS doc_id", "'same' AS text", "'en' AS lang", "concat('src', id % 20) AS source", "4 AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.queries()[name](spark, str(tmp_path))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
@@ -56,6 +56,6 @@ def test_lists_hold_every_path(spark, tmp_path, name):
     columns = ", ".join(f'"{c}"' for c in got.columns)
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows) == sorted(want.project(columns).fetchall())
-    # links collapse: of 2,160 with an inode two are left, and the 540 without all count; one is kept by same_matches
+    # links collapse: of 11,200 with an inode two are left, and the 2,800 without all count; one is kept by same_matches
     named = sum(len(v.split("|")) for r in rows for k, v in zip(got.columns, r, strict=True) if k in ("paths", "extras", "a", "b"))
-    assert named == 542 - (name == "same_matches")
+    assert named == 2802 - (name == "same_matches")

@@ -248,3 +248,23 @@ def test_stars():
                 low[x] = low[y] = min(low[x], low[y])
         u, v = stars(a, b)
         assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: y for x, y in low.items() if x != y}
+
+
+def test_sets_are_shuffled_once_however_many_tiles(spark, monkeypatch):
+    """Rows of one block that are not linked: four times the rows make 16 times the pairs of tiles, but sets leave for their tiles once."""
+    kind, seen = type(spark.range(0)), []
+
+    def counted(self, *args, repartition=kind.repartition):
+        seen.extend([self.count()] if "hashes" in self.columns else [])
+        return repartition(self, *args)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    shuffled = []
+    for rows in (40, 160):
+        seen.clear()
+        half = [f"c{k}" for k in range(200)]
+        data = [(i, " ".join([*half, *(f"w{i}x{k}" for k in range(200))])) for i in range(rows)]
+        got = J.jaccard_components(table(spark, data), n=1, percent=60, tile_docs=8, tile_shingles=3200).collect()
+        assert {r["component_id"] for r in got} == set(range(rows)) and {r["n_shingles"] for r in got} == {400}
+        shuffled.append(sum(seen))
+    assert shuffled[0] >= 40 and shuffled[1] < 5 * shuffled[0]

@@ -7,7 +7,8 @@ D = (1 - s) / (1 + s) (a + b) n-grams; so of D + 1 + spare ranges of the hash sp
 signature, at least spare + 1 agree. Blocks are the components of agreeing signatures. Each row is first multiplied with
 one pivot, the row that it shares most signatures with; rows that this links, directly or by others, need no comparison
 with each other. What is left of a block is multiplied in tiles of rows, and tiles of one linked group are not multiplied
-with each other, so the work in a group of near copies grows with its size. Overlap counts add up over blocks of columns,
+with each other, so the work in a group of near copies grows with its size. A tile is a file that is written once, and
+tasks read the two tiles of each pair, so disk grows with the rows, however many pairs a block has. Overlap counts add up over blocks of columns,
 and pairs whose count can no longer reach their size-derived bound are discarded after each. A tile pair gives a spanning
 forest of its links, not all pairs. Links are exact; only the 64-bit hashes stand for the n-grams.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from twinsift.llm._util import forget, materialise, pieces_of, release, sliced, small_batches, sole, unused
+from twinsift.llm._util import drop_scratch, forget, get_file, materialise, pieces_of, put_file, release, scratch, sliced, small_batches, sole, unused
 from twinsift.llm.components import connected_components
 
 _U = np.uint64
@@ -324,6 +325,61 @@ def _links(percent: int):
     return run
 
 
+def _write_tiles(folder: str):
+    """For rows (tile, doc_id, hashes) sorted by tile: each tile as one file of its name, and its number as a row."""
+
+    def run(batches):
+        at, docs, sets = None, [], []
+
+        def close():
+            held = pa.record_batch([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
+            with pa.ipc.new_stream(out := pa.BufferOutputStream(), held.schema) as writer:
+                writer.write_batch(held)
+            put_file(folder, str(at), out.getvalue())
+
+        for b in batches:
+            done = []
+            for tile, doc, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tile != at:
+                    if docs:
+                        close()
+                        done.append(at)
+                    at, docs, sets = tile, [], []
+                if not (docs and docs[-1] == doc and sets[-1] == raw):  # else a repeated row
+                    docs.append(doc)
+                    sets.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["tile"])
+        if docs:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], names=["tile"])
+
+    return run
+
+
+def _tile_links(folder: str, percent: int):
+    """For rows (i, j), sorted: edges that join what is linked between the tiles i and j, or within i if they are one."""
+    bounds = Bounds(percent)
+
+    def tile(k: int) -> tuple[list[int], list[np.ndarray]]:
+        rows = pa.ipc.open_stream(get_file(f"{folder}/{k}")).read_all()
+        return rows["doc_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
+
+    def run(batches):
+        at, x = None, ([], [])
+        for b in batches:
+            for i, j in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if i != at:
+                    at, x = i, tile(i)
+                if i != j:
+                    y = tile(j)
+                    edges = list(forest(product_links(x[1], y[1], bounds), x[0], y[0]))
+                else:
+                    edges = list(forest(product_links(x[1], None, bounds), x[0], None)) if len(x[0]) > 1 else []
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 @small_batches
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", tile_docs: int = 1024, tile_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) for every row of docs.
@@ -398,12 +454,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def products(placed: DataFrame) -> DataFrame:
-        """The links of placed(block, i, j, tile, doc_id): of each block's tiles i and j."""
-        # texts go to their places by one shuffle, at every size alike, and hashes leave for their tiles by another
+    def hashed(placed: DataFrame) -> DataFrame:
+        """placed(block, i, j, tile, doc_id) with the sets; texts go to their places by one shuffle, at every size alike."""
         work = placed.join(base.hint("merge"), "doc_id").select("block", "i", "j", "tile", "doc_id", "text")
-        work = work.mapInArrow(sets, "block long, i long, j long, tile long, doc_id long, hashes binary")
-        return work.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile", "doc_id").mapInArrow(_links(percent), "a long, b long")
+        return work.mapInArrow(sets, "block long, i long, j long, tile long, doc_id long, hashes binary")
+
+    def products(placed: DataFrame) -> DataFrame:
+        """The links of placed(block, i, j, tile, doc_id): of each block's tiles i and j; hashes leave for their tiles by one shuffle more."""
+        return hashed(placed).repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "tile", "doc_id").mapInArrow(_links(percent), "a long, b long")
 
     # each row with its pivot; a pivot's rows are dealt into tiles by a hash, as many as they fill
     pivots = agreed.filter("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("p")).select("doc_id", (-F.col("p.low")).alias("pivot"))
@@ -415,7 +473,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     to_place = dealt.select("block", "i", F.lit(-1).cast("long").alias("j"), F.col("i").alias("tile"), "doc_id")
     own_tile = dealt.select("block", "i").distinct().select("block", "i", F.lit(-1).cast("long").alias("j"), F.lit(-1).cast("long").alias("tile"), F.col("block").alias("doc_id"))
     near = connected_components(products(to_place.unionByName(own_tile)))
-    forget(agreed), forget(pivots), forget(dealt)
+    forget(agreed), forget(pivots), forget(dealt), release(spark)
 
     # blocks that are not yet one group; a large group has tiles of its own
     members = materialise(members.join(near, F.col("doc_id") == F.col("node"), "left").select("doc_id", "block", "n", F.coalesce("component", "doc_id").alias("group")), "members")
@@ -442,11 +500,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     other = tiles.select("block", F.col("own").alias("own_j"), F.col("i").alias("j"), F.col("least").alias("least_j"), F.col("most").alias("most_j"))
     fits = (F.col("most") * 100 >= F.col("least_j") * percent) & (F.col("most_j") * 100 >= F.col("least") * percent)
     pairs = tiles.join(other, "block").filter("i <= j").filter(fits & ((F.col("own") != F.col("own_j")) | (F.col("own") == rest))).select("block", "i", "j")
-    numbered = tiled.join(tiles.select("block", "own", "tile", "i"), ["block", "own", "tile"]).select("block", F.col("i").alias("tile"), "doc_id")
-    placed = materialise(pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).join(numbered, ["block", "tile"]).select("block", "i", "j", "tile", "doc_id"), "placed")
-    forget(tiled), forget(tiles)
-    groups = connected_components(products(placed).unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    forget(placed), forget(near)
+    pairs = materialise(pairs.select("i", "j"), "pairs")
+    numbered = materialise(tiled.join(tiles.select("block", "own", "tile", "i"), ["block", "own", "tile"]).select("block", "i", F.lit(0).cast("long").alias("j"), F.col("i").alias("tile"), "doc_id"), "numbered")
+    forget(tiled), forget(tiles), release(spark)
+    folder = scratch(spark, "tile-files")
+    hashed(numbered).select("tile", "doc_id", "hashes").repartition(parts, "tile").sortWithinPartitions("tile", "doc_id").mapInArrow(_write_tiles(folder), "tile long").agg(F.count("*")).collect()
+    forget(numbered), release(spark)
+    links = pairs.repartitionByRange(parts, "i", "j").sortWithinPartitions("i", "j").mapInArrow(_tile_links(folder, percent), "a long, b long")
+    groups = connected_components(links.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    drop_scratch(spark, folder), forget(pairs), forget(near), release(spark)
 
     # one row for each set; written, so that Spark can split a set that a third of the documents have
     found = materialise(firsts.join(groups, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "groups")

@@ -127,3 +127,19 @@ def test_the_bound_is_exact(spark):
         assert len(raw[x["start"] : x["end"]].split()) == x["words"]
         got.append((x["doc_id"], len(raw[: x["start"]].split()), x["words"], x["first_doc_id"]))
     assert sorted(got) == plain_passages(dict(rows), 51)
+
+
+def test_windows_are_matched_in_shares(spark, monkeypatch):
+    """No share has most of the windows in the shuffle at once, and shares change no passage."""
+    from twinsift.llm import chunks
+
+    words = [" ".join(f"w{k}x{i}" for i in range(400)) for k in range(4)]
+    docs = spark.createDataFrame([(2 * k + c, w) for k, w in enumerate(words) for c in (0, 1)], "doc_id long, text string")
+    seen = []
+    whole = chunks._held_by_several
+    monkeypatch.setattr(chunks, "_held_by_several", lambda rows, *key: (seen.append(rows.count()) if "hash" in key else None, whole(rows, *key))[1])
+    want = sorted(tuple(r) for r in chunks.repeated_passages(docs, shares=1).collect())
+    assert len(want) == 8 and seen == [8 * 350]
+    seen.clear()
+    assert sorted(tuple(r) for r in chunks.repeated_passages(docs).collect()) == want
+    assert sum(seen) == 8 * 350 and max(seen) < 0.5 * sum(seen)

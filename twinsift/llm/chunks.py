@@ -9,6 +9,8 @@ of its words). So chunk digests of 64 bits that collide only add windows to look
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -194,7 +196,7 @@ def _held_by_several(table: DataFrame, *key: str) -> DataFrame:
 
 
 @small_batches
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, around: int = 15) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, around: int = 15, shares: int = 3) -> DataFrame:
     """doc_id, start, end (bytes of the UTF-8 text), words, first_doc_id and is_first for every repeated passage of over min_words.
 
     Occurrences in one document alone don't count. Every window of min_words + 1 words of a passage is held by several
@@ -231,6 +233,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table = materialise(base.mapInArrow(cut, "digest long, doc_id long, number int, reach int"), "chunks")
     chunks = table.filter("number >= 0")
     repeated = _held_by_several(chunks, "digest")
+    release(spark)
     hit = chunks.join(repeated, "digest").select("doc_id", "number", "reach").unionByName(table.filter("number < 0").select("doc_id", "number", "reach"))
     runs = hit.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.min(F.col("number") + F.col("reach")).alias("least")).filter("least <= last + 1")
@@ -239,14 +242,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     windows = materialise(with_text(runs).mapInArrow(look, "hash long, check long, doc_id long, number int"), "windows")
     forget(runs), release(spark)
-    held = _held_by_several(windows, "hash", "check")
-    release(spark)
-    hit = windows.join(held, ["hash", "check"]).select("doc_id", "number", "low")
+    # windows are matched a share of the hashes at a time, so that not all of them are in the shuffle at once
+    parts = []
+    for k in range(shares):
+        some = windows.filter(F.pmod("hash", F.lit(shares)) == k)
+        held = _held_by_several(some, "hash", "check")
+        release(spark)
+        parts.append(materialise(some.join(held, ["hash", "check"]).select("doc_id", "number", "low"), "hit"))
+        forget(held), release(spark)
+    forget(windows)
+    hit = reduce(DataFrame.unionByName, parts)
     new = apart | (F.col("low") != F.lag("low").over(by))
     same = hit.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     same = same.groupBy("doc_id", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.min("low").alias("low"))
     same = materialise(same.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "low")).alias("runs")), "same")
-    forget(windows), forget(held), release(spark)
+    for part in parts:
+        forget(part)
+    release(spark)
     found = with_text(same).mapInArrow(place, "doc_id long, start long, end long, words long, first_doc_id long").distinct()
     return found.withColumn("is_first", F.col("doc_id") == F.col("first_doc_id"))
 

@@ -277,3 +277,23 @@ def test_command_line_moves_and_keeps(spark, tmp_path, capfd):
         assert cli.main([a, "--report", str(tmp_path / "report"), "--kept", kept]) == 0
         assert list(lines.read_lines(tmp_path / "report")) == ["# scanned=2 errors=0 groups=0 extra_copies=0 wasted=0"] and read_kept(spark, kept).count() == 2
     shutil.rmtree(kept)
+
+
+def _tasks(spark, group):
+    """The most tasks of a stage of the job group."""
+    tracker = spark.sparkContext.statusTracker()
+    return max(tracker.getStageInfo(k).numTasks for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds)
+
+
+def test_objects_many_to_a_task(spark, tmp_path):
+    from twinsift.sources.objects import equal_objects
+
+    for k in range(400):
+        (tmp_path / f"f{k}").write_text(str(k % 300).zfill(4))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.sparkContext.setJobGroup("objects", "")
+    try:
+        found = equal_objects(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() == 200 and _tasks(spark, "objects") <= 8 and spark.conf.get("spark.sql.files.openCostInBytes") == before

@@ -285,6 +285,18 @@ def _tasks(spark, group):
     return max(tracker.getStageInfo(k).numTasks for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds)
 
 
+def test_folder_of_a_table_in_one_piece(spark):
+    from twinsift.sources.tables import as_folder
+
+    docs = spark.range(600).coalesce(1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    spark.sparkContext.setJobGroup("folder", "")
+    try:
+        folder = as_folder(docs, F.col("doc_id").cast("string"), entries=50)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(os.listdir(folder)) == sorted(map(str, range(600))) and _tasks(spark, "folder") == 12
+
+
 def test_objects_many_to_a_task(spark, tmp_path):
     from twinsift.sources.objects import equal_objects
 

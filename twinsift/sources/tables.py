@@ -42,8 +42,11 @@ def documents_as_files(documents: DataFrame, sample: bool = False) -> DataFrame:
     return joined.withColumn("ino", F.when(F.col("unknown"), F.lit(0)).otherwise(F.coalesce("first", "doc_id")).cast("long")).drop("parity", "unknown", "first")
 
 
-def as_folder(documents: DataFrame, name: Column) -> str:
-    """Writes each text as a file of the column `name` in one new flat folder of the shared place, by tasks, and returns the folder. A null text gives no file; names must differ."""
+def as_folder(documents: DataFrame, name: Column, entries: int = 5000) -> str:
+    """Writes each text as a file of the column `name` in one new flat folder of the shared place and returns the folder. A null text gives no file; names must differ.
+
+    Rows are dealt by name over a task for each `entries` of them, because a table may come in one piece.
+    """
     folder = new_folder(documents.sparkSession, "folder").removeprefix("file://")
 
     def write(batches):
@@ -58,5 +61,6 @@ def as_folder(documents: DataFrame, name: Column) -> str:
 
     os.makedirs(folder, exist_ok=True)
     rows = documents.select(name.alias("name"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // entries))
+    rows.repartition(parts, "name").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return folder

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from tests.llm.conftest import prose, rng, table
 
+from twinsift.llm import _util as U
 from twinsift.llm import decontaminate as D
 
 
@@ -133,3 +135,70 @@ def test_ten_megabytes(spark):
     long = prose(rng(9), 300)
     rows = [(1, f"{long} " * 2500 + item + f" {long}" * 2500), (2, "x" * 10_000_000), (3, "short")]
     assert [x["doc_id"] for x in D.find_contamination(table(spark, rows), items_table(spark, [(7, item)])).collect()] == [1]
+
+
+def test_subsequences_from_a_least_length_on():
+    r = rng(3)
+    for _ in range(300):
+        a, b = ([r.randrange(9) for _ in range(r.randrange(1, 30))] for _ in range(2))
+        least, n = r.choice([0, 0.6 * len(a), len(a)]), D.lcs(a, b)
+        assert D.lcs(a, b, least, D.places(a)) == (n if n >= least else 0)
+
+
+class Counted(np.ndarray):
+    """Counts the weights that are looked up."""
+
+    looked_up = 0
+
+    def take(self, indices, *args, **options):
+        Counted.looked_up += np.size(indices)
+        return super().take(indices, *args, **options)
+
+
+@pytest.mark.parametrize("coverage", [0.0, 0.1, 0.25, 0.6])
+def test_windows_that_cannot_cover_an_item_are_not_looked_up(coverage):
+    """All windows are near here, and all that cover an item are found; of the others few words are looked up."""
+    r, rank = rng(12), 8
+    items = [(j, prose(r, 10 + 4 * j)) for j in range(12)]
+    texts = [*(prose(r, r.randrange(1, 300)) for _ in range(60)), *(f"{prose(r, 40)} {t} {prose(r, 9)}" for _, t in items)]
+    ids, lens = D.word_ids(texts)
+    g = np.random.default_rng(5)
+    idf = g.uniform(0, 4, 1024).astype(np.float32)
+    idf[g.random(1024) < 0.2] = 0
+    project = np.vstack([g.normal(size=(1024, rank)), np.zeros((1, rank))]).astype(np.float32)
+    bench = D.Benchmark(items, project, idf, coverage=coverage)
+    bench.weights = bench.weights.view(Counted)
+    Counted.looked_up = 0
+    got = {x[:4] for x in D._near(ids, lens, project, bench, -1.0)}
+    want, words = set(), 0
+    starts, doc = (x.tolist() for x in D.cuts(lens, 8))
+    ends = np.cumsum(lens).tolist()
+    for j, w in enumerate(bench.words):
+        size, step = (16, 1) if len(w) <= 24 else (32, 2)
+        weights = idf[np.array(w) % 1024]
+        weight = dict(zip((x % 4096 for x in w), weights.tolist(), strict=True))
+        need = coverage * weights.sum() * min(1, 32 / len(w))
+        for lo, d in zip(starts[::step], doc[::step], strict=True):
+            hi = min(lo + size, ends[d])
+            words += size
+            if sum(weight.get(x % 4096, 0) for x in ids[lo:hi].tolist()) >= need - 1e-4:
+                want.add((d, j, lo, hi))
+    assert got <= want and len(want - got) <= 0.001 * len(want) and len(got) >= len(items)
+    assert coverage < 0.6 or Counted.looked_up * 20 <= words
+
+
+def test_keys_with_one_sum_are_done(monkeypatch):
+    """One frequent word makes its own sums long, not those of all the others."""
+    g = np.random.default_rng(2)
+    keys = np.sort(np.concatenate([np.zeros(20_000, np.int64), g.integers(1, 3000, 6000)]))
+    rows = g.integers(0, 500, len(keys))
+    table = np.vstack([g.integers(-9, 9, (500, 4)), np.zeros((1, 4))]).astype(np.float32)
+    read, plain = [], U.summed
+    monkeypatch.setattr(U, "summed", lambda t, r: (read.append(r.size), plain(t, r))[1])
+    got, sums = U.summed_by_key(table, rows, keys)
+    want = np.zeros((3000, 4))
+    np.add.at(want, keys, table[rows])
+    assert got.tolist() == sorted(set(keys.tolist())) and np.array_equal(sums, want[got])
+    assert sum(read) <= 2 * (len(keys) + 8 * len(got))
+    none = U.summed_by_key(table, rows[:0], keys[:0])
+    assert len(none[0]) == 0 and none[1].shape == (0, 4)

@@ -236,26 +236,30 @@ def summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     out = np.empty((len(rows), table.shape[1]), table.dtype)
     step = max(1, BLOCK // rows.shape[1])
     for lo in range(0, len(rows), step):
-        out[lo : lo + step] = table[rows[lo : lo + step]].sum(1)
+        out[lo : lo + step] = table.take(rows[lo : lo + step], axis=0, mode="clip").sum(1)
     return out
 
 
 def summed_by_key(table: np.ndarray, rows: np.ndarray, keys: np.ndarray, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, which ascend, and the sum of each key's rows of the table, whose last row is zero.
 
-    Rows are summed `width` at a time, then the sums likewise, until each key has one.
+    Rows are summed `width` at a time, then the sums likewise, until each key has one; a key that has one is done.
     """
-    while True:
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        count = np.diff(first, append=len(keys))
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    distinct, out = keys[first], np.empty((len(first), table.shape[1]), table.dtype)
+    left, count = np.arange(len(first)), np.diff(first, append=len(keys))
+    while len(left):
         parts = -(-count // width)
-        slot = np.arange(len(keys)) + np.repeat((np.cumsum(parts) - parts) * width - first, count)
+        slot = np.arange(len(rows)) + np.repeat((np.cumsum(parts) - parts) * width - (np.cumsum(count) - count), count)
         full = np.full(int(parts.sum()) * width, len(table) - 1, np.int64)
         full[slot] = rows
         sums = summed(table, full.reshape(-1, width))
-        if len(sums) == len(first):
-            return keys[first], sums
-        table, rows, keys = np.vstack([sums, np.zeros((1, sums.shape[1]), sums.dtype)]), np.arange(len(sums)), np.repeat(keys[first], parts)
+        done = parts == 1
+        out[left[done]] = sums[(np.cumsum(parts) - parts)[done]]
+        left, count = left[~done], parts[~done]
+        table = np.vstack([sums[np.repeat(~done, parts)], np.zeros((1, sums.shape[1]), sums.dtype)])
+        rows = np.arange(len(table) - 1)
+    return distinct, out
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,6 +24,7 @@ from twinsift.llm._util import BLOCK, PARTIAL, drop_scratch, forget, get_file, i
 _SCALE = 1 << 16
 _SEG, _SMALL, _LARGE = 8, 16, 32
 _TABLE = 4096
+_ENOUGH = 1000  # the cover that a window needs, in the whole numbers that bound it from above
 _STRIP = np.zeros(256, bool)
 _STRIP[list(b".,;:!?\"'()[]{}")] = True
 _BLANK = np.zeros(256, bool)
@@ -104,26 +105,42 @@ def gram_share(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
         z[keys] += sums
 
 
-def lcs(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    full = (1 << len(a)) - 1
+def places(a: list[int]) -> dict[int, int]:
+    """Where each word of a stands, as bits."""
     at: dict[int, int] = {}
     for i, t in enumerate(a):
         at[t] = at.get(t, 0) | 1 << i
-    s = full
+    return at
+
+
+def lcs(a: list[int], b: list[int], least: float = 0, at: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel; 0 if it is under `least`.
+
+    at: places(a), where many b are compared with one a. If fewer than `least` words of a are in b in any order, nothing
+    is worked out; words of b that a has not change nothing.
+    """
+    at = places(a) if at is None else at
+    if least > 0 and sum(at[t].bit_count() for t in at.keys() & b) < least:
+        return 0
+    s = full = (1 << len(a)) - 1
     for t in b:
-        u = s & at.get(t, 0)
-        s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
+        if t in at:
+            u = s & at[t]
+            s = (s + u | s - u) & full
+    n = len(a) - s.bit_count()
+    return n if n >= least else 0
 
 
 _held: dict = {}
 
 
 class Benchmark:
-    """The items as queries: their windows in latent space, their weighted words and their answers."""
+    """The items as queries: their windows in latent space, their weighted words and their answers.
 
-    def __init__(self, items: list[tuple[int, str]], project: np.ndarray, idf: np.ndarray, answers: dict | None = None):
+    A window covers an item if the weights of its words for the item come to `coverage` of the item's own, or as much of it as a window can hold.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], project: np.ndarray, idf: np.ndarray, answers: dict | None = None, coverage: float = 0.25):
         f = len(idf)
         self.ids, self.words, self.answers = [], [], []
         small, large = ([], []), ([], [])
@@ -151,43 +168,80 @@ class Benchmark:
             w = np.array(w, np.uint32)
             self.weights[j, w % _TABLE] = idf[w % f]
             self.full[j] = idf[w % f].sum()
-
-
-def _near(ids, lens, project, bench, cosine, coverage):
-    """(document, item, first word, last word, cosine) of the windows that are near an item and cover enough of it."""
+        self.places = [(places(w), places(a)) for w, a in zip(self.words, self.answers, strict=True)]
+        self.need = coverage * self.full * self.share
+        part = np.divide(self.weights, self.need[:, None], out=np.full_like(self.weights, 1), where=self.need[:, None] > 0)
+        bound = np.ceil(np.minimum(part * 1.001, 1) * _ENOUGH).astype(np.uint16)  # 32 words come to 32,000 at most; rounding of floats stays below the thousandth
+        bound[:, -1] = 0
+        self.small, self.large = ((v, j, np.flatnonzero(np.diff(j, prepend=-1)), np.ascontiguousarray(bound[np.unique(j)].T)) for v, j in (self.small, self.large))
+
+    def covered(self, words: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which of these pairs of a window's words and an item are covered."""
+        return self.weights.ravel().take(words + (items * (_TABLE + 1))[:, None]).sum(1) >= self.need[items]
+
+
+def cover_bounds(bound: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """An upper bound of what each segment's words cover of each item, in whole numbers of which _ENOUGH are needed."""
+    out = np.empty((len(segments), bound.shape[1]), np.uint16)
+    for lo in range(0, len(segments), 512):
+        part = segments[lo : lo + 512]
+        total = bound.take(part[:, 0], axis=0, mode="clip")
+        for k in range(1, part.shape[1]):
+            total += bound.take(part[:, k], axis=0, mode="clip")
+        out[lo : lo + 512] = total
+    return out
+
+
+def _joined(part: np.ndarray, d: np.ndarray, n: int, step: int) -> np.ndarray:
+    """The first n rows, each with the row that comes `step` later added to it if that is of the same document."""
+    out = part[:n].copy()
+    reach = max(0, min(n, len(part) - step))
+    out[:reach] += part[step : step + reach] * (d[step : step + reach] == d[:reach])[:, None]
+    return out
+
+
+def _near(ids, lens, project, bench, cosine):
+    """(document, item, first word, last word, cosine) of the windows that are near an item and cover enough of it.
+
+    The latent search looks at all windows and gives their cosines. Words are looked up only for windows near an item
+    whose cover is left open by a bound, which is summed by segment for all items at once.
+    """
     f = len(project) - 1
     rows, starts, doc = in_pieces((ids % f).astype(np.int32), lens, _SEG, f)
+    segments = in_pieces((ids % _TABLE).astype(np.int32), lens, _SEG, _TABLE)[0]
     s = summed(project, rows)
     ends = np.cumsum(lens)
     column = np.append((ids % _TABLE).astype(np.int16), np.full(_LARGE, _TABLE, np.int16))
     found = []
     for lo in range(0, len(s), 2048):
-        part, d = s[lo : lo + 2051], doc[lo : lo + 2051]
+        d = doc[lo : lo + 2051]
         n = min(2048, len(s) - lo)
-        pair = part.copy()
-        pair[:-1] += part[1:] * (d[1:] == d[:-1])[:, None]
-        four = pair[:n].copy()
-        reach = min(n, len(pair) - 2)
-        if reach > 0:
-            four[:reach] += pair[2 : 2 + reach] * (d[2 : 2 + reach] == d[:reach])[:, None]
-        for (vectors, item), window, at, size in ((bench.small, pair[:n], np.arange(lo, lo + n), _SMALL), (bench.large, four[::2], np.arange(lo, lo + n, 2), _LARGE)):
+        pair = _joined(s[lo : lo + 2051], d, len(d), 1)
+        four = _joined(pair, d, n, 2)[::2]
+        for (vectors, item, firsts, bound), window, at, size in ((bench.small, pair[:n], np.arange(lo, lo + n), _SMALL), (bench.large, four, np.arange(lo, lo + n, 2), _LARGE)):
             if not len(item):
                 continue
             c = (window / np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]) @ vectors.T
-            w, q = np.divmod(np.flatnonzero(c.ravel() >= cosine), len(item))
+            most = _joined(cover_bounds(bound, segments[lo : lo + 2051]), d, len(d), 1)
+            most = most[:n] if size == _SMALL else _joined(most, d, n, 2)[::2]
+            w, m = np.divmod(np.flatnonzero(most.ravel() >= _ENOUGH), len(firsts))
+            count = np.diff(firsts, append=len(item))[m]
+            q = np.arange(count.sum()) + np.repeat(firsts[m] - (np.cumsum(count) - count), count)
+            w = np.repeat(w, count)
+            near = np.flatnonzero(c[w, q] >= cosine)
+            w, q = w[near], q[near]
             j = item[q]
             new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (j[1:] != j[:-1])) if len(w) else [])
             best = np.maximum.reduceat(c[w, q], new) if len(new) else np.zeros(0)
             w, j = w[new], j[new].astype(np.int32)
-            first = starts[at]
-            last = np.minimum(first + size, ends[doc[at]])
-            words = column[first[:, None] + np.arange(size)]
-            words[np.arange(size) >= (last - first)[:, None]] = _TABLE
+            first = starts[at[w]]
+            last = np.minimum(first + size, ends[doc[at[w]]])
             for k in range(0, len(w), 1 << 13):
-                wk, jk = w[k : k + (1 << 13)], j[k : k + (1 << 13)]
-                got = bench.weights.ravel().take(words[wk] + (jk * (_TABLE + 1))[:, None]).sum(1)
-                ok = np.flatnonzero(got >= coverage * bench.full[jk] * bench.share[jk])
-                found += zip(doc[at[wk[ok]]].tolist(), jk[ok].tolist(), first[wk[ok]].tolist(), last[wk[ok]].tolist(), best[k + ok].tolist(), strict=True)
+                wk, jk, a, b = (x[k : k + (1 << 13)] for x in (at[w], j, first, last))
+                words = column[a[:, None] + np.arange(size)]
+                words[np.arange(size) >= (b - a)[:, None]] = _TABLE
+                ok = np.flatnonzero(bench.covered(words, jk))
+                found += zip(doc[wk[ok]].tolist(), jk[ok].tolist(), a[ok].tolist(), b[ok].tolist(), best[k + ok].tolist(), strict=True)
     return found
 
 
@@ -282,13 +336,14 @@ def find_contamination(
     def leaks(keys, ids, lens, bench, project) -> list[tuple]:
         first = np.cumsum(lens) - lens
         best: dict = {}
-        for d, j, lo, hi, c in _near(ids, lens, project, bench, cosine, coverage):
+        for d, j, lo, hi, c in _near(ids, lens, project, bench, cosine):
             item = bench.words[j]
             region = ids[max(lo - len(item), first[d]) : min(hi + len(item), first[d] + lens[d])].tolist()
-            n = lcs(item, region)
+            in_item, in_answer = bench.places[j]
+            n = lcs(item, region, share * len(item), in_item)
             if n < share * len(item):
                 continue
-            a = lcs(bench.answers[j], region) / len(bench.answers[j])
+            a = lcs(bench.answers[j], region, at=in_answer) / len(bench.answers[j])
             if a >= answer_share:
                 best[d, j] = max(best.get((d, j), (0, 0, 0.0)), (n, a, c))
         return [(keys[d], bench.ids[j], c, n, n / len(bench.words[j]), a) for (d, j), (n, a, c) in best.items()]
@@ -301,7 +356,7 @@ def find_contamination(
             for k in range(blocks):
                 if _held.get("uri") != (uri := f"{folder}/{k:08d}"):  # a worker keeps the last block, which is the only one of most benchmarks
                     rows = pickle.loads(get_file(uri))
-                    _held.update(uri=uri, bench=Benchmark([r[:2] for r in rows], project, idf, {r[0]: r[2] for r in rows} if answer_col else None))
+                    _held.update(uri=uri, bench=Benchmark([r[:2] for r in rows], project, idf, {r[0]: r[2] for r in rows} if answer_col else None, coverage))
                 for keys, ids, lens in parts:
                     if rows := leaks(keys, ids, lens, _held["bench"], project):
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "lcs_share", "answer_share"])

@@ -62,3 +62,32 @@ def test_added_tokens_have_their_own_ids(file):
     own, theirs = OWN[file]
     (end,) = theirs.encode("<|endoftext|>", add_special_tokens=False).ids
     assert own.encode(["a <|endoftext|> b"])[0].tolist().count(end) == 1 and own.encode([])[0].size == 0
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+def test_a_known_word_is_looked_up_whatever_punctuation_follows(file):
+    own = PieceEncoder(public_tokenizers.path(file), dict(FILES)[file])
+    words = "an overlandishly déjàvu wordishness".split()
+    own.encode(["x " + " ".join(words)])
+    given, learn = [], own.learn
+    own.learn = lambda new: given.extend(new) or learn(new)
+    texts = [f"x {w}{p} {w}{p}\n" for w in words for p in (",", ".", "...", "!)", '."', "'s")]
+    same_ids = [[*e.ids, END] for e in OWN[file][1].encode_batch(texts, add_special_tokens=False)]
+    ids, ends = own.encode(texts)
+    assert [ids[lo:hi].tolist() for lo, hi in zip(ends[:-1], ends[1:], strict=True)] == same_ids
+    assert not [k for k in given if any(w in str(k) for w in words)]
+
+
+ODD = st.sampled_from(list("aZéÉ×÷ßªJTc.,'-_1 \n\t\r\x0b\x0c\x1c\x1f\x7f\x85\xa0«»”…\u1680\u180e\u2003\u2028\u202f\u205f\u3000\u200b\ufeffあ가한😀") + [" ", "\n", "'s", "'Re", "\u0308", "\u030c", "\u0331", "\u0340", "\u0344", "\u0345", "\u0591", "\u0e33", "ǅ", "İ", "K"])
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+@settings(max_examples=1500, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.lists(ODD, max_size=14).map("".join), min_size=1, max_size=5))
+def test_cuts_beside_odd_blanks_letters_and_marks(file, texts):
+    same(file, texts)
+
+
+@pytest.mark.parametrize("file", [f for f, _ in FILES])
+def test_marks_that_are_taken_apart_before_they_compose(file):
+    same(file, [f"{c}{m}ack {c}{m}, É{m} {c}\u0591{m}." for c in "AJTHWY" for m in "\u0308\u030c\u0340\u0341\u0343\u0344\u0345"])

@@ -202,3 +202,40 @@ def test_keys_with_one_sum_are_done(monkeypatch):
     assert sum(read) <= 2 * (len(keys) + 8 * len(got))
     none = U.summed_by_key(table, rows[:0], keys[:0])
     assert len(none[0]) == 0 and none[1].shape == (0, 4)
+
+
+def test_items_of_one_text_are_compared_once(spark, monkeypatch):
+    """A benchmark whose rows come again under other ids costs what its texts cost, and every id gets its pairs."""
+    import pickle
+
+    r, blocks, put = rng(41), [], D.put_file
+    texts = [prose(r, 30) for _ in range(5)]
+    monkeypatch.setattr(D, "put_file", lambda folder, name, raw: (blocks.append(len(pickle.loads(raw))), put(folder, name, raw))[1])
+    items = items_table(spark, [(100 * j + k, t) for k in range(20) for j, t in enumerate(texts)])
+    docs = table(spark, [(j, f"{prose(r, 50)} {t} {prose(r, 40)}") for j, t in enumerate(texts)] + [(k, prose(r, 60)) for k in range(10, 30)])
+    got = {(x["doc_id"], x["item_id"]) for x in D.find_contamination(docs, items, block=10).collect()}
+    assert got == {(j, 100 * j + k) for j in range(5) for k in range(20)} and blocks == [5]
+
+
+def test_groups_of_like_items_are_bounded_together(monkeypatch):
+    """Windows are compared with items one by one only in groups that they may cover; sums grow by group, not by item."""
+    r, summed, plain = rng(42), [], D.cover_bounds
+    monkeypatch.setattr(D, "cover_bounds", lambda bound, segments: (summed.append(bound.shape[1] * len(segments)), plain(bound, segments))[1])
+    kinds = [[f"{k}{w}" for w in prose(r, 60).split()] for k in "abcdefghij"]  # ten languages
+    items = [(j, " ".join(r.choice(kinds[j % 10]) for _ in range(30))) for j in range(400)]
+    texts = [" ".join(r.choice(kinds[i % 10]) for _ in range(100)) for i in range(30)] + [f"other words {t} and others" for _, t in items[::40]]
+    ids, lens = D.word_ids(texts)
+    g = np.random.default_rng(7)
+    idf, project = np.ones(1024, np.float32), np.vstack([g.normal(size=(1024, 8)), np.zeros((1, 8))]).astype(np.float32)
+    bench = D.Benchmark(items, project, idf, coverage=0.6)
+    got = {x[:4] for x in D._near(ids, lens, project, bench, -1.0)}
+    starts, doc = (x.tolist() for x in D.cuts(lens, 8))
+    ends, want = np.cumsum(lens).tolist(), set()
+    for j, w in enumerate(bench.words):
+        weight = dict.fromkeys((x % 4096 for x in w), 1.0)
+        for lo, d in zip(starts[::2], doc[::2], strict=True):
+            hi = min(lo + 32, ends[d])
+            if sum(weight.get(x % 4096, 0) for x in ids[lo:hi].tolist()) >= float(bench.need[j]):
+                want.add((d, j, lo, hi))
+    assert got == want and len(want) >= 100
+    assert sum(summed) * 4 <= len(starts) * len(items)

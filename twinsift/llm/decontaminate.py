@@ -25,6 +25,7 @@ _SCALE = 1 << 16
 _SEG, _SMALL, _LARGE = 8, 16, 32
 _TABLE = 4096
 _ENOUGH = 1000  # the cover that a window needs, in the whole numbers that bound it from above
+_GROUP = 8  # items whose cover is bounded together first
 _STRIP = np.zeros(256, bool)
 _STRIP[list(b".,;:!?\"'()[]{}")] = True
 _BLANK = np.zeros(256, bool)
@@ -131,6 +132,35 @@ def lcs(a: list[int], b: list[int], least: float = 0, at: dict[int, int] | None
     return n if n >= least else 0
 
 
+def alike(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows in which `size` neighbours have many columns in common: halves along the direction in which rows differ most, again and again."""
+
+    def halves(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) <= size:
+            return [rows]
+        y = x[rows] - x[rows].mean(0)
+        v = y[np.argmax(np.einsum("ij,ij->i", y, y))]
+        for _ in range(8):
+            v = y.T @ (y @ v)
+            v = v / max(np.linalg.norm(v), 1e-9)
+        rows = rows[np.argsort(y @ v, kind="stable")]
+        cut = -(-len(rows) // size) // 2 * size
+        return halves(rows[:cut]) + halves(rows[cut:])
+
+    return np.concatenate(halves(np.arange(len(x))))
+
+
+def in_groups(bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds (item, word) of items in groups of like ones: by word the greatest in each group, by word and group those of its items, and the items in that order."""
+    if not len(bound):
+        return np.zeros((bound.shape[1], 0), np.uint16), np.zeros((0, _GROUP), np.uint16), np.zeros(0, np.int64)
+    has = bound[:, :-1] > 0
+    order = alike(has[:, np.argsort(-has.sum(0), kind="stable")[:512]].astype(np.float32), _GROUP)
+    rows = np.vstack([bound[order], np.zeros((-len(order) % _GROUP, bound.shape[1]), np.uint16)])
+    each = np.ascontiguousarray(rows.T).reshape(bound.shape[1], -1, _GROUP)
+    return np.ascontiguousarray(each.max(2)), each.reshape(-1, _GROUP), order
+
+
 _held: dict = {}
 
 
@@ -173,7 +203,7 @@ class Benchmark:
         part = np.divide(self.weights, self.need[:, None], out=np.full_like(self.weights, 1), where=self.need[:, None] > 0)
         bound = np.ceil(np.minimum(part * 1.001, 1) * _ENOUGH).astype(np.uint16)  # 32 words come to 32,000 at most; rounding of floats stays below the thousandth
         bound[:, -1] = 0
-        self.small, self.large = ((v, j, np.flatnonzero(np.diff(j, prepend=-1)), np.ascontiguousarray(bound[np.unique(j)].T)) for v, j in (self.small, self.large))
+        self.small, self.large = ((v, j, np.flatnonzero(np.diff(j, prepend=-1)), in_groups(bound[np.unique(j)])) for v, j in (self.small, self.large))
 
     def covered(self, words: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Which of these pairs of a window's words and an item are covered."""
@@ -181,7 +211,7 @@ class Benchmark:
 
 
 def cover_bounds(bound: np.ndarray, segments: np.ndarray) -> np.ndarray:
-    """An upper bound of what each segment's words cover of each item, in whole numbers of which _ENOUGH are needed."""
+    """An upper bound of what each segment's words cover of each item or group of items, in whole numbers of which _ENOUGH are needed."""
     out = np.empty((len(segments), bound.shape[1]), np.uint16)
     for lo in range(0, len(segments), 512):
         part = segments[lo : lo + 512]
@@ -203,44 +233,66 @@ def _joined(part: np.ndarray, d: np.ndarray, n: int, step: int) -> np.ndarray:
 def _near(ids, lens, project, bench, cosine):
     """(document, item, first word, last word, cosine) of the windows that are near an item and cover enough of it.
 
-    The latent search looks at all windows and gives their cosines. Words are looked up only for windows near an item
-    whose cover is left open by a bound, which is summed by segment for all items at once.
+    The cover is bounded first, by segment for groups of like items, then by item for the groups that this leaves open. The
+    latent search gives the cosines of all windows and items whose cover is still open, and words are looked up for near ones.
     """
+
+    def words_of(first, last, size):
+        words = column[first[:, None] + np.arange(size)]
+        words[np.arange(size) >= (last - first)[:, None]] = _TABLE
+        return words
+
     f = len(project) - 1
     rows, starts, doc = in_pieces((ids % f).astype(np.int32), lens, _SEG, f)
     segments = in_pieces((ids % _TABLE).astype(np.int32), lens, _SEG, _TABLE)[0]
-    s = summed(project, rows)
     ends = np.cumsum(lens)
     column = np.append((ids % _TABLE).astype(np.int16), np.full(_LARGE, _TABLE, np.int16))
     found = []
-    for lo in range(0, len(s), 2048):
+    for lo in range(0, len(rows), 2048):
         d = doc[lo : lo + 2051]
-        n = min(2048, len(s) - lo)
-        pair = _joined(s[lo : lo + 2051], d, len(d), 1)
-        four = _joined(pair, d, n, 2)[::2]
-        for (vectors, item, firsts, bound), window, at, size in ((bench.small, pair[:n], np.arange(lo, lo + n), _SMALL), (bench.large, four, np.arange(lo, lo + n, 2), _LARGE)):
+        n = min(2048, len(rows) - lo)
+        for (vectors, item, firsts, (coarse, each, order)), at, size in ((bench.small, np.arange(lo, lo + n), _SMALL), (bench.large, np.arange(lo, lo + n, 2), _LARGE)):
             if not len(item):
                 continue
-            c = (window / np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]) @ vectors.T
-            most = _joined(cover_bounds(bound, segments[lo : lo + 2051]), d, len(d), 1)
+            most = _joined(cover_bounds(coarse, segments[lo : lo + 2051]), d, len(d), 1)
             most = most[:n] if size == _SMALL else _joined(most, d, n, 2)[::2]
-            w, m = np.divmod(np.flatnonzero(most.ravel() >= _ENOUGH), len(firsts))
+            w, group = np.divmod(np.flatnonzero(most.ravel() >= _ENOUGH), coarse.shape[1])
+            first = starts[at[w]]
+            last = np.minimum(first + size, ends[doc[at[w]]])
+            left = []
+            for k in range(0, len(w), 1 << 13):
+                gk = group[k : k + (1 << 13)]
+                words = words_of(first[k : k + (1 << 13)], last[k : k + (1 << 13)], size)
+                total = np.zeros((len(gk), _GROUP), np.uint16)
+                for t in range(size):
+                    total += each.take(words[:, t].astype(np.int64) * coarse.shape[1] + gk, axis=0)
+                r, t = np.nonzero(total >= _ENOUGH)
+                left.append((w[k + r], order[gk[r] * _GROUP + t]))
+            if not left:
+                continue
+            w, m = (np.concatenate(x) for x in zip(*left, strict=True))
             count = np.diff(firsts, append=len(item))[m]
             q = np.arange(count.sum()) + np.repeat(firsts[m] - (np.cumsum(count) - count), count)
             w = np.repeat(w, count)
-            near = np.flatnonzero(c[w, q] >= cosine)
-            w, q = w[near], q[near]
+            s = np.zeros((len(d), project.shape[1]), project.dtype)
+            some = np.unique(at[w][:, None] - lo + np.arange(size // _SEG))  # the segments of windows that are left
+            some = some[some < len(d)]
+            s[some] = summed(project, rows[lo + some])
+            window = _joined(s, d, len(d), 1)
+            window = window[:n] if size == _SMALL else _joined(window, d, n, 2)[::2]
+            window = window / np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9)[:, None]
+            c = np.concatenate([np.einsum("ij,ij->i", window[w[k : k + BLOCK]], vectors[q[k : k + BLOCK]]) for k in range(0, max(len(w), 1), BLOCK)])
+            near = np.flatnonzero(c >= cosine)
+            w, q, c = w[near], q[near], c[near]
             j = item[q]
             new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (j[1:] != j[:-1])) if len(w) else [])
-            best = np.maximum.reduceat(c[w, q], new) if len(new) else np.zeros(0)
+            best = np.maximum.reduceat(c, new) if len(new) else np.zeros(0)
             w, j = w[new], j[new].astype(np.int32)
             first = starts[at[w]]
             last = np.minimum(first + size, ends[doc[at[w]]])
             for k in range(0, len(w), 1 << 13):
                 wk, jk, a, b = (x[k : k + (1 << 13)] for x in (at[w], j, first, last))
-                words = column[a[:, None] + np.arange(size)]
-                words[np.arange(size) >= (b - a)[:, None]] = _TABLE
-                ok = np.flatnonzero(bench.covered(words, jk))
+                ok = np.flatnonzero(bench.covered(words_of(a, b, size), jk))
                 found += zip(doc[wk[ok]].tolist(), jk[ok].tolist(), a[ok].tolist(), b[ok].tolist(), best[k + ok].tolist(), strict=True)
     return found
 
@@ -256,8 +308,9 @@ def find_contamination(
     item has on either side) the common subsequence reaches `share` of the item's words and `answer_share` of its answer's (answer_col; by default
     the item's last quarter, three words at least). One row for each pair, the best window's. Null and empty texts hold
     nothing and are held by nothing; a null id stays null; rows of one id are looked at each and give one row an item;
-    an empty table gives no rows; other columns are not read. Items are compared in blocks of `block`, which tasks read
-    in turn, so that one pass over the documents serves any number of them.
+    an empty table gives no rows; other columns are not read. Items of one text (and answer) are compared as one, and each
+    gets its rows. Items are compared in blocks of `block` texts, which tasks read in turn, so that one pass over the
+    documents serves any number of them.
     cosine and coverage choose the windows that are checked: lower ones cost more checks and miss less.
     """
     spark = docs.sparkSession
@@ -323,11 +376,15 @@ def find_contamination(
 
     columns = [F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")] + ([F.col(answer_col).cast("string").alias("answer")] if answer_col else [])
     folder, blocks, held = scratch(spark, "items"), 0, []
-    for row in benchmark.select(*columns).toLocalIterator():
-        held.append(tuple(row))
+    contents = ["text", "answer"] if answer_col else ["text"]
+    for key, *content in benchmark.select(*columns).filter("id is not null and text is not null").orderBy(*contents).toLocalIterator():
+        if held and held[-1][1:] == tuple(content):
+            held[-1][0].append(key)
+            continue
         if len(held) == block:
             put_file(folder, f"{blocks:08d}", pickle.dumps(held))
             blocks, held = blocks + 1, []
+        held.append(([key], *content))
     if held or not blocks:
         put_file(folder, f"{blocks:08d}", pickle.dumps(held))
         blocks += 1
@@ -346,7 +403,7 @@ def find_contamination(
             a = lcs(bench.answers[j], region, at=in_answer) / len(bench.answers[j])
             if a >= answer_share:
                 best[d, j] = max(best.get((d, j), (0, 0, 0.0)), (n, a, c))
-        return [(keys[d], bench.ids[j], c, n, n / len(bench.words[j]), a) for (d, j), (n, a, c) in best.items()]
+        return [(keys[d], item, c, n, n / len(bench.words[j]), a) for (d, j), (n, a, c) in best.items() for item in bench.ids[j]]
 
     def search(batches):
         project, idf = shared.value
@@ -355,7 +412,7 @@ def find_contamination(
         def compared(parts):
             for k in range(blocks):
                 if _held.get("uri") != (uri := f"{folder}/{k:08d}"):  # a worker keeps the last block, which is the only one of most benchmarks
-                    rows = pickle.loads(get_file(uri))
+                    rows = [(tuple(ids), *content) for ids, *content in pickle.loads(get_file(uri))]
                     _held.update(uri=uri, bench=Benchmark([r[:2] for r in rows], project, idf, {r[0]: r[2] for r in rows} if answer_col else None, coverage))
                 for keys, ids, lens in parts:
                     if rows := leaks(keys, ids, lens, _held["bench"], project):

@@ -309,3 +309,18 @@ def test_objects_many_to_a_task(spark, tmp_path):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found.count() == 200 and _tasks(spark, "objects") <= 8 and spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_objects_of_many_folders_are_listed_in_turn(spark, tmp_path, monkeypatch):
+    """The driver holds the names of a few folders' objects at a time; copies in different turns are found all the same."""
+    from twinsift.sources.tables import as_folders
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") != 7, (F.col("id") % 200 + 1000).cast("string")).alias("text"))
+    folders = as_folders(docs, F.col("doc_id").cast("string"), held=20)
+    assert len(folders) == 15 and sorted(n for f in folders for n in os.listdir(f)) == sorted(str(k) for k in range(300) if k != 7)
+    held = []
+    for name in ("list_objects", "object_digests"):
+        monkeypatch.setattr(objects, name, lambda *a, f=getattr(objects, name), **k: (out := f(*a, **k), held.append(len(out.inputFiles())))[0])
+    found = objects.equal_objects(spark, folders, at_once=4)
+    assert names(found) == sorted(str(k) for k in range(300) if k % 200 < 100 and k % 200 != 7)
+    assert len(held) == 8 and max(held) <= 150 and sum(held) == 2 * 299

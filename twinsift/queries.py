@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions.content import content_digest, file_digest
@@ -18,7 +18,7 @@ from twinsift.scratch import new_folder, written
 from twinsift.sources.flatdir import listed, scan_folders
 from twinsift.sources.index import changes, decode_row, encode_row, read_index, read_kept, write_index, write_parquet_index
 from twinsift.sources.objects import equal_objects
-from twinsift.sources.tables import as_folder, documents_as_files, documents_as_paths
+from twinsift.sources.tables import as_folder, as_folders, documents_as_files, documents_as_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 _SHOWN = ("path", "size", "mtime", "dev", "ino")
@@ -219,9 +219,13 @@ def no_dups_pages(spark, sf_dir):
     return groups.colliding(rows, ["size", "digest"])
 
 
+def _file_name() -> Column:
+    return F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("."), "lang")
+
+
 def _folder(spark: SparkSession, sf_dir: str) -> str:
     """All documents as files of one folder."""
-    return as_folder(_table(spark, sf_dir, "documents"), F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("."), "lang"))
+    return as_folder(_table(spark, sf_dir, "documents"), _file_name())
 
 
 def _named(rows: DataFrame, *columns: str) -> DataFrame:
@@ -274,8 +278,8 @@ def file_in_table(spark, sf_dir):
 
 
 def object_groups(spark, sf_dir):
-    """file_groups by the source for object stores, which has no empty files."""
-    return _named(equal_objects(spark, _folder(spark, sf_dir)), "size", "digest")
+    """file_groups by the source for object stores, which has no empty files; the objects lie under prefixes of about 1,000."""
+    return _named(equal_objects(spark, as_folders(_table(spark, sf_dir, "documents"), _file_name())), "size", "digest")
 
 
 def nested_folders(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,6 +39,16 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def written_in_turn(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The rows of all parts, one at least, as one table. A part is made and written before the next, so the driver holds what one needs."""
+    path = None
+    for rows in parts:
+        path = path or new_folder(rows.sparkSession, name)
+        rows.write.mode("append").parquet(path)
+        spark, schema = rows.sparkSession, rows.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def sweep() -> None:
     """Deletes what written() left, once no result reads it any more; runs by itself when Python ends."""
     while _left:

@@ -47,20 +47,34 @@ def as_folder(documents: DataFrame, name: Column, entries: int = 5000) -> str:
 
     Rows are dealt by name over a task for each `entries` of them, because a table may come in one piece.
     """
+    return _as_files(documents, name, entries)[0]
+
+
+def as_folders(documents: DataFrame, name: Column, entries: int = 5000, held: int = 1000) -> list[str]:
+    """as_folder() over as many folders as have about `held` files each, dealt by a hash of the name, as a store has prefixes; returns them all."""
+    return _as_files(documents, name, entries, held)
+
+
+def _as_files(documents: DataFrame, name: Column, entries: int, held: int = 0) -> list[str]:
     folder = new_folder(documents.sparkSession, "folder").removeprefix("file://")
 
     def write(batches):
         for b in batches:
             for n, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 # under a hidden name first, so that a task that runs again leaves the same file
-                tmp = os.path.join(folder, f".{uuid.uuid4().hex}")
+                tmp = os.path.join(os.path.dirname(os.path.join(folder, n)), f".{uuid.uuid4().hex}")
                 with open(tmp, "wb") as f:
                     f.write(raw.as_buffer())
                 os.replace(tmp, os.path.join(folder, n))
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
-    os.makedirs(folder, exist_ok=True)
+    n = documents.count()
+    folders = [os.path.join(folder, f"p{k:06d}") for k in range(max(1, -(-n // held)))] if held else [folder]
+    for f in folders:
+        os.makedirs(f, exist_ok=True)
     rows = documents.select(name.alias("name"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // entries))
+    if held:
+        rows = rows.withColumn("name", F.concat(F.format_string("p%06d/", F.pmod(F.xxhash64("name"), F.lit(len(folders)))), "name"))
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // entries))
     rows.repartition(parts, "name").mapInArrow(write, "n long").agg(F.sum("n")).collect()
-    return folder
+    return folders
